@@ -153,7 +153,7 @@ def enrich_nodes(nodes: DataFrame, pages: DataFrame, ranks: DataFrame) -> DataFr
     """
     page = (
         pages.groupBy(F.lower("title").alias("_key"))
-        .agg(F.min_by(F.struct("thumbnail", "extract", "wikibase_item"), F.struct("title", "wikibase_item")).alias("p"))
+        .agg(F.min_by(F.struct("thumbnail", "extract", "wikibase_item"), F.struct("title", "wikibase_item", "thumbnail", "extract")).alias("p"))
         .select("_key", "p.*")
     )
     rank = ranks.groupBy("wikibase_item").agg(F.min("rank_label").alias("rank_label"))

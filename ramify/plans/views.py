@@ -6,9 +6,13 @@ comparison queries.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ramify.operators.labels import label_hierarchy
+from ramify.operators.labels import label_hierarchy, sibling_order
+from ramify.store import materialize
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -68,3 +72,34 @@ def labelled(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         roots = "many" if name in FOREST else "one"
         _labelled[key] = label_hierarchy(view(spark, sf_dir, name), roots=roots)
     return _labelled[key]
+
+
+def laid_out_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled geo with x, y, r: children side by side on the parent's diameter.
+
+    One equi-join per level; written once per session.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, "geo_line")
+    if key not in _labelled:
+        geo = sibling_order(labelled(spark, sf_dir, "geo"))
+        depth = geo.agg(F.max("level")).first()[0]
+        zero = F.lit(0.0)
+        level = geo.filter("level = 0").withColumns({"x": zero, "y": zero, "r": F.lit(2000.0)})
+        levels = [level]
+        for d in range(1, depth + 1):
+            above = level.select(
+                F.col("id").alias("parent_id"), F.col("x").alias("_x"), F.col("y").alias("_y"),
+                F.col("r").alias("_r"), F.col("child_count").alias("_n"),
+            )
+            level = materialize(
+                geo.filter(F.col("level") == d)
+                .join(above, "parent_id")
+                .withColumn("x", F.col("_x") + F.col("_r") * (2 * F.col("ord") - 1 - F.col("_n")) / F.col("_n"))
+                .withColumn("y", F.col("_y"))
+                .withColumn("r", F.col("_r") / F.col("_n"))
+                .drop("_x", "_y", "_r", "_n"),
+                f"line-{d}",
+            )
+            levels.append(level)
+        _labelled[key] = materialize(reduce(DataFrame.unionByName, levels).drop("ord"), "line")
+    return _labelled[key]

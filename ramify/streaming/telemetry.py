@@ -11,8 +11,13 @@ from ramify.store import materialize
 _BLOCK = 256
 
 
-def _millis(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp")) / 1000.0
+def millis(df: DataFrame, ts: str) -> Column:
+    """Milliseconds since 1970; a time without zone is taken as it stands."""
+    t = F.col(ts)
+    if dict(df.dtypes)[ts] != "timestamp_ntz":
+        return F.unix_micros(t) / 1000.0
+    seconds = F.hour(t) * 3600 + F.minute(t) * 60 + F.extract(F.lit("SECOND"), t).cast("double")
+    return F.unix_date(t.cast("date")) * 86400000.0 + seconds * 1000.0
 
 
 def ewma_lag(
@@ -34,19 +39,20 @@ def ewma_lag(
     size, each block is composed to one map, the block maps are chained the
     same way, and every block is then folded from the lag it starts with.
     """
-    numbered = grouped_running(events, [key], [F.col(ts), F.col(tie)], "_n")
+    timed = events.withColumn("_ms", millis(events, ts))
+    numbered = grouped_running(timed, [key], [F.col(ts), F.col(tie)], "_n")
     block = F.floor((F.col("_n") - 1) / _BLOCK)
     last = numbered.select(
-        key, (F.col("_n") + 1).alias("_n"), F.col(ts).alias("_before")
+        key, (F.col("_n") + 1).alias("_n"), F.col("_ms").alias("_before")
     ).filter(F.col("_n") % _BLOCK == 1)
     in_block = Window.partitionBy(key, "_block").orderBy("_n")
     # The previous event of a block's first event is in the block before.
     steps = (
         numbered.withColumn("_block", block)
         .join(last, [key, "_n"], "left")
-        .withColumn("_prev", F.coalesce(F.lag(ts).over(in_block), F.col("_before")))
+        .withColumn("_prev", F.coalesce(F.lag("_ms").over(in_block), F.col("_before")))
         .withColumn(
-            "_a", F.coalesce(alpha * (_millis(F.col(ts)) - _millis(F.col("_prev")) - interval_ms), F.lit(0.0))
+            "_a", F.coalesce(alpha * (F.col("_ms") - F.col("_prev") - interval_ms), F.lit(0.0))
         )
         .withColumn("_b", F.when(F.col("_prev").isNull(), 0.0).otherwise(1.0 - alpha))
     )
@@ -165,7 +171,8 @@ def ewma_lag_stream(
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    out = f"{key} bigint, {tie} bigint, ts_ms double, lag_ms double, alert boolean"
+    types = dict(events.dtypes)
+    out = f"{key} {types[key]}, {tie} {types[tie]}, ts_ms double, lag_ms double, alert boolean"
 
     def step(k, batches, state: GroupState):
         if state.hasTimedOut:
@@ -187,7 +194,7 @@ def ewma_lag_stream(
 
     return (
         events.withWatermark(ts, delay)
-        .select(key, tie, ts, _millis(F.col(ts)).alias("_ms"))
+        .select(key, tie, ts, millis(events, ts).alias("_ms"))
         .groupBy(key)
         .applyInPandasWithState(step, out, "lag double, last double", "append", GroupStateTimeout.EventTimeTimeout)
     )
