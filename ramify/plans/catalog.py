@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ramify.functions import geometry as G
+from ramify.functions import relevance as R
 from ramify.functions import text as T
 from ramify.operators import cleaning as C
 from ramify.operators import hierarchy as H
@@ -563,8 +564,8 @@ def search_results(spark, sf):
 FROM (SELECT id, {O.fuzzy_fold("name", "'cst12'")} AS f FROM lab)"""))
 def is_subsequence(spark, sf):
     name = F.col("name")
-    hit = S.is_subsequence(name, "cst12")
-    return labelled(spark, sf, "geo").select("id", hit.alias("fuzzy"), F.when(hit, S.longest_run(name, "cst12")).alias("run"))
+    hit = R.is_subsequence(name, "cst12")
+    return labelled(spark, sf, "geo").select("id", hit.alias("fuzzy"), F.when(hit, R.longest_run(name, "cst12")).alias("run"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN strpos(lower(text), 'the') > 0
@@ -702,12 +703,12 @@ def cull_viewports(spark, sf):
     return _visible(spark, sf).select("viewport_id", "id", *rounded("sr"))
 
 
-@query(O.line_sql(_VISIBLE + """, below AS (
+@query(O.line_sql(_VISIBLE + """, inside AS (
   SELECT a.viewport_id, a.id FROM visible a JOIN lab l ON l.id = a.id WHERE list_contains(l.ids, a.viewport_id)
-), bad AS (SELECT b.viewport_id, b.id FROM below b JOIN lab l ON l.id = b.id, unnest(l.ids) AS u(anc)
+), bad AS (SELECT b.viewport_id, b.id FROM inside b JOIN lab l ON l.id = b.id, unnest(l.ids) AS u(anc)
   WHERE list_position(l.ids, anc) >= list_position(l.ids, b.viewport_id) AND NOT EXISTS (
-    SELECT 1 FROM below v WHERE v.viewport_id = b.viewport_id AND v.id = anc))
-SELECT viewport_id, id FROM below EXCEPT SELECT viewport_id, id FROM bad""", labels=True))
+    SELECT 1 FROM inside v WHERE v.viewport_id = b.viewport_id AND v.id = anc))
+SELECT viewport_id, id FROM inside EXCEPT SELECT viewport_id, id FROM bad""", labels=True))
 def cull_viewports_below_current(spark, sf):
     """Each viewport draws only the subtree of its nation, ancestors checked."""
     current = _viewports(spark, sf).withColumn("current_id", F.col("viewport_id"))

@@ -18,6 +18,9 @@ def connect(sf_dir: str):
     return con
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def _plain(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 6) + 0.0
@@ -36,6 +39,10 @@ def compare(con, df, sql: str) -> str | None:
     have = [r.asDict() for r in df.collect()]
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
+    kinds = {d[0]: str(d[1]) for d in cur.description}
+    for name, dtype in df.dtypes:
+        if _TYPES.get(dtype) != kinds[name]:
+            return f"type of {name}: {dtype} != {kinds[name]}"
     cols = sorted(names)
     a = sorted((tuple(_plain(r[c]) for c in cols) for r in have), key=_key)
     b = sorted((tuple(_plain(r[c]) for c in cols) for r in want), key=_key)
