@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ramify.operators.hierarchy import build_hierarchy, normalise_parents
 from ramify.operators.ranking import global_rank, grouped_running, slice_offsets, sorted_slices
-from ramify.store import materialize
+from ramify.store import materialize, transient
 
 
 def label_hierarchy(
@@ -32,47 +32,48 @@ def label_hierarchy(
 
     The table is written sorted by ``pre``: range filters on it prune row groups.
     """
-    paths = build_hierarchy(nodes, order=order, roots=roots, root_id=root_id, max_depth=max_depth)
-    counts = (
-        normalise_parents(nodes)
-        .filter(F.col("parent_id").isNotNull())
-        .groupBy(F.col("parent_id").alias("id"))
-        .agg(F.count(F.lit(1)).alias("child_count"))
-    )
-    with_children = paths.join(counts, "id", "left").withColumn(
-        "child_count", F.coalesce("child_count", F.lit(0)).cast("bigint")
-    )
-    if max_depth is not None:
-        with_children = with_children.withColumn(
-            "child_count", F.when(F.col("level") < max_depth, F.col("child_count")).otherwise(F.lit(0))
+    with transient(nodes.sparkSession):
+        paths = build_hierarchy(nodes, order=order, roots=roots, root_id=root_id, max_depth=max_depth)
+        counts = (
+            normalise_parents(nodes)
+            .filter(F.col("parent_id").isNotNull())
+            .groupBy(F.col("parent_id").alias("id"))
+            .agg(F.count(F.lit(1)).alias("child_count"))
         )
-    slices = sorted_slices(with_children, ["path"], "preorder")
-    is_leaf = (F.col("child_count") == 0).cast("bigint")
-    offsets = slice_offsets(slices, {"_rows": F.count(F.lit(1)), "_leaves": F.sum(is_leaf)})
-
-    # The slices are in preorder, so whole subtrees sit together and the map-side
-    # aggregation shrinks the exploded rows to about one per node and slice.
-    totals = (
-        slices.select(F.explode("path.id").alias("id"), is_leaf.alias("leaf"))
-        .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("subtree_size"), F.sum("leaf").alias("leaf_count"))
-    )
-    before = Window.partitionBy("_slice").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    labelled = (
-        slices.join(totals, "id")
-        .withColumn("_leaves_here", F.coalesce(F.sum(is_leaf).over(before), F.lit(0)))
-        .join(F.broadcast(offsets), "_slice")
-        .withColumn("pre", F.col("_rows") + F.col("_pos") + 1)
-        .withColumn("pre_end", F.col("pre") + F.col("subtree_size") - 1)
-        .withColumn("leaf_lo", F.col("_leaves") + F.col("_leaves_here"))
-        .withColumn("path_ids", F.col("path.id"))
-        .withColumn("path_names", F.col("path.name"))
-        .select(
-            *nodes.columns, "level", "path_ids", "path_names", "pre", "pre_end",
-            "leaf_lo", "leaf_count", "subtree_size", "child_count",
+        with_children = paths.join(counts, "id", "left").withColumn(
+            "child_count", F.coalesce("child_count", F.lit(0)).cast("bigint")
         )
-    )
-    return materialize(labelled, "labelled")
+        if max_depth is not None:
+            with_children = with_children.withColumn(
+                "child_count", F.when(F.col("level") < max_depth, F.col("child_count")).otherwise(F.lit(0))
+            )
+        slices = sorted_slices(with_children, ["path"], "preorder")
+        is_leaf = (F.col("child_count") == 0).cast("bigint")
+        offsets = slice_offsets(slices, {"_rows": F.count(F.lit(1)), "_leaves": F.sum(is_leaf)})
+
+        # The slices are in preorder, so whole subtrees sit together and the map-side
+        # aggregation shrinks the exploded rows to about one per node and slice.
+        totals = (
+            slices.select(F.explode("path.id").alias("id"), is_leaf.alias("leaf"))
+            .groupBy("id")
+            .agg(F.count(F.lit(1)).alias("subtree_size"), F.sum("leaf").alias("leaf_count"))
+        )
+        before = Window.partitionBy("_slice").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+        labelled = (
+            slices.join(totals, "id")
+            .withColumn("_leaves_here", F.coalesce(F.sum(is_leaf).over(before), F.lit(0)))
+            .join(F.broadcast(offsets), "_slice")
+            .withColumn("pre", F.col("_rows") + F.col("_pos") + 1)
+            .withColumn("pre_end", F.col("pre") + F.col("subtree_size") - 1)
+            .withColumn("leaf_lo", F.col("_leaves") + F.col("_leaves_here"))
+            .withColumn("path_ids", F.col("path.id"))
+            .withColumn("path_names", F.col("path.name"))
+            .select(
+                *nodes.columns, "level", "path_ids", "path_names", "pre", "pre_end",
+                "leaf_lo", "leaf_count", "subtree_size", "child_count",
+            )
+        )
+        return materialize(labelled, "labelled", keep=True)
 
 
 # --- orders -----------------------------------------------------------------

@@ -17,7 +17,7 @@ from ramify.functions.packing import pack_circles
 from ramify.operators.hierarchy import build_hierarchy
 from ramify.operators.labels import node_value, order_siblings, rollup_value
 from ramify.operators.ranking import global_rank
-from ramify.store import materialize
+from ramify.store import materialize, transient
 
 
 def pack_families(circles: DataFrame, max_family: int) -> DataFrame:
@@ -184,18 +184,18 @@ def circle_layout(
     scaled to a root radius of size / 2. ``value`` is a preset or a Column,
     ``strategy`` a preset or sort keys forming a total order.
     """
-    each = node_value(value) if isinstance(value, str) else value
-    valued = rollup_value(labelled, each)
-    ordered = materialize(order_siblings(valued, strategy), "ordered")
-    tree = ordered.select("id", F.when(F.col("level") > 0, F.col("parent_id")).alias("parent_id"), "level", "ord", "value")
-    offsets, radius = _pack_levels(tree, max_family, 0.0)
-    if padding:
-        offsets, radius = _pack_levels(tree, max_family, padding * radius / size)
-    scale = size / 2 / radius
-    placed = _sum_offsets(offsets).select(
-        "id", *[(F.col(c) * scale).alias(c) for c in ("x", "y", "r")]
-    )
-    return ordered.join(placed, "id")
+    with transient(labelled.sparkSession):
+        each = node_value(value) if isinstance(value, str) else value
+        valued = rollup_value(labelled, each)
+        ordered = materialize(order_siblings(valued, strategy), "ordered")
+        parent = F.when(F.col("level") > 0, F.col("parent_id")).alias("parent_id")
+        tree = ordered.select("id", parent, "level", "ord", "value")
+        offsets, radius = _pack_levels(tree, max_family, 0.0)
+        if padding:
+            offsets, radius = _pack_levels(tree, max_family, padding * radius / size)
+        scale = size / 2 / radius
+        placed = _sum_offsets(offsets).select("id", *[(F.col(c) * scale).alias(c) for c in ("x", "y", "r")])
+        return materialize(ordered.join(placed, "id"), "laid-out", keep=True)
 
 
 def flatten_layout(laid_out: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ramify.functions import text as T
 from ramify.functions.relevance import is_subsequence, path_bonus, relevance
 from ramify.operators.ranking import top_k
+from ramify.store import materialize
 
 EXACT = 1000.0
 
@@ -108,6 +109,8 @@ def resolve_paths(labelled: DataFrame, requests: DataFrame) -> DataFrame:
     steps = asked.filter(F.size("_parts") > 0).select(
         F.explode(F.transform(F.sequence(F.lit(1), F.size("_parts")), lambda i: F.slice("_parts", F.lit(1), i))).alias("_key"),
     ).distinct()
+    # A copy, so that adaptive execution can split a path shared by many nodes.
+    steps = materialize(steps, "path-steps")
     below = labelled.filter(F.col("level") > 0).select(
         "id", "parent_id", "name", "level", "pre", "path_ids",
         F.slice("path_names", F.lit(2), F.size("path_names")).alias("_key"),

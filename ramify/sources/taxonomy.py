@@ -51,10 +51,12 @@ def parse_opentree_taxonomy(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     body = lines.filter(~_header(F.col("value"), "ott_id"))
     f = body.withColumn("_f", _fields(F.col("value"), 4))
     node_id = T.parse_int(T.strip(F.get("_f", F.lit(0))))
-    ok = (F.size("_f") >= 4) & node_id.isNotNull()
+    parent = T.strip(F.get("_f", F.lit(1)))
+    # A parent that is no number could never be found: such a row is not a root.
+    ok = (F.size("_f") >= 4) & node_id.isNotNull() & ((parent == "") | T.parse_int(parent).isNotNull())
     nodes = f.filter(ok).select(
         node_id.alias("id"),
-        T.parse_int(T.strip(F.get("_f", F.lit(1)))).alias("parent_id"),
+        T.parse_int(parent).alias("parent_id"),
         T.default_name(F.get("_f", F.lit(2)), T.strip(F.get("_f", F.lit(0)))).alias("name"),
         T.default_rank(F.get("_f", F.lit(3))).alias("rank"),
         "line_no",
@@ -93,10 +95,11 @@ def read_opentree_synonyms(spark: SparkSession, path: str) -> DataFrame:
 def parse_ncbi_nodes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     f = lines.withColumn("_f", F.split("value", _BAR))
     node_id = T.parse_int(F.get("_f", F.lit(0)))
-    ok = (F.size("_f") >= 3) & node_id.isNotNull()
+    parent = T.parse_int(F.get("_f", F.lit(1)))
+    ok = (F.size("_f") >= 3) & node_id.isNotNull() & parent.isNotNull()
     rows = f.filter(ok).select(
         node_id.alias("id"),
-        T.parse_int(F.get("_f", F.lit(1))).alias("parent_id"),
+        parent.alias("parent_id"),
         T.strip(F.get("_f", F.lit(2))).alias("rank"),
         "line_no",
     )

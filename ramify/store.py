@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 _local_roots: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -37,14 +40,40 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, observe: dict | None = None):
+def drop_path(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def transient(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are dropped at the end, unless kept."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop_path(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Drop every intermediate table of this application."""
+    drop_path(spark, scratch_root(spark))
+
+
+def materialize(df: DataFrame, label: str, observe: dict | None = None, keep: bool = False):
     """Write ``df`` as an intermediate table and read it back.
 
     With ``observe`` (name -> aggregate Column) the metrics are gathered by the
-    write itself and returned as a second value.
+    write itself and returned as a second value. ``keep`` lets the table outlive
+    the innermost ``transient`` block.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
+    elif keep and len(_scopes) > 1:
+        _scopes[-2].append(path)
     schema = df.schema
     if observe is None:
         df.write.parquet(path)
