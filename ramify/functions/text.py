@@ -63,7 +63,8 @@ def titlecase(name: Column | str) -> Column:
     pieces = F.split(_col(name), r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])")
     raised = F.transform(
         pieces,
-        lambda p: F.when(p.rlike("^[a-z]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))).otherwise(p),
+        # Bytes from 'a' up to '{', which follows 'z': a lower-case ASCII start.
+        lambda p: F.when((p >= "a") & (p < "{"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))).otherwise(p),
     )
     return F.array_join(raised, "")
 

@@ -122,7 +122,7 @@ def drop_placeholder_deep(nodes: DataFrame, name: str = PLACEHOLDER) -> DataFram
             F.when(hop, F.col("_up")).otherwise(F.col("up")).alias("up"),
             F.when(hop, F.concat("_chain", "chain")).otherwise(F.col("chain")).alias("chain"),
             hop.alias("_moved"),
-        ).filter(F.size("chain") == F.size(F.array_distinct("chain.id")))
+        ).filter(F.array_position("chain.id", F.col("id")) == F.size("chain"))
         marks, seen = materialize(joined, f"marks-{step}", {"moved": F.count_if("_moved")})
         marks = marks.drop("_moved")
         if not seen["moved"]:

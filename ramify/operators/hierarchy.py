@@ -102,10 +102,12 @@ def build_hierarchy(
         above = reduce(DataFrame.unionByName, [*closed, open_rows]).select(
             F.col("id").alias("_above"), F.col("path").alias("_head"), F.col("_up").alias("_next")
         )
+        # A row that meets itself above lies on a cycle. Rows below the cycle lose
+        # their upper end with it and find no match in the next round.
         joined = (
             open_rows.join(above, F.col("_up") == F.col("_above"))
+            .filter(~F.array_contains("_head.id", F.col("id")))
             .select(*base, F.concat("_head", "path").alias("path"), F.col("_next").alias("_up"))
-            .filter(F.size("path") == F.size(F.array_distinct("path.id")))
         )
         if max_depth is not None:
             joined = joined.filter(F.size("path") <= max_depth + 1)

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ramify.functions import packing
 from ramify.functions.geometry import round_half_up
 from ramify.functions.packing import pack_circles
 from ramify.operators.hierarchy import build_hierarchy
@@ -19,6 +21,9 @@ from ramify.operators.labels import node_value, order_siblings, rollup_value
 from ramify.operators.ranking import global_rank
 from ramify.store import materialize, transient
 
+# The kernel travels with the tasks: workers need not have this package.
+cloudpickle.register_pickle_by_value(packing)
+
 
 def pack_families(circles: DataFrame, max_family: int) -> DataFrame:
     """Offsets of packed children: ``circles(family, id, ord, r)`` ->
@@ -125,7 +130,7 @@ def _pack_levels(tree: DataFrame, max_family: int, pad: float) -> tuple[DataFram
             radius = root.agg(F.max("r")).first()[0]
             done.append(root)
             break
-        nodes = materialize(nodes.select("id", "parent_id", "ord", "r"), f"level-{level}")
+        nodes = nodes.select("id", "parent_id", "ord", "r")
         packed = pack_families(
             nodes.select(F.col("parent_id").cast("string").alias("family"), "id", "ord", (F.col("r") + pad).alias("r")),
             max_family,
@@ -185,17 +190,24 @@ def circle_layout(
     ``strategy`` a preset or sort keys forming a total order.
     """
     with transient(labelled.sparkSession):
-        each = node_value(value) if isinstance(value, str) else value
-        valued = rollup_value(labelled, each)
-        ordered = materialize(order_siblings(valued, strategy), "ordered")
+        ready = {"leaf": "leaf_count", "node": "subtree_size"}.get(value) if isinstance(value, str) else None
+        if ready:
+            # Leaves or nodes below: the roll-up is a label already.
+            valued = labelled.withColumn("value", F.col(ready))
+        else:
+            valued = rollup_value(labelled, node_value(value) if isinstance(value, str) else value)
+        narrow = valued.drop("path_ids", "path_names")
         parent = F.when(F.col("level") > 0, F.col("parent_id")).alias("parent_id")
-        tree = ordered.select("id", parent, "level", "ord", "value")
+        tree = materialize(
+            order_siblings(narrow, strategy).select("id", parent, "level", "ord", "value"), "ordered"
+        )
         offsets, radius = _pack_levels(tree, max_family, 0.0)
         if padding:
             offsets, radius = _pack_levels(tree, max_family, padding * radius / size)
         scale = size / 2 / radius
         placed = _sum_offsets(offsets).select("id", *[(F.col(c) * scale).alias(c) for c in ("x", "y", "r")])
-        return materialize(ordered.join(placed, "id"), "laid-out", keep=True)
+        places = placed.join(tree.select("id", "ord", "value"), "id")
+        return materialize(labelled.join(places, "id"), "laid-out", keep=True)
 
 
 def flatten_layout(laid_out: DataFrame) -> DataFrame:

@@ -16,15 +16,14 @@ from ramify.operators.ranking import global_rank
 from ramify.store import materialize
 
 
-def _kind(v: Column) -> Column:
-    """object, array or scalar."""
-    shape = F.schema_of_variant(v)
-    return F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").otherwise("scalar")
+def _members(v: Column) -> Column:
+    """Members of a VARIANT array, null for anything else."""
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
-def _explode(df: DataFrame, column: str) -> DataFrame:
-    """(pos, key, value) of each member of an object or array; scalars give none."""
-    return df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(column).outer()))
+def _fields(v: Column) -> Column:
+    """Fields of a VARIANT object, null for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
 def flatten_tree_json(docs: DataFrame) -> DataFrame:
@@ -35,42 +34,49 @@ def flatten_tree_json(docs: DataFrame) -> DataFrame:
     ``children`` that is not an array counts as a list of one; members that are
     no objects are skipped; a missing name becomes Unnamed.
     """
-    v = F.parse_json("json")
-    doc = docs.select("doc_id", v.alias("v")).withColumn("_kind", _kind(F.col("v")))
-    kids = F.when(F.col("_kind") == "array", F.col("v")).otherwise(F.try_variant_get("v", "$.children", "variant"))
-    frontier = doc.select(
-        "doc_id", F.array().cast("array<int>").alias("path"), F.lit("Life").alias("name"), kids.alias("kids")
+
+    def children(v: Column) -> Column:
+        """Members of ``children`` as an array; null when there are none."""
+        kids = F.try_variant_get(v, "$.children", "variant")
+        single = F.when(~F.is_variant_null(kids), F.array(kids))
+        return F.coalesce(_members(kids), single)
+
+    def is_node(v: Column) -> Column:
+        return _fields(v).isNotNull() | _members(v).isNotNull()
+
+    v = F.col("v")
+    frontier = docs.select("doc_id", F.parse_json("json").alias("v")).select(
+        "doc_id",
+        F.array().cast("array<int>").alias("path"),
+        F.lit("Life").alias("name"),
+        F.coalesce(_members(v), children(v)).alias("kids"),
     )
     levels = []
     while True:
         level = len(levels)
-        as_list = F.when(F.col("kids").isNull() | F.is_variant_null("kids"), F.lit(None)).otherwise(F.col("kids"))
-        shaped = frontier.withColumn("kids", as_list).withColumn("_list", F.coalesce(_kind(F.col("kids")) == "array", F.lit(False)))
+        # Positions are those in the document, so skipped members leave gaps.
+        listed = F.when(F.exists("kids", is_node), F.col("kids"))
         table, seen = materialize(
-            shaped, f"json-{level}", {"rows": F.count(F.lit(1)), "more": F.count_if(F.col("kids").isNotNull())}
+            frontier.withColumn("kids", listed)
+            .withColumn("child_count", F.coalesce(F.size(F.filter("kids", is_node)), F.lit(0)).cast("bigint")),
+            f"json-{level}",
+            {"more": F.count_if(F.col("kids").isNotNull())},
         )
-        levels.append(table.select("doc_id", "path", F.lit(level).alias("level"), T.truncate_name(T.unnamed("name")).alias("name")))
+        name = T.truncate_name(T.unnamed("name")).alias("name")
+        levels.append(table.select("doc_id", "path", F.lit(level).alias("level"), name, "child_count"))
         if not seen["more"]:
             break
-        listed = _explode(table.filter("_list"), "kids").select("doc_id", "path", "pos", "value")
-        single = table.filter("kids is not null and not _list").select(
-            "doc_id", "path", F.lit(0).alias("pos"), F.col("kids").alias("value")
-        )
-        members = listed.unionByName(single).filter(_kind(F.col("value")) != "scalar")
-        frontier = members.select(
-            "doc_id",
-            F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"),
-            F.try_variant_get("value", "$.name", "string").alias("name"),
-            F.try_variant_get("value", "$.children", "variant").alias("kids"),
+        frontier = (
+            table.select("doc_id", "path", F.posexplode("kids").alias("pos", "v"))
+            .filter(is_node(v))
+            .select(
+                "doc_id",
+                F.concat("path", F.array("pos")).alias("path"),
+                F.try_variant_get("v", "$.name", "string").alias("name"),
+                children(v).alias("kids"),
+            )
         )
-    nodes = reduce(DataFrame.unionByName, levels)
-    up = F.slice("path", F.lit(1), F.size("path") - 1)
-    counts = (
-        nodes.filter("level > 0").groupBy("doc_id", up.alias("path")).agg(F.count(F.lit(1)).alias("child_count"))
-    )
-    return nodes.join(counts, ["doc_id", "path"], "left").withColumn(
-        "child_count", F.coalesce("child_count", F.lit(0)).cast("bigint")
-    )
+    return reduce(DataFrame.unionByName, levels)
 
 
 def number_nodes(flat: DataFrame) -> DataFrame:
@@ -89,20 +95,27 @@ def key_map_rows(docs: DataFrame, doc_col: str = "doc_id") -> DataFrame:
 
     ``kind`` is object, array or scalar. Members of an array are keyed "0", "1", ...
     """
-    frontier = docs.select(
-        doc_col, F.array().cast("array<string>").alias("path"), F.parse_json("json").alias("v")
-    )
+    v = F.col("v")
+    frontier = docs.select(doc_col, F.array().cast("array<string>").alias("path"), F.parse_json("json").alias("v"))
     levels = []
     while True:
-        shaped = frontier.withColumn("kind", F.coalesce(_kind(F.col("v")), F.lit("scalar")))
-        table, seen = materialize(shaped, f"map-{len(levels)}", {"open": F.count_if(F.col("kind") != "scalar")})
+        # An array is a map from positions to its members.
+        listed = _members(v)
+        by_position = F.map_from_arrays(
+            F.transform(F.sequence(F.lit(0), F.size(listed) - 1), lambda i: i.cast("string")), listed
+        )
+        shaped = frontier.select(
+            doc_col,
+            "path",
+            F.coalesce(_fields(v), F.when(F.size(listed) > 0, by_position)).alias("below"),
+            F.when(_fields(v).isNotNull(), "object").when(listed.isNotNull(), "array").otherwise("scalar").alias("kind"),
+        )
+        table, seen = materialize(shaped, f"map-{len(levels)}", {"open": F.count_if(F.size("below") > 0)})
         levels.append(table.select(doc_col, "path", "kind"))
         if not seen["open"]:
             break
-        frontier = _explode(table.filter("kind <> 'scalar'"), "v").select(
-            doc_col,
-            F.concat("path", F.array(F.coalesce("key", F.col("pos").cast("string")))).alias("path"),
-            F.col("value").alias("v"),
+        frontier = table.select(doc_col, "path", F.explode("below").alias("key", "v")).select(
+            doc_col, F.concat("path", F.array("key")).alias("path"), "v"
         )
     return reduce(DataFrame.unionByName, levels).filter(F.size("path") > 0)
 
