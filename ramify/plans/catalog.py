@@ -25,6 +25,7 @@ from ramify.operators import spatial as P
 from ramify.operators.ranking import global_rank
 from ramify.plans import oracles as O
 from ramify.plans.views import labelled, laid_out_line, table, view
+from ramify.session import spread
 from ramify.sources import nested as N
 from ramify.sources import parts as A
 from ramify.sources import taxonomy as X
@@ -354,13 +355,13 @@ SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0
   lambda w: CASE WHEN regexp_matches(w, '^[a-z]') THEN upper(w[1:1]) || w[2:] ELSE w END), '') AS name FROM documents""")
 def titlecase_names(spark, sf):
     """Whole document texts: four languages, accents and apostrophes."""
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("name"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", F.col("text").alias("name"))
     return C.titlecase_names(docs)
 
 
 @query("SELECT doc_id AS id, substr(text, 1, 100) AS name FROM documents")
 def truncate_names(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"))
+    docs = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("name"))
     return C.truncate_names(docs)
 
 
@@ -402,7 +403,7 @@ _DOC_NAMES = r"""names AS (
 def _doc_names(spark, sf):
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     name = F.array_join(F.slice(words, F.lit(1), (1 + F.col("doc_id") % 4).cast("int")), " ")
-    return table(spark, sf, "documents").select("doc_id", "source", name.alias("name"))
+    return spread(table(spark, sf, "documents")).select("doc_id", "source", name.alias("name"))
 
 
 @query(f"WITH {_DOC_NAMES} SELECT doc_id, name, {_SCI} AS scientific FROM split")
@@ -574,7 +575,7 @@ def is_subsequence(spark, sf):
   THEN regexp_replace(text, '(?is)^([^t]*)(t)([^h]*)(h)([^e]*)(e)', '\1<mark>\2</mark>\3<mark>\4</mark>\5<mark>\6</mark>')
   ELSE text END AS marked FROM documents""")
 def highlight(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.highlight("text", "the").alias("marked"))
+    return spread(table(spark, sf, "documents")).select("doc_id", T.highlight("text", "the").alias("marked"))
 
 
 def _path_requests(spark, sf):
@@ -623,7 +624,7 @@ def shard_key(spark, sf):
 @query(f"SELECT doc_id, {O.uri('text')} AS encoded, text AS decoded FROM documents")
 def uri_component(spark, sf):
     """Whole texts encoded and decoded again."""
-    coded = table(spark, sf, "documents").select("doc_id", T.uri_component("text").alias("encoded"))
+    coded = spread(table(spark, sf, "documents")).select("doc_id", T.uri_component("text").alias("encoded"))
     return coded.withColumn("decoded", T.uri_decode("encoded"))
 
 
@@ -1030,7 +1031,7 @@ def _order_docs(spark, sf):
             F.to_json(F.struct(F.col("o_orderpriority").alias("name"), F.struct(F.lit("deep").alias("name")).alias("children"))),
         ).alias("kids"),
     )
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders")).select(
         F.col("o_orderkey").alias("doc_id"),
         F.concat(F.lit('{"name":"x","children":[{"name":"'), node["name"], F.lit('","children":['), F.array_join(node["kids"], ","), F.lit("]},7]}")).alias("json"),
     )
@@ -1054,7 +1055,7 @@ def _part_maps(spark, sf):
         .when(F.col("p_size") % 3 == 1, F.col("p_size").cast("string"))
         .otherwise(F.concat(F.lit('{"s'), F.col("p_size").cast("string"), F.lit('":{}}')))
     )
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part")).select(
         F.col("p_partkey").alias("part_no"),
         F.concat(F.lit('{"'), "p_brand", F.lit('":{"'), "p_type", F.lit('":{"'), "p_name", F.lit('":'), end, F.lit("}}}")).alias("json"),
     )
