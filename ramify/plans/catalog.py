@@ -23,6 +23,7 @@ from ramify.operators import layout as Y
 from ramify.operators import search as S
 from ramify.operators import spatial as P
 from ramify.operators.ranking import global_rank
+from ramify.plans import bake as B
 from ramify.plans import oracles as O
 from ramify.plans.views import labelled, laid_out_line, table, view
 from ramify.session import spread
@@ -755,9 +756,15 @@ def label_candidates(spark, sf):
     return _candidates(spark, sf).select("viewport_id", "id", "turn", *rounded("font"), *rounded("x1", "y2", digits=5))
 
 
-@query()
+@query(O.line_sql(_LABELS.replace("SELECT viewport_id, id, CAST(turn", ", cand AS (SELECT viewport_id, id, turn, sx - (length(name) * font * 0.3::DOUBLE + 2) AS x1, sx + (length(name) * font * 0.3::DOUBLE + 2) AS x2, ty - font / 2 - 2 AS y1, ty + font / 2 + 2 AS y2 FROM tried WHERE turn <= floor(180 * greatest(0.1, least(1.0, k)))), unused AS (SELECT viewport_id, id, CAST(turn").rstrip() + """), greedy AS (
+  SELECT viewport_id, CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS id, false AS keep, CAST([] AS STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[]) AS kept FROM viewports
+  UNION ALL
+  SELECT c.viewport_id, c.turn, c.id, h.clashes = 0, CASE WHEN h.clashes = 0 THEN list_append(g.kept, {'x1': c.x1, 'y1': c.y1, 'x2': c.x2, 'y2': c.y2}) ELSE g.kept END
+  FROM greedy g JOIN cand c ON c.viewport_id = g.viewport_id AND c.turn = g.turn + 1,
+    LATERAL (SELECT len(list_filter(g.kept, lambda o: c.x2 >= o.x1 AND c.x1 <= o.x2 AND c.y2 >= o.y1 AND c.y1 <= o.y2)) AS clashes) h)
+SELECT viewport_id, id FROM greedy WHERE keep""", labels=True))
 def place_labels(spark, sf):
-    return P.place_labels(_candidates(spark, sf))
+    return P.place_labels(_candidates(spark, sf)).select("viewport_id", "id")
 
 
 def _points(spark, sf):
@@ -868,6 +875,48 @@ def circle_layout(spark, sf):
     return Y.circle_layout(labelled(spark, sf, "geo")).select("id", "parent_id", "name", "level", "x", "y", "r")
 
 
+@query(O.view_sql("geo", """
+SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS outside, 2000.0::DOUBLE AS root_radius, 1.0::DOUBLE AS leaf_area_ratio FROM geo"""))
+def layout_invariants(spark, sf):
+    """Every circle inside its parent, root radius, equal area per leaf."""
+    laid = Y.circle_layout(labelled(spark, sf, "geo"))
+    parent = laid.select(F.col("id").alias("parent_id"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("r").alias("pr"))
+    reach = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2)) + F.col("r")
+    leaf_r = F.when(F.col("child_count") == 0, F.col("r"))
+    return laid.join(parent, "parent_id", "left").agg(
+        F.count(F.lit(1)).alias("nodes"),
+        F.count_if(reach > F.col("pr") + 4e-3).alias("outside"),
+        F.round(F.max(F.when(F.col("level") == 0, F.col("r"))), 6).alias("root_radius"),
+        F.round(F.pow(F.max(leaf_r) / F.min(leaf_r), 2), 6).alias("leaf_area_ratio"),
+    )
+
+
+_TITLE = """array_to_string(list_transform(regexp_extract_all(lower({0}), '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'),
+  lambda w: CASE WHEN regexp_matches(w, '^[a-z]') THEN upper(w[1:1]) || w[2:] ELSE w END), '')"""
+
+
+@query(f"""WITH RECURSIVE {O.view_ctes('geo_ph')}, {_SYN}, named AS (
+  SELECT id, parent_id, CASE WHEN common_name IS NULL THEN name ELSE common_name || ' (' || name || ')' END AS name, name = 'sibling_higher' AND common_name IS NULL AS gone
+  FROM geo_ph LEFT JOIN best ON ott_id = id
+), lifted AS (
+  SELECT k.id, CASE WHEN p.gone THEN p.parent_id ELSE k.parent_id END AS parent_id, k.name FROM named k LEFT JOIN named p ON p.id = k.parent_id WHERE NOT k.gone
+), walk AS (
+  SELECT id, name, 0 AS level, CAST(NULL AS VARCHAR) AS parent_name FROM lifted WHERE parent_id IS NULL
+  UNION ALL SELECT l.id, l.name, w.level + 1, w.name FROM lifted l JOIN walk w ON l.parent_id = w.id)
+SELECT {_TITLE.format('name')} AS name, level, CASE WHEN parent_name IS NULL THEN '' ELSE {_TITLE.format('parent_name')} END AS parent_name FROM walk""")
+def bake_opentree(spark, sf):
+    """Dump files to stored layout rows, all steps."""
+    geo = view(spark, sf, "geo_ph")
+    line = _bar(F.col("id"), F.col("parent_id"), F.col("name"), F.lit("no rank"), F.lit(""), F.lit(""))
+    s = _bar(F.col("synonym"), F.col("ott_id"), F.lit("synonym"), F.col("synonym"), F.col("source"))
+    # One file keeps the order of the lines, in which the first of equal synonyms wins.
+    synonyms = _synonyms(spark, sf).orderBy("line_no")
+    nodes = B.opentree_nodes(spark, _text_file(geo, line, "taxonomy"), _text_file(synonyms, s, "synonyms"))
+    baked = B.bake_layout(nodes)
+    parents = baked.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name"))
+    return baked.join(parents, "parent_id", "left").select("name", "level", F.coalesce("parent_name", F.lit("")).alias("parent_name"))
+
+
 @query()
 def circle_layout_variants(spark, sf):
     """Subtree-size values, alphabetical order, padding, families cut at 64."""
@@ -932,6 +981,21 @@ def read_layout_parts(spark, sf):
     return A.read_layout_parts(spark, path, multi_line=False).select("id", "parent_id", "name", "level", "x", "y", "r")
 
 
+@query(O.line_sql("SELECT id, level AS part FROM geo_line"))
+def concat_parts(spark, sf):
+    """Parts read one by one and joined in order."""
+    path = scratch_path(spark, "concat")
+    line = laid_out_line(spark, sf).withColumn("part", F.col("level"))
+    A.write_layout_parts(line, path)
+    parts = [A.read_layout_parts(spark, f"{path}/part={p}", multi_line=False).withColumn("part", F.lit(p)) for p in range(5)]
+    return union(*parts).select("id", "part")
+
+
+@query(O.view_sql("geo", "SELECT id, CAST(to_json({'id': id, 'parent_id': parent_id, 'name': name}) AS VARCHAR) AS json FROM geo"))
+def json_node(spark, sf):
+    return view(spark, sf, "geo").select("id", T.json_node(F.struct("id", "parent_id", "name")).alias("json"))
+
+
 @query(O.labelled_sql("geo", """, kid AS (
   SELECT parent_id, id, name, row_number() OVER (PARTITION BY parent_id ORDER BY k) AS ord FROM lab WHERE parent_id IS NOT NULL)
 SELECT p.id, p.name, CAST((ord - 1) // 16 AS INTEGER) AS chunk, string_agg(kid.name, '|' ORDER BY ord) AS children, count(*) AS n
@@ -942,9 +1006,34 @@ def adjacency_export(spark, sf):
     return out.select("id", "name", "chunk", F.array_join("children.name", "|").alias("children"), F.size("children").cast("bigint").alias("n"))
 
 
-@query()
+@query(O.labelled_sql("geo", f""", sized AS (
+  SELECT id, parent_id, level, pre, child_count, length(CAST(to_json({{'name': name, 'level': level, '_leaves': leaf_count}}) AS VARCHAR)) AS own,
+    'data/' || array_to_string(list_transform(names, lambda n: {O.uri('n')}), '/') || '.json' AS key FROM lab
+), sums AS (
+  SELECT parent_id AS id, sum(own) AS plain, sum(own + CASE WHEN child_count > 0 THEN length(key) + 12 ELSE 0 END) AS refs FROM sized GROUP BY parent_id
+), forms AS (
+  SELECT z.*, own + 14 AS opened, own + 14 + coalesce(plain, 0) + greatest(child_count - 1, 0) AS tested,
+    own + 14 + coalesce(refs, 0) + greatest(child_count - 1, 0) AS inlined, own + length(key) + 12 AS stub,
+    row_number() OVER (PARTITION BY z.parent_id ORDER BY pre) AS ord
+  FROM sized z LEFT JOIN sums s ON s.id = z.id
+), fold AS (
+  SELECT id AS parent_id, CAST(0 AS BIGINT) AS ord, CAST(NULL AS BIGINT) AS id, false AS cut, CAST(opened AS BIGINT) AS so_far FROM forms WHERE child_count > 0
+  UNION ALL
+  SELECT c.parent_id, c.ord, c.id, d.cut, CAST(f.so_far + CASE WHEN d.cut THEN c.stub ELSE c.inlined END + CASE WHEN c.ord > 1 THEN 1 ELSE 0 END AS BIGINT)
+  FROM fold f JOIN forms c ON c.parent_id = f.parent_id AND c.ord = f.ord + 1,
+    LATERAL (SELECT c.child_count > 0 AND (2 + f.so_far + c.tested > 20000 OR c.ord > 50) AS cut) d
+), decided AS (SELECT f.parent_id, f.ord, f.id, f.cut, c.key, c.child_count FROM fold f JOIN forms c ON c.id = f.id
+), shard AS (
+  SELECT id, true AS is_root FROM forms WHERE parent_id IS NULL
+  UNION ALL SELECT d.id, CASE WHEN s.is_root THEN d.cut ELSE true END FROM shard s JOIN decided d ON d.parent_id = s.id WHERE d.child_count > 0
+), direct AS (
+  SELECT s.id AS shard_id, d.id AS child_id, d.cut AS is_stub, CASE WHEN d.cut THEN d.key END AS shard_ref
+  FROM shard s JOIN decided d ON d.parent_id = s.id WHERE s.is_root)
+SELECT * FROM direct
+UNION ALL SELECT x.shard_id, d.id, true, CASE WHEN d.child_count > 0 THEN d.key END FROM direct x JOIN decided d ON d.parent_id = x.child_id WHERE NOT x.is_stub"""))
 def shard_by_budget(spark, sf):
-    return A.shard_by_budget(labelled(spark, sf, "geo"), max_bytes=20_000, max_children=50)
+    cut = A.shard_by_budget(labelled(spark, sf, "geo"), max_bytes=20_000, max_children=50)
+    return cut.select("shard_id", "child_id", "is_stub", "shard_ref")
 
 
 @query(O.labelled_sql("geo", "SELECT name, level, leaf_count AS leaves, 'data/Life.json' AS shard FROM lab WHERE level = 0"))

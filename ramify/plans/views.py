@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ramify.operators.labels import label_hierarchy, sibling_order
+from ramify.operators.ranking import grouped_running
 from ramify.store import materialize
 
 TABLES = (
@@ -39,7 +40,6 @@ SELECT p_partkey AS line_no, p_name AS synonym, 100 + p_partkey % 25 AS ott_id,
     "geo_ph": """
 SELECT id, parent_id, CASE WHEN id BETWEEN 100 AND 124 AND id % 5 = 0 THEN 'sibling_higher' ELSE name END AS name FROM geo""",
 }
-VIEW_NEEDS = {"geo_ph": ["geo"]}
 FOREST = {"chain", "talk"}
 
 
@@ -54,6 +54,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view over the tables of ``sf_dir``."""
     sql = VIEW_SQL[name]
+    if name == "chain":
+        # The window of the SQL form would put a whole user in one task.
+        numbered = grouped_running(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "n")
+        before = numbered.select("user_id", (F.col("n") + 1).alias("n"), F.col("event_id").alias("parent_id"))
+        return numbered.join(before, ["user_id", "n"], "left").select(
+            F.col("event_id").alias("id"), "parent_id", F.col("event_type").alias("name")
+        )
     if name == "geo_ph":
         return spark.sql(sql.replace("FROM geo", "FROM {geo}"), geo=view(spark, sf_dir, "geo"))
     used = [t for t in TABLES if f"FROM {t}" in sql]
