@@ -194,3 +194,29 @@ def _grow_front(x: list, y: list, r: list) -> list[int]:
         front.append(p)
         p = after[p]
     return front
+
+
+def pack_sorted(batches):
+    """Pack rows that arrive sorted by family and order, family by family."""
+    import pandas as pd
+
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        family = rows["family"].to_numpy()
+        cuts = np.flatnonzero(family[1:] != family[:-1]) + 1
+        # The last family may go on in the next batch.
+        whole = int(cuts[-1]) if len(cuts) else 0
+        if whole:
+            yield _pack_rows(rows.iloc[:whole], cuts[:-1])
+        rest = rows.iloc[whole:]
+    if rest is not None and len(rest):
+        yield _pack_rows(rest, [])
+
+
+def _pack_rows(rows, cuts):
+    radius = rows["r"].to_numpy()
+    dx, dy, whole = (np.empty(len(rows)) for _ in range(3))
+    for start, end in zip([0, *cuts], [*cuts, len(rows)]):
+        dx[start:end], dy[start:end], whole[start:end] = pack_circles(radius[start:end])
+    return rows[["family", "id"]].assign(dx=dx, dy=dy, whole=whole)

@@ -56,19 +56,20 @@ def drop_duplicate_leaves(nodes: DataFrame) -> DataFrame:
     row along, so names with many copies shrink before the shuffle and the
     survivors need no join back.
     """
-    rows = nodes
     parents = normalise_parents(nodes).select(F.col("parent_id").alias("id")).filter("id is not null").distinct()
-    flagged = rows.join(parents.withColumn("_inner", F.lit(True)), "id", "left")
-    is_candidate = F.col("_inner").isNull() & (F.length(T.strip(F.coalesce("name", F.lit("")))) > 0)
-    candidates = flagged.filter(is_candidate).select(F.lower("name").alias("_key"), F.struct(*nodes.columns).alias("_row"))
-    single = (
-        candidates.groupBy("_key")
+    flagged = nodes.join(parents.withColumn("_inner", F.lit(True)), "id", "left")
+    counted = F.col("_inner").isNull() & (F.length(T.strip(F.coalesce("name", F.lit("")))) > 0)
+    # A row that is not counted is a group of its own.
+    grouped = (
+        flagged.select(
+            F.when(counted, F.lower("name")).alias("_key"),
+            F.when(~counted, F.col("id")).alias("_id"),
+            F.struct(*nodes.columns).alias("_row"),
+        )
+        .groupBy("_key", "_id")
         .agg(F.count(F.lit(1)).alias("_n"), F.any_value("_row").alias("_row"))
-        .filter("_n = 1")
-        .select("_row.*")
     )
-    others = flagged.filter(~is_candidate).select(*nodes.columns)
-    return others.unionByName(single)
+    return grouped.filter((F.col("_n") == 1) | F.col("_key").isNull()).select("_row.*")
 
 
 def duplicate_name_counts(labelled: DataFrame) -> DataFrame:

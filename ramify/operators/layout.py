@@ -23,6 +23,8 @@ from ramify.store import materialize, transient
 
 # The kernel travels with the tasks: workers need not have this package.
 cloudpickle.register_pickle_by_value(packing)
+_pack_sorted = packing.pack_sorted
+_CIRCLES_PER_TASK = 20_000
 
 
 def pack_families(circles: DataFrame, max_family: int) -> DataFrame:
@@ -35,17 +37,24 @@ def pack_families(circles: DataFrame, max_family: int) -> DataFrame:
     their parent and apart from each other, and no task gets more than
     ``max_family`` circles.
     """
+    spark = circles.sparkSession
+    same = F.col("r_max") - F.col("r_min") <= F.col("r_max") * 1e-12
     sized = circles.groupBy("family").agg(
         F.count(F.lit(1)).alias("k"), F.min("r").alias("r_min"), F.max("r").alias("r_max")
     )
-    sized = materialize(sized, "families")
-    large = sized.filter(F.col("k") > max_family)
-    if not large.isEmpty():
-        return _pack_in_blocks(circles, large, max_family)
-    same = F.col("r_max") - F.col("r_min") <= F.col("r_max") * 1e-12
-    even = circles.join(sized.filter(same).select("family", "k"), "family")
-    uneven = circles.join(sized.filter(~same).select("family"), "family", "left_semi")
-    counts = sized.filter(same).select("k").distinct()
+    sized, seen = materialize(
+        sized.select("family", "k", same.alias("even")),
+        "families",
+        {
+            "large": F.count_if(F.col("k") > max_family),
+            "uneven": F.coalesce(F.sum(F.when(~F.col("even"), F.col("k"))), F.lit(0)),
+        },
+    )
+    if seen["large"]:
+        return _pack_in_blocks(circles, sized.filter(F.col("k") > max_family), max_family)
+    even = circles.join(sized.filter("even").select("family", "k"), "family")
+    uneven = circles.join(sized.filter("not even").select("family"), "family", "left_semi")
+    counts = sized.filter("even").select("k").distinct()
 
     def pack_unit(pdf):
         import pandas as pd
@@ -62,14 +71,14 @@ def pack_families(circles: DataFrame, max_family: int) -> DataFrame:
         (F.col("uy") * F.col("r")).alias("dy"),
         (F.col("uw") * F.col("r")).alias("whole"),
     )
-
-    def pack_one(pdf):
-        pdf = pdf.sort_values("ord")
-        x, y, whole = pack_circles(pdf["r"].to_numpy())
-        return pdf[["family", "id"]].assign(dx=x, dy=y, whole=whole)
-
-    placed_uneven = uneven.groupBy("family").applyInPandas(
-        pack_one, "family string, id bigint, dx double, dy double, whole double"
+    # Packing costs far more than its bytes suggest, so the number of tasks
+    # follows the number of circles and is not merged by size.
+    tasks = max(1, min(seen["uneven"] // _CIRCLES_PER_TASK + spark.sparkContext.defaultParallelism, seen["uneven"] // 32))
+    placed_uneven = (
+        uneven.select("family", "id", "ord", "r")
+        .repartition(tasks, "family")
+        .sortWithinPartitions("family", "ord")
+        .mapInPandas(_pack_sorted, "family string, id bigint, dx double, dy double, whole double")
     )
     return placed_even.unionByName(placed_uneven)
 

@@ -155,7 +155,9 @@ def cull_viewports(
     )
     asked = _viewport_cells(_with_current(laid_out, viewports), zooms, size, pad_px, min_px)
     cam = G.camera()
-    seen = asked.join(circles, ["_z", "_cx", "_cy"]).filter(
+    # The cells of the viewports are many more than their table suggests: no
+    # broadcast on the strength of its size.
+    seen = asked.hint("merge").join(circles, ["_z", "_cx", "_cy"]).filter(
         (F.col("r") * F.col("k") >= min_px)
         & G.in_viewport(F.col("x"), F.col("y"), F.col("r"), cam, pad_px)
         & _inside(F.col("pre"))
