@@ -196,16 +196,21 @@ def count_nodes(spark, sf):
     return labelled(spark, sf, "geo").filter("level <= 1").select("name", F.col("subtree_size").alias("nodes"))
 
 
+def _narrow(spark, sf):
+    """geo labels without the paths: what a sort has to carry."""
+    return labelled(spark, sf, "geo").drop("path_ids", "path_names")
+
+
 @query(O.view_sql("geo", """
 SELECT id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY name, id) AS ord FROM geo"""))
 def sibling_order(spark, sf):
-    return L.sibling_order(labelled(spark, sf, "geo")).select("id", "parent_id", "ord")
+    return L.sibling_order(_narrow(spark, sf)).select("id", "parent_id", "ord")
 
 
 @query(O.labelled_sql("geo", """, ranked AS (SELECT id, parent_id, level, row_number() OVER (ORDER BY level, k) AS bfs FROM lab)
 SELECT a.id, a.bfs, b.bfs AS bfs_parent, a.level FROM ranked a LEFT JOIN ranked b ON b.id = a.parent_id"""))
 def bfs_ids(spark, sf):
-    return L.bfs_ids(labelled(spark, sf, "geo")).select("id", "bfs", "bfs_parent", "level")
+    return L.bfs_ids(_narrow(spark, sf)).select("id", "bfs", "bfs_parent", "level")
 
 
 @query(O.labelled_sql("geo", "SELECT id, pre + 999 AS dfs, level + 1 AS level FROM lab"))
@@ -216,7 +221,7 @@ def dfs_ids(spark, sf):
 
 @query(O.labelled_sql("geo", "SELECT id, row_number() OVER (ORDER BY level DESC, k) AS pick_rank FROM lab"))
 def pick_order(spark, sf):
-    ranked = global_rank(labelled(spark, sf, "geo"), [F.col("level").desc(), "pre"], "pick_rank")
+    ranked = global_rank(_narrow(spark, sf), [F.col("level").desc(), "pre"], "pick_rank")
     return ranked.select("id", "pick_rank")
 
 
@@ -329,7 +334,7 @@ def order_siblings(spark, sf):
         .when(F.col("level") == 3, F.when(F.col("id") % 2 == 0, "family").otherwise("order"))
         .otherwise("no rank")
     )
-    geo = L.rollup_value(labelled(spark, sf, "geo"), L.node_value("leaf")).withColumn("rank", rank)
+    geo = _narrow(spark, sf).withColumn("value", F.col("leaf_count")).withColumn("rank", rank)
     return union(*[
         L.order_siblings(geo, s).select(F.lit(s).alias("strategy"), "id", "ord") for s in _STRATEGIES
     ])
@@ -338,7 +343,7 @@ def order_siblings(spark, sf):
 @query()
 def order_siblings_random(spark, sf):
     """Reproducible shuffle of every family."""
-    return L.order_siblings(labelled(spark, sf, "geo"), "random", seed=7).select("id", "parent_id", "ord")
+    return L.order_siblings(_narrow(spark, sf), "random", seed=7).select("id", "parent_id", "ord")
 
 
 # =============================================================================
@@ -937,7 +942,7 @@ _PARTS = """, ranked AS (SELECT *, row_number() OVER (ORDER BY level, k) AS bfs
 
 
 def _parted(spark, sf):
-    return A.split_parts(L.bfs_ids(labelled(spark, sf, "geo")))
+    return A.split_parts(L.bfs_ids(_narrow(spark, sf)))
 
 
 @query(O.labelled_sql("geo", _PARTS + " SELECT id, part FROM parts"))

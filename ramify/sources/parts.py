@@ -168,7 +168,8 @@ def adjacency_export(labelled: DataFrame, chunk_size: int = 10_000) -> DataFrame
     A family is cut into chunks of ``chunk_size`` so that no row grows with
     the largest family; chunk 0, 1, ... together are the whole list.
     """
-    numbered = grouped_running(labelled.filter("parent_id is not null"), ["parent_id"], ["pre"], "ord")
+    members = labelled.filter("parent_id is not null").select("id", "parent_id", "name", "level", "leaf_count", "pre")
+    numbered = grouped_running(members, ["parent_id"], ["pre"], "ord")
     child = F.struct("ord", "id", "name", "level", "leaf_count")
     rows = (
         numbered.withColumn("chunk", F.floor((F.col("ord") - 1) / chunk_size).cast("int"))
