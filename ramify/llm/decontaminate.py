@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ramify.llm.staging import ascii_lower, staged, text_or_empty
+from ramify.llm.staging import ascii_lower, carried, staged, text_or_empty, unpacked
 
 WINDOW = 13
 BROADCAST_WINDOWS = 500_000  # about 100 bytes each
@@ -118,22 +118,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     mode "documents" leaves out contaminated documents. mode "spans" keeps every
     document and takes its hit words out, each with the characters up to the next word.
     """
-    found = find_contamination(docs, benchmark, window)
-    by_row = (docs["doc_id"].eqNullSafe(F.col("_id"))) & (F.xxhash64(docs["text"]) == F.col("_text"))
+    found = find_contamination(docs, benchmark, window).withColumnsRenamed({"doc_id": "__found", "_text": "__found_text"})
+    rows = carried(docs)
+    same_row = F.col("__id").eqNullSafe(F.col("__found")) & (F.col("__text") == F.col("__found_text"))
     if mode == "documents":
-        bad = found.filter("contaminated").select(F.col("doc_id").alias("_id"), "_text").distinct()
-        return docs.join(bad, by_row, "left_anti")
+        bad = found.filter("contaminated").select("__found", "__found_text").distinct()
+        return unpacked(rows.join(bad, same_row, "left_anti"), docs)
     if mode != "spans":
         raise ValueError("mode is documents or spans")
-    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("_id"), "_text", "hits").dropDuplicates(["_id", "_text"])
-    joined = docs.join(hit, by_row, "left")
-    words = F.regexp_extract_all("text", F.lit(_WORD_ANY_CASE), F.lit(0))
-    gaps = F.split("text", _WORD_ANY_CASE, -1)
+    hit = found.filter("n_hit > 0").select("__found", "__found_text", "hits").dropDuplicates(["__found", "__found_text"])
+    text = F.col("__row.text")
     places = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
-    kept = F.array_join(
-        F.transform("_words", lambda w, i: F.when(F.array_contains("_places", i + 1), "").otherwise(F.concat(w, F.get("_gaps", i + 1)))), ""
+    parts = rows.join(hit, same_row, "left").withColumns({
+        "__words": F.regexp_extract_all(text, F.lit(_WORD_ANY_CASE), F.lit(0)),
+        "__gaps": F.split(text, _WORD_ANY_CASE, -1),
+        "__places": places,
+    })
+    kept = F.transform(
+        "__words", lambda w, i: F.when(F.array_contains("__places", i + 1), "").otherwise(F.concat(w, F.get("__gaps", i + 1)))
     )
-    cleaned = joined.withColumns({"_words": words, "_gaps": gaps, "_places": places}).withColumn(
-        "text", F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.concat(F.get("_gaps", F.lit(0)), kept))
-    )
-    return cleaned.select(*docs.columns)
+    cleaned = F.concat(F.get("__gaps", F.lit(0)), F.array_join(kept, ""))
+    return unpacked(parts, docs, text=F.when(F.col("hits").isNull(), text).otherwise(cleaned))

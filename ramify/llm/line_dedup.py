@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ramify.llm.staging import ascii_lower, staged
+from ramify.llm.staging import ascii_lower, carried, staged, unpacked
 
 MAX_EDITS = 1
 MIN_CHARS = 20
@@ -128,16 +128,18 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
     Null texts stay null. Rows with the same doc_id and text count as one document; a
     null doc_id comes first. An empty table stays empty; other columns are kept.
     """
-    # Doubled names cannot clash with columns of the table.
     gone = (
         repeated_lines(docs, max_edits, min_chars)
         .groupBy("doc_id", "_text")
         .agg(F.collect_set("line_no").alias("__gone"))
-        .select(F.col("doc_id").alias("__id"), F.col("_text").alias("__text"), "__gone")
+        .withColumnsRenamed({"doc_id": "__in", "_text": "__in_text"})
+    )
+    same_row = F.col("__id").eqNullSafe(F.col("__in")) & (F.col("__text") == F.col("__in_text"))
+    text = F.col("__row.text")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    return unpacked(
+        carried(docs).join(gone, same_row, "left"),
+        docs,
+        text=F.when(F.col("__gone").isNull(), text).otherwise(kept),
+        n_removed=F.coalesce(F.size("__gone"), F.lit(0)),
     )
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__text")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__gone", i))
-    return joined.select(
-        *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_removed"],
-        F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"),
-    )

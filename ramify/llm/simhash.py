@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ramify.llm.bktree import Forest, join_labels
 from ramify.llm.components import connected_components
-from ramify.llm.staging import staged
+from ramify.llm.staging import carried, staged, unpacked
 
 RADIUS = 4
 SHINGLE = 4
@@ -63,15 +63,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint's 64 bits as a bigint."""
+    """doc_id, _text (hash of the text) and fp, the fingerprint's 64 bits as a bigint."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.int64())], names=["doc_id", "_text", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).mapInArrow(work, f"doc_id {kind}, _text bigint, fp bigint")
 
 
 def block_masks(radius: int, equal: int) -> list[int]:
@@ -142,7 +142,9 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Per document: doc_id, fp, fingerprint (16 hex digits), component_id.
+    """Per document: doc_id, fingerprint (16 hex digits), component_id; also _text, fp and root.
+
+    root names the component, _text is a hash of the text.
 
     component_id is the smallest doc_id that can be reached over fingerprints within
     ``radius`` bits of each other. Null and empty texts have fingerprint 0. A null
@@ -154,20 +156,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = connected_components(links(classes, radius))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = named.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_print = named.join(smallest, "root").select("fp", "root", "component_id")
+    return prints.join(by_print, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id.
 
-    Where rows repeat that doc_id, the one with the smallest text hash stays, once.
+    Where rows repeat that doc_id, the one with the smallest text hash stays, once. Nulls
+    and empty tables as in ``near_duplicates``.
     """
     found = near_duplicates(docs, radius)
-    first = found.filter("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(F.col("_id")))
-    once = kept.filter("_n = 1").select(*docs.columns)
-    # Only rows that repeat a doc_id are compared.
-    repeated = kept.filter("_n > 1").withColumn("_hash", F.xxhash64("text"))
-    best = repeated.groupBy("_id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.col("_hash")).alias("_row"))
-    return once.unionByName(best.select("_row.*"))
+    first = (
+        found.filter("doc_id <=> component_id")
+        .groupBy("root", "doc_id", "_text").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("root").agg(F.min(F.struct("_text", "doc_id", "n")).alias("f"))
+        .select(F.col("f.doc_id").alias("__first"), F.col("f._text").alias("__first_text"), F.col("f.n").alias("__n"))
+    )
+    same_row = F.col("__id").eqNullSafe(F.col("__first")) & (F.col("__text") == F.col("__first_text"))
+    kept = carried(docs).join(first, same_row)
+    # Only rows that repeat both are compared.
+    best = kept.filter("__n > 1").groupBy("__id", "__text").agg(F.any_value("__row").alias("__row"))
+    return unpacked(kept.filter("__n = 1").select("__row").unionByName(best.select("__row")), docs)

@@ -71,7 +71,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
 
 def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Inner products of integer-valued rows, exact: doubles while they can hold every sum."""
-    most = np.abs(queries).max(initial=0) * np.abs(candidates).max(initial=0) * max(1, queries.shape[1])
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(candidates).max(initial=0)) * max(1, queries.shape[1])
     if most < _EXACT:
         return queries @ candidates.T
     if most < 2.0**62:

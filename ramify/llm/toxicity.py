@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ramify.llm.labelled import labelled_sample
 
@@ -154,20 +155,25 @@ def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     theirs; an empty table stays empty. Without toxic rows to learn from the score is 0.
     """
 
+    scored = _scored(docs.drop("toxicity"), model)
+    return scored.select(*[F.col(f"__row.`{c}`") for c in docs.drop("toxicity").columns], F.col("__score").alias("toxicity"))
+
+
+def _scored(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
+    """__row, the whole row, and __score."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = names.index("text")
         for batch in batches:
-            logits = model.logits([term_buckets(t.as_py()) for t in batch.column(place)])
+            logits = model.logits([term_buckets(t.as_py()) for t in batch.column(0).field("text")])
             scores = 1 / (1 + np.exp(-np.clip(logits, -700, 700)))
             scores[np.isneginf(logits)] = 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], schema=batch.schema.append(pa.field("toxicity", pa.float64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["__row", "__score"])
 
-    names = docs.columns
-    return docs.mapInArrow(work, docs.drop("toxicity").schema.add("toxicity", "double"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return rows.mapInArrow(work, StructType([*rows.schema, StructField("__score", DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without those that score at or above ``threshold``; same columns."""
-    plain = docs.select("text", F.struct(*docs.columns).alias("_row")) if "toxicity" in docs.columns else docs
-    kept = score(plain, model).filter(F.col("toxicity") < threshold)
-    return kept.select("_row.*") if plain is not docs else kept.select(*docs.columns)
+    """``docs`` without those that score at or above ``threshold``; same columns; edges as in ``score``."""
+    kept = _scored(docs, model).filter(F.col("__score") < threshold)
+    return kept.select(*[F.col(f"__row.`{c}`") for c in docs.columns])
