@@ -50,7 +50,7 @@ def unnamed(name: Column | str) -> Column:
     return F.coalesce(_col(name), F.lit("Unnamed"))
 
 
-def truncate_name(name: Column | str, length: int = 100) -> Column:
+def truncate_name(name: Column | str, length: int) -> Column:
     return F.substring(_col(name), 1, length)
 
 
@@ -205,16 +205,8 @@ def highlight(text: Column | str, query: str) -> Column:
         F.lit("</mark>"),
         F.substring(col, at + n, F.lit(1 << 30)),
     )
-    letters = F.array(*[F.lit(c) for c in query.lower()])
-    start = F.struct(F.lit(0).alias("hit"), F.lit("").alias("out"))
-
-    def step(acc: Column, ch: Column) -> Column:
-        match = F.lower(ch) == F.get(letters, acc["hit"])
-        match = F.coalesce(match, F.lit(False))
-        return F.struct(
-            F.when(match, acc["hit"] + 1).otherwise(acc["hit"]).alias("hit"),
-            F.concat(acc["out"], F.when(match, F.concat(F.lit("<mark>"), ch, F.lit("</mark>"))).otherwise(ch)).alias("out"),
-        )
-
-    folded = F.aggregate(F.split(col, ""), start, step, lambda a: F.when(a["hit"] == n, a["out"]))
-    return F.when(at > 0, direct).otherwise(F.coalesce(folded, col))
+    # One pass: up to each letter nothing but other characters. A text that lacks a
+    # letter does not match and stays as it is.
+    steps = "".join(rf"([^\x{{{ord(c):x}}}]*+)(\x{{{ord(c):x}}})" for c in query)
+    marked = "".join(f"${2 * i + 1}<mark>${2 * i + 2}</mark>" for i in range(n))
+    return F.when(at > 0, direct).otherwise(F.regexp_replace(col, "(?isu)^" + steps, marked))

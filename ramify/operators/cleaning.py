@@ -12,7 +12,6 @@ from ramify.operators.hierarchy import normalise_parents
 from ramify.store import materialize
 
 PLACEHOLDER = "sibling_higher"
-_MAX_ROUNDS = 40
 
 # The attributes a node keeps.
 ESSENTIAL = ["id", "parent_id", "name", "level", "x", "y", "r", "leaf_count"]
@@ -26,7 +25,7 @@ def titlecase_names(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("name", T.titlecase("name"))
 
 
-def truncate_names(nodes: DataFrame, length: int = 100) -> DataFrame:
+def truncate_names(nodes: DataFrame, length: int) -> DataFrame:
     return nodes.withColumn("name", T.truncate_name("name", length))
 
 
@@ -115,7 +114,9 @@ def drop_placeholder_deep(nodes: DataFrame, name: str = PLACEHOLDER) -> DataFram
     marks = materialize(
         rows.filter(marked).select("id", F.col("parent_id").alias("up"), me.alias("chain")), "marks-0"
     )
-    for step in range(1, _MAX_ROUNDS):
+    step = 0
+    while True:
+        step += 1
         above = marks.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("chain").alias("_chain"))
         hop = F.col("_id").isNotNull()
         joined = marks.join(above, marks["up"] == above["_id"], "left").select(

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from ramify.store import materialize
 
-# A path doubles its length per round, so this covers any depth that fits in memory.
-_MAX_ROUNDS = 40
-
 
 def normalise_parents(nodes: DataFrame) -> DataFrame:
     """A node that is its own parent is a root: its parent becomes null."""
@@ -95,9 +92,9 @@ def build_hierarchy(
         raise ValueError(f"{seen['roots']} roots; pass root_id or roots='many'")
 
     closed = [table.filter(F.col("_up").isNull())]
-    for step in range(1, _MAX_ROUNDS):
-        if seen["open"] == 0:
-            break
+    step = 0
+    while seen["open"]:
+        step += 1
         open_rows = table.filter(F.col("_up").isNotNull())
         above = reduce(DataFrame.unionByName, [*closed, open_rows]).select(
             F.col("id").alias("_above"), F.col("path").alias("_head"), F.col("_up").alias("_next")

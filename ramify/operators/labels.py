@@ -102,8 +102,8 @@ def dfs_ids(labelled: DataFrame, first_id: int = 1, start_level: int = 0) -> Dat
 
 
 def pick_order(labelled: DataFrame) -> DataFrame:
-    """Deepest nodes first, ties in preorder."""
-    return labelled.orderBy(F.col("level").desc(), "pre")
+    """``pick_rank``: deepest nodes first, ties in preorder."""
+    return global_rank(labelled, [F.col("level").desc(), "pre"], "pick_rank")
 
 
 # --- paths and subtrees -------------------------------------------------------
@@ -278,7 +278,7 @@ def sibling_strategy(name: str, seed: int = 0, collation: str | None = None) ->
         "leaves_desc": [F.col("leaf_count").desc(), F.col("pre")],
         "children_desc": [F.col("child_count").desc(), F.col("pre")],
         "value_then_name": [F.col("value").desc(), by_name],
-        "random": [F.xxhash64("id", F.lit(seed))],
+        "random": [F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))))],
         "hybrid": [F.col("value").desc(), F.col("level").asc(), F.col("pre")],
     }
     if name == "rank":

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ramify.functions import text as T
 from ramify.functions.relevance import is_subsequence, path_bonus, relevance
-from ramify.operators.ranking import top_k
+from ramify.operators.ranking import grouped_running, top_k
 from ramify.store import materialize
 
 EXACT = 1000.0
@@ -47,32 +46,34 @@ def _matches(labelled: DataFrame, queries: Sequence[str], keep: Sequence[str]) -
     )
 
 
-def search(labelled: DataFrame, queries: Sequence[str], limit: int = 150) -> DataFrame:
-    """Best ``limit`` nodes per query: (query, rank, id, name, score).
+def search(labelled: DataFrame, queries: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Every match of each query, best first: (query, rank, id, name, score).
 
-    Score of the name plus the path bonus, ties by name and id. Every match
-    takes part; blank queries find nothing.
+    Score of the name plus the path bonus, ties by name and id; blank queries find
+    nothing. With ``limit`` only so many per query are returned.
     """
     scored = _matches(labelled, queries, ["id", "name", "path_names"]).withColumn("score", F.col("base") + F.col("bonus"))
-    ranked = top_k(scored, ["query"], [F.col("score").desc(), "name", "id"], limit, "rank", "id")
-    return ranked.select("query", "rank", "id", "name", "score", "path_names")
+    order = [F.col("score").desc(), "name", "id"]
+    if limit is None:
+        ranked = grouped_running(scored, ["query"], order, "rank")
+    else:
+        ranked = top_k(scored, ["query"], order, limit, "rank", "id")
+    return ranked.select("query", F.col("rank").cast("bigint").alias("rank"), "id", "name", "score", "path_names")
 
 
-def search_first_candidates(labelled: DataFrame, queries: Sequence[str], limit: int = 150) -> DataFrame:
-    """Order-dependent variant: only the first candidates of a fixed walk compete.
+def search_first_candidates(labelled: DataFrame, queries: Sequence[str], limit: int, candidates: int) -> DataFrame:
+    """Order-dependent top ``limit``: only the first ``candidates`` of a fixed walk compete.
 
-    Candidates are the first min(3 * limit, 500) matches of a preorder walk
-    that takes the last child first. Exact hits get no path bonus; without an
+    The walk is a preorder that takes the last child first. Exact hits get no path bonus; without an
     exact hit the first 2 * limit candidates get one, otherwise the first
     2 * limit of the others. If exact hits alone fill the limit, only they count.
     """
-    cap = min(3 * limit, 500)
     # Before a node in that walk: its ancestors and all subtrees right of its path.
     walk = F.col("level") - F.col("pre_end")
     found = _matches(labelled, queries, ["id", "name", "level", "pre_end"])
-    first = top_k(found.withColumn("_walk", walk), ["query"], ["_walk"], cap, "_seen", "id")
+    first = top_k(found.withColumn("_walk", walk), ["query"], ["_walk"], candidates, "_seen", "id")
     exact = F.col("base") >= EXACT
-    # At most ``cap`` rows per query from here on.
+    # At most ``candidates`` rows per query from here on.
     per_query = Window.partitionBy("query")
     in_turn = per_query.orderBy("_seen").rowsBetween(Window.unboundedPreceding, 0)
     counted = first.withColumn("_exact", F.sum(exact.cast("int")).over(per_query)).withColumn(
@@ -173,6 +174,3 @@ def enrich_nodes(nodes: DataFrame, pages: DataFrame, ranks: DataFrame) -> DataFr
         .drop("_key")
     )
 
-
-def highlighted(found: DataFrame, query: str) -> DataFrame:
-    return found.withColumn("marked", T.highlight("name", query))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ramify.functions import geometry as G
-from ramify.operators.ranking import top_k
+from ramify.operators.ranking import grouped_running, top_k
 
 _MAX_ZOOM = 40
 
@@ -181,8 +181,10 @@ def cull_viewports(
     return seen.join(whole, ["viewport_id", "id"], "left_semi")
 
 
-def node_budget(visible: DataFrame, budget: int = 9000) -> DataFrame:
-    """At most ``budget`` nodes per viewport, in preorder."""
+def node_budget(visible: DataFrame, budget: int | None = None) -> DataFrame:
+    """``drawn``: number of each node of a viewport, in preorder; with ``budget`` only the first so many."""
+    if budget is None:
+        return grouped_running(visible, ["viewport_id"], ["pre"], "drawn")
     return top_k(visible, ["viewport_id"], ["pre"], budget, "drawn", "id")
 
 
@@ -209,14 +211,15 @@ def label_candidates(
     font_max: float = 18.0,
     divisor: float = 3.0,
     least_font: float = 12.0,
-    max_labels: int = 180,
+    max_labels: int | None = None,
     char_width: float = 0.6,
     pad: float = 2.0,
 ) -> DataFrame:
     """Labels to try per viewport, largest font first, with their rectangles.
 
-    ``visible`` needs ``space`` (see ``label_space``). The number per viewport is
-    ``max_labels`` scaled by the zoom. Text width is estimated per character.
+    ``visible`` needs ``space`` (see ``label_space``). ``turn`` numbers all of them; with
+    ``max_labels`` only the first so many, scaled by the zoom, are returned. Text width
+    is estimated per character.
     """
     cam = G.camera()
     sx, sy = G.world_to_screen(F.col("x"), F.col("y"), cam)
@@ -234,29 +237,32 @@ def label_candidates(
         .withColumn("y1", F.col("ty") - F.col("font") / 2 - pad)
         .withColumn("y2", F.col("ty") + F.col("font") / 2 + pad)
     )
+    order = [F.col("font").desc(), "pre"]
+    if max_labels is None:
+        return grouped_running(tried, ["viewport_id"], order, "turn").drop("_half")
     cap = F.floor(max_labels * F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.col("k"))))
-    return top_k(tried, ["viewport_id"], [F.col("font").desc(), "pre"], cap, "turn", "id").drop("_half")
+    return top_k(tried, ["viewport_id"], order, cap, "turn", "id").drop("_half")
 
 
 def place_labels(candidates: DataFrame) -> DataFrame:
     """Labels kept when each, in turn, must not touch one kept before it.
 
-    One task handles one viewport: the candidates per viewport are few by
-    definition (``max_labels``).
+    One group is one viewport. Circles wide enough for a label cover its area a bounded
+    number of times, so that its candidates are bounded by its size in pixels.
     """
-    cols = ["viewport_id", "id", "turn", "x1", "y1", "x2", "y2"]
-    rows = candidates.select(*cols)
-
-    def keep(pdf):
-        kept = []
-        chosen = []
-        for row in pdf.sort_values("turn").itertuples():
-            clash = any(
-                row.x2 >= o.x1 and row.x1 <= o.x2 and row.y2 >= o.y1 and row.y1 <= o.y2 for o in kept
-            )
-            chosen.append(not clash)
-            if not clash:
-                kept.append(row)
-        return pdf.sort_values("turn")[chosen]
-
-    return rows.groupBy("viewport_id").applyInPandas(keep, rows.schema)
+    cols = ["id", "turn", "x1", "y1", "x2", "y2"]
+    # Goes over the candidates in turn with those kept so far.
+    kept = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("turn", *[c for c in cols if c != "turn"]))),
+        F.array().cast(_kept_type(candidates)),
+        lambda kept, c: F.when(
+            F.exists(kept, lambda o: (c["x2"] >= o["x1"]) & (c["x1"] <= o["x2"]) & (c["y2"] >= o["y1"]) & (c["y1"] <= o["y2"])),
+            kept,
+        ).otherwise(F.array_append(kept, c)),
+    )
+    return candidates.groupBy("viewport_id").agg(kept.alias("_kept")).select("viewport_id", F.inline("_kept")).select("viewport_id", *cols)
+
+
+def _kept_type(candidates: DataFrame) -> str:
+    kinds = dict(candidates.dtypes)
+    return "array<struct<" + ",".join(f"{c}:{kinds[c]}" for c in ("turn", "id", "x1", "y1", "x2", "y2")) + ">>"

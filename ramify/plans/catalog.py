@@ -22,7 +22,6 @@ from ramify.operators import labels as L
 from ramify.operators import layout as Y
 from ramify.operators import search as S
 from ramify.operators import spatial as P
-from ramify.operators.ranking import global_rank
 from ramify.plans import bake as B
 from ramify.plans import oracles as O
 from ramify.plans.views import labelled, laid_out_line, table, view
@@ -221,8 +220,7 @@ def dfs_ids(spark, sf):
 
 @query(O.labelled_sql("geo", "SELECT id, row_number() OVER (ORDER BY level DESC, k) AS pick_rank FROM lab"))
 def pick_order(spark, sf):
-    ranked = global_rank(_narrow(spark, sf), [F.col("level").desc(), "pre"], "pick_rank")
-    return ranked.select("id", "pick_rank")
+    return L.pick_order(_narrow(spark, sf)).select("id", "pick_rank")
 
 
 @query(O.labelled_sql("geo", """
@@ -340,7 +338,8 @@ def order_siblings(spark, sf):
     ])
 
 
-@query()
+@query(O.view_sql("geo", """
+SELECT id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY md5(id || ':7'), id) AS ord FROM geo"""))
 def order_siblings_random(spark, sf):
     """Reproducible shuffle of every family."""
     return L.order_siblings(_narrow(spark, sf), "random", seed=7).select("id", "parent_id", "ord")
@@ -368,7 +367,7 @@ def titlecase_names(spark, sf):
 @query("SELECT doc_id AS id, substr(text, 1, 100) AS name FROM documents")
 def truncate_names(spark, sf):
     docs = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("name"))
-    return C.truncate_names(docs)
+    return C.truncate_names(docs, 100)
 
 
 @query(O.view_sql("geo", """
@@ -442,7 +441,7 @@ _SYN = O.view_ctes("synonyms") + """, syn AS (
 
 def _synonyms(spark, sf):
     s = F.col("synonym")
-    raised = F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1000000))
+    raised = F.concat(F.upper(F.substring(s, 1, 1)), F.substr(s, F.lit(2)))
     return view(spark, sf, "synonyms").withColumn("synonym", F.when(F.col("line_no") % 3 == 0, raised).otherwise(s))
 
 
@@ -533,14 +532,14 @@ TERMS = ["widget", "nation_1", "afr", "ctm12", "order#12", "Life", "  "]
 
 @query(O.labelled_sql("geo", "," + O.score_ctes(TERMS) + """, ranked AS (
   SELECT query, id, name, base + bonus AS score, row_number() OVER (PARTITION BY query ORDER BY base + bonus DESC, name, id) AS rank FROM scored)
-SELECT query, CAST(rank AS INTEGER) AS rank, id, name, score FROM ranked WHERE rank <= 150"""))
+SELECT query, rank, id, name, score FROM ranked"""))
 def search(spark, sf):
     return S.search(labelled(spark, sf, "geo"), TERMS).drop("path_names")
 
 
 @query(O.labelled_sql("product", "," + O.score_ctes(["ring", "small ring 12", "brand#1", "sng", "parts"]) + """, ranked AS (
   SELECT query, id, name, base + bonus AS score, row_number() OVER (PARTITION BY query ORDER BY base + bonus DESC, name, id) AS rank FROM scored)
-SELECT query, CAST(rank AS INTEGER) AS rank, id, name, score FROM ranked WHERE rank <= 20"""))
+SELECT query, rank, id, name, score FROM ranked WHERE rank <= 20"""))
 def search_product(spark, sf):
     terms = ["ring", "small ring 12", "brand#1", "sng", "parts"]
     return S.search(labelled(spark, sf, "product"), terms, limit=20).drop("path_names")
@@ -557,12 +556,12 @@ def search_product(spark, sf):
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name, id) AS rank FROM final)
 SELECT query, CAST(rank AS INTEGER) AS rank, id, name, score FROM ranked WHERE rank <= 20"""))
 def search_first_candidates(spark, sf):
-    return S.search_first_candidates(labelled(spark, sf, "geo"), TERMS, limit=20)
+    return S.search_first_candidates(labelled(spark, sf, "geo"), TERMS, limit=20, candidates=60)
 
 
 @query(O.labelled_sql("geo", "," + O.score_ctes(TERMS) + """, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY base + bonus DESC, name, id) AS rank FROM scored)
-SELECT query, CAST(rank AS INTEGER) AS rank, id, name, array_to_string(names[1:len(names) - 1], ' / ') AS path FROM ranked WHERE rank <= 150"""))
+SELECT query, rank, id, name, array_to_string(names[1:len(names) - 1], ' / ') AS path FROM ranked"""))
 def search_results(spark, sf):
     return S.search_results(S.search(labelled(spark, sf, "geo"), TERMS))
 
@@ -724,8 +723,17 @@ def cull_viewports_below_current(spark, sf):
 
 @query(O.line_sql(_VISIBLE + """, ranked AS (
   SELECT v.viewport_id, v.id, row_number() OVER (PARTITION BY v.viewport_id ORDER BY l.pre) AS drawn FROM visible v JOIN lab l ON l.id = v.id)
-SELECT viewport_id, id, CAST(drawn AS INTEGER) AS drawn FROM ranked WHERE drawn <= 40""", labels=True))
+SELECT viewport_id, id, drawn FROM ranked""", labels=True))
 def node_budget(spark, sf):
+    """Every visible node with its number."""
+    return P.node_budget(_visible(spark, sf)).select("viewport_id", "id", "drawn")
+
+
+@query(O.line_sql(_VISIBLE + """, ranked AS (
+  SELECT v.viewport_id, v.id, row_number() OVER (PARTITION BY v.viewport_id ORDER BY l.pre) AS drawn FROM visible v JOIN lab l ON l.id = v.id)
+SELECT viewport_id, id, CAST(drawn AS INTEGER) AS drawn FROM ranked WHERE drawn <= 40""", labels=True))
+def node_budget_limited(spark, sf):
+    """The first 40 of each viewport."""
     return P.node_budget(_visible(spark, sf), 40).select("viewport_id", "id", "drawn")
 
 
@@ -746,9 +754,9 @@ _LABELS = _VISIBLE + """, space AS (
   SELECT *, w / 2 + (x - cam_x) * k AS sx, h / 2 + (y - cam_y) * k - sr + room / 2 AS ty,
     row_number() OVER (PARTITION BY viewport_id ORDER BY font DESC, pre) AS turn
   FROM sized WHERE font >= 12 AND room >= font + 4)
-SELECT viewport_id, id, CAST(turn AS INTEGER) AS turn, round(font, 6) AS font,
+SELECT viewport_id, id, turn, round(font, 6) AS font,
   round(sx - (length(name) * font * 0.3 + 2), 5) AS x1, round(ty + font / 2 + 2, 5) AS y2
-FROM tried WHERE turn <= floor(180 * greatest(0.1, least(1.0, k)))"""
+FROM tried"""
 
 
 def _candidates(spark, sf):
@@ -761,7 +769,7 @@ def label_candidates(spark, sf):
     return _candidates(spark, sf).select("viewport_id", "id", "turn", *rounded("font"), *rounded("x1", "y2", digits=5))
 
 
-@query(O.line_sql(_LABELS.replace("SELECT viewport_id, id, CAST(turn", ", cand AS (SELECT viewport_id, id, turn, sx - (length(name) * font * 0.3::DOUBLE + 2) AS x1, sx + (length(name) * font * 0.3::DOUBLE + 2) AS x2, ty - font / 2 - 2 AS y1, ty + font / 2 + 2 AS y2 FROM tried WHERE turn <= floor(180 * greatest(0.1, least(1.0, k)))), unused AS (SELECT viewport_id, id, CAST(turn").rstrip() + """), greedy AS (
+@query(O.line_sql(_LABELS.replace("SELECT viewport_id, id, turn, round(font", ", cand AS (SELECT viewport_id, id, turn, sx - (length(name) * font * 0.3::DOUBLE + 2) AS x1, sx + (length(name) * font * 0.3::DOUBLE + 2) AS x2, ty - font / 2 - 2 AS y1, ty + font / 2 + 2 AS y2 FROM tried), unused AS (SELECT viewport_id, id, turn, round(font").rstrip() + """), greedy AS (
   SELECT viewport_id, CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS id, false AS keep, CAST([] AS STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[]) AS kept FROM viewports
   UNION ALL
   SELECT c.viewport_id, c.turn, c.id, h.clashes = 0, CASE WHEN h.clashes = 0 THEN list_append(g.kept, {'x1': c.x1, 'y1': c.y1, 'x2': c.x2, 'y2': c.y2}) ELSE g.kept END

@@ -43,8 +43,9 @@ def spread(df: DataFrame) -> DataFrame:
     """Share out a table stored in fewer files than there are cores.
 
     Work that is heavy per row would otherwise run in as many tasks as there
-    are files. Tables in many files are returned as they are, without a shuffle.
+    are splits. Tables in many splits are returned as they are, without a shuffle; only
+    the number of splits is asked for.
     """
-    if len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= wanted else df.repartition(wanted)

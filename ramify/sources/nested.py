@@ -1,7 +1,9 @@
 """Nested JSON to rows. A document is a VARIANT; one explode per level opens it.
 
 All documents advance together, so the number of rounds is the depth of the
-deepest one. A document itself is one value and has to fit in a row.
+deepest one. A document itself is one value and has to fit in a row: a VARIANT
+holds at most 128 MiB, and a larger document fails in ``parse_json`` with an error
+that names the limit. Names are kept whole; cutting them is a step of its own.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ def flatten_tree_json(docs: DataFrame) -> DataFrame:
             f"json-{level}",
             {"more": F.count_if(F.col("kids").isNotNull())},
         )
-        name = T.truncate_name(T.unnamed("name")).alias("name")
+        name = T.unnamed("name").alias("name")
         levels.append(table.select("doc_id", "path", F.lit(level).alias("level"), name, "child_count"))
         if not seen["more"]:
             break

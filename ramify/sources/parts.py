@@ -59,7 +59,7 @@ def part_of(bfs: Column, total: int, parts: int = 5) -> Column:
 
 def part_file(part: Column) -> Column:
     """tree_part_001.json for part 0."""
-    return F.concat(F.lit("tree_part_"), F.lpad((part + 1).cast("string"), 3, "0"), F.lit(".json"))
+    return F.format_string("tree_part_%03d.json", part + 1)
 
 
 def split_parts(nodes: DataFrame, parts: int = 5, position: str = "bfs") -> DataFrame:
@@ -69,12 +69,12 @@ def split_parts(nodes: DataFrame, parts: int = 5, position: str = "bfs") -> Data
 
 
 def part_stats(parted: DataFrame, columns: list[str], parts: int = 5) -> DataFrame:
-    """Rows and JSON bytes per part; a part without rows is '[]'."""
+    """Rows and JSON bytes per part; a part without rows, up to ``parts``, is '[]'."""
     size = F.octet_length(T.json_node(F.struct(*columns)))
     found = parted.groupBy("part").agg(
         F.count(F.lit(1)).alias("nodes_count"), (F.sum(size) + F.count(F.lit(1)) + 1).alias("size_bytes")
     )
-    every = parted.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"))
+    every = parted.sparkSession.range(parts).select(F.col("id").cast("int").alias("part")).union(found.select("part")).distinct()
     return every.join(found, "part", "left").select(
         "part",
         part_file(F.col("part")).alias("filename"),
@@ -248,10 +248,10 @@ def shard_by_budget(labelled: DataFrame, max_bytes: int = 25_000_000, max_childr
         pdf = pdf.sort_values("ord")
         so_far = int(pdf["_open"].iloc[0])
         cuts = []
-        for row in pdf.itertuples():
-            cut = row.child_count > 0 and (2 + so_far + row.tested > max_bytes or row.ord > max_children)
+        for ord_, children, tested, inlined, stub in zip(*(pdf[c].to_numpy() for c in ("ord", "child_count", "tested", "inlined", "stub"))):
+            cut = children > 0 and (2 + so_far + tested > max_bytes or ord_ > max_children)
             cuts.append(bool(cut))
-            so_far += (row.stub if cut else row.inlined) + (1 if row.ord > 1 else 0)
+            so_far += (stub if cut else inlined) + (1 if ord_ > 1 else 0)
         return pdf.assign(folded=cuts)[["id", "folded"]]
 
     folded = (

@@ -72,7 +72,7 @@ def test_search_first_candidates(tree, q, limit):
         pool = [(m[0], m[3], m[2]) for m in exact]
         pool += [(m[0] + (m[1] if k < 2 * limit else 0), m[3], m[2]) for k, m in enumerate(others)]
     want = sorted(pool, key=lambda m: (-m[0], m[1], m[2]))[:limit]
-    got = S.search_first_candidates(labelled, [q], limit).orderBy("rank").collect()
+    got = S.search_first_candidates(labelled, [q], limit, min(3 * limit, 500)).orderBy("rank").collect()
     assert [(r["score"], r["name"], r["id"]) for r in got] == want
 
 
