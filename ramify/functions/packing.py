@@ -1,222 +1,93 @@
-"""Packing the circles of one family: tangent placement on a front chain.
-
-The method is the published one (Wang, Wang, Dai, Wang: "Visualization of large
-hierarchical data by circle packing", CHI 2006): each circle is placed tangent
-to the two neighbours of a closed front, the gap nearest to the centre first;
-if it would overlap a circle of the front, the front is cut there and the
-placement tried again.
+"""Circles of one family in concentric rings: closed-form expressions.
+
+Circles go by size class (a quarter of a doubling of the radius), largest class
+inside. A class of n circles of radius at most q fills rings around what lies inside
+it. A ring whose centre line is d = q * (u + 2j + 1) from the middle, u a whole
+number, takes 3 * (u + 2j + 1) circles: sin(pi / k) >= q / d for that k, so they do not
+touch. The rings before ring j hold 3j(u + j), which gives the ring and the slot of the
+m-th circle without looking at any other. Around an empty middle the first ring is the
+middle itself, and the rings are the hexagonal numbers; up to five circles stand in one
+ring about an empty middle. Slots that a class leaves in its last ring go to the next,
+smaller class. The same rule holds for families of any size.
 """
 
 from __future__ import annotations
 
-import heapq
-from itertools import combinations
-from math import hypot, sqrt
-
-import numpy as np
-
-_SLACK = 1e-6
-
-
-def enclosing_circle(x: np.ndarray, y: np.ndarray, r: np.ndarray) -> tuple[float, float, float]:
-    """Smallest circle around circles: grow a support set of at most three."""
-    support = [int(np.argmax(r))]
-    cx, cy, cr = float(x[support[0]]), float(y[support[0]]), float(r[support[0]])
-    for _ in range(10 * len(x) + 10):
-        reach = np.hypot(x - cx, y - cy) + r
-        far = int(np.argmax(reach))
-        if reach[far] <= cr * (1 + 1e-12) + 1e-12:
-            break
-        candidates = [*[s for s in support if s != far], far]
-        best = None
-        for size in (1, 2, 3):
-            for chosen in combinations(candidates, size):
-                found = _touching([(float(x[i]), float(y[i]), float(r[i])) for i in chosen])
-                if found is None or (best is not None and found[2] >= best[0][2]):
-                    continue
-                fits = all(hypot(x[i] - found[0], y[i] - found[1]) + r[i] <= found[2] * (1 + 1e-9) + 1e-12 for i in candidates)
-                if fits:
-                    best = (found, list(chosen))
-        if best is None or best[0][2] <= cr * (1 + 1e-13):
-            break
-        (cx, cy, cr), support = best
-    # The radius always covers every circle, whatever the rounding above.
-    return cx, cy, float(np.max(np.hypot(x - cx, y - cy) + r))
-
-
-def _touching(circles: list[tuple[float, float, float]]) -> tuple[float, float, float] | None:
-    """Circle that each of one to three circles touches from inside."""
-    if len(circles) == 1:
-        return circles[0]
-    (x1, y1, r1), (x2, y2, r2) = circles[:2]
-    if len(circles) == 2:
-        gap = hypot(x2 - x1, y2 - y1)
-        if gap <= abs(r1 - r2):
-            return None
-        radius = (gap + r1 + r2) / 2
-        share = (radius - r1) / gap
-        return x1 + (x2 - x1) * share, y1 + (y2 - y1) * share, radius
-    x3, y3, r3 = circles[2]
-    # |c - p_i| = R - r_i for all i; differences are linear in c and R.
-    a2, b2 = 2 * (x2 - x1), 2 * (y2 - y1)
-    a3, b3 = 2 * (x3 - x1), 2 * (y3 - y1)
-    det = a2 * b3 - a3 * b2
-    if abs(det) < 1e-12:
-        return None
-    n1 = x1 * x1 + y1 * y1 - r1 * r1
-    k2, s2 = x2 * x2 + y2 * y2 - r2 * r2 - n1, 2 * (r2 - r1)
-    k3, s3 = x3 * x3 + y3 * y3 - r3 * r3 - n1, 2 * (r3 - r1)
-    ux, vx = (k2 * b3 - k3 * b2) / det, (s2 * b3 - s3 * b2) / det
-    uy, vy = (a2 * k3 - a3 * k2) / det, (a2 * s3 - a3 * s2) / det
-    dx, dy = ux - x1, uy - y1
-    qa = vx * vx + vy * vy - 1
-    qb = 2 * (dx * vx + dy * vy + r1)
-    qc = dx * dx + dy * dy - r1 * r1
-    if abs(qa) < 1e-12:
-        roots = [-qc / qb] if qb else []
-    else:
-        disc = qb * qb - 4 * qa * qc
-        if disc < 0:
-            return None
-        roots = [(-qb - sqrt(disc)) / (2 * qa), (-qb + sqrt(disc)) / (2 * qa)]
-    fitting = [t for t in roots if t >= max(r1, r2, r3) * (1 - 1e-9)]
-    if not fitting:
-        return None
-    radius = min(fitting)
-    return ux + vx * radius, uy + vy * radius, radius
-
-
-def pack_circles(radii) -> tuple[np.ndarray, np.ndarray, float]:
-    """Centres around (0, 0) in the order given, and the enclosing radius."""
-    r = [float(v) for v in radii]
-    n = len(r)
-    if n == 1:
-        return np.zeros(1), np.zeros(1), r[0]
-    x, y = [0.0] * n, [0.0] * n
-    x[0], x[1] = -r[1], r[0]
-    front = [0, 1]
-    if n > 2:
-        x[2], y[2] = _tangent(x[1], y[1], r[1], x[0], y[0], r[0], r[2])
-        front = _grow_front(x, y, r)
-    xs, ys, rs = np.array(x), np.array(y), np.array(r)
-    f = np.array(front)
-    cx, cy, _ = enclosing_circle(xs[f], ys[f], rs[f])
-    xs, ys = xs - cx, ys - cy
-    return xs, ys, float(np.max(np.hypot(xs, ys) + rs))
-
-
-def _tangent(ax, ay, ar, bx, by, br, r):
-    """Centre of a circle of radius r that touches a and b, right of a to b."""
-    dx, dy = bx - ax, by - ay
-    dist = hypot(dx, dy)
-    to_a, to_b = ar + r, br + r
-    along = (dist * dist + to_a * to_a - to_b * to_b) / (2 * dist)
-    up = sqrt(max(0.0, to_a * to_a - along * along))
-    ex, ey = dx / dist, dy / dist
-    return ax + ex * along + ey * up, ay + ey * along - ex * up
-
-
-def _grow_front(x: list, y: list, r: list) -> list[int]:
-    n = len(r)
-    after, before, on_front = [-1] * n, [-1] * n, [True] * n
-
-    def link(p, q):
-        after[p], before[q] = q, p
-
-    link(0, 1)
-    link(1, 2)
-    link(2, 0)
-    gaps: list[tuple[float, int, int]] = []
-
-    def note(p):
-        q = after[p]
-        w = r[p] + r[q]
-        gx, gy = (x[p] * r[q] + x[q] * r[p]) / w, (y[p] * r[q] + y[q] * r[p]) / w
-        heapq.heappush(gaps, (gx * gx + gy * gy, p, q))
-
-    for p in (0, 1, 2):
-        note(p)
-
-    def overlaps(i, cx, cy, cr):
-        reach = r[i] + cr - _SLACK * min(r[i], cr)
-        dx, dy = x[i] - cx, y[i] - cy
-        return reach > 0 and dx * dx + dy * dy < reach * reach
-
-    for i in range(3, n):
-        while True:
-            _, a, b = gaps[0]
-            if on_front[a] and on_front[b] and after[a] == b:
-                break
-            heapq.heappop(gaps)
-        while True:
-            cx, cy = _tangent(x[a], y[a], r[a], x[b], y[b], r[b], r[i])
-            # Look along the front from both ends, the nearer side first.
-            fwd, back = after[b], before[a]
-            reach_f, reach_b = r[b], r[a]
-            hit = None
-            while True:
-                if reach_f <= reach_b:
-                    if overlaps(fwd, cx, cy, r[i]):
-                        hit = ("b", fwd)
-                        break
-                    reach_f += r[fwd]
-                    if fwd == back:
-                        break
-                    fwd = after[fwd]
-                else:
-                    if overlaps(back, cx, cy, r[i]):
-                        hit = ("a", back)
-                        break
-                    reach_b += r[back]
-                    if fwd == back:
-                        break
-                    back = before[back]
-            if hit is None or hit[1] in (a, b):
-                break
-            if hit[0] == "b":
-                while b != hit[1]:
-                    on_front[b] = False
-                    b = after[b]
-            else:
-                while a != hit[1]:
-                    on_front[a] = False
-                    a = before[a]
-            link(a, b)
-            note(a)
-        x[i], y[i] = cx, cy
-        link(a, i)
-        link(i, b)
-        note(a)
-        note(i)
-    start = n - 1
-    front, p = [start], after[start]
-    while p != start:
-        front.append(p)
-        p = after[p]
-    return front
-
-
-def pack_sorted(batches):
-    """Pack rows that arrive sorted by family and order, family by family."""
-    import pandas as pd
-
-    rest = None
-    for batch in batches:
-        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        family = rows["family"].to_numpy()
-        cuts = np.flatnonzero(family[1:] != family[:-1]) + 1
-        # The last family may go on in the next batch.
-        whole = int(cuts[-1]) if len(cuts) else 0
-        if whole:
-            yield _pack_rows(rows.iloc[:whole], cuts[:-1])
-        rest = rows.iloc[whole:]
-    if rest is not None and len(rest):
-        yield _pack_rows(rest, [])
-
-
-def _pack_rows(rows, cuts):
-    radius = rows["r"].to_numpy()
-    dx, dy, whole = (np.empty(len(rows)) for _ in range(3))
-    for start, end in zip([0, *cuts], [*cuts, len(rows)]):
-        dx[start:end], dy[start:end], whole[start:end] = pack_circles(radius[start:end])
-    return rows[["family", "id"]].assign(dx=dx, dy=dy, whole=whole)
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_CLASSES_PER_DOUBLING = 4
+_EPS = 1e-9
+
+
+def size_class(r: Column) -> Column:
+    """Class number of a radius; circles without a radius are the last class."""
+    return F.when(r > 0, F.floor(F.log2(r) * _CLASSES_PER_DOUBLING + _EPS)).otherwise(F.lit(-100_000)).cast("bigint")
+
+
+def _rings(u: Column, n: Column) -> Column:
+    """Number of rings that n circles need around a middle of u radii."""
+    full = F.ceil((F.sqrt(u * u + 4.0 * n / 3.0) - u) / 2 - _EPS)
+    # Around nothing: one circle in the middle, then 6, 12, ...
+    hexagonal = F.ceil((F.sqrt(12.0 * n - 3.0) - 3.0) / 6 - _EPS) + 1
+    return F.when(u > 0, full).otherwise(hexagonal).cast("double")
+
+
+def stack_classes(classes: Column) -> Column:
+    """Classes of a family, ARRAY<STRUCT<class, n, q>> from the largest: (whole, placed).
+
+    A class first takes the slots that its predecessor left in the outermost ring, then
+    rings of its own. ``placed`` says how: ``spare`` circles at distance ``s_away`` in
+    slots ``s_used`` and on of ``s_room``; the other ``rest`` around ``u`` radii ``q``;
+    ``few`` for up to five circles about an empty middle. ``whole`` is the radius of the
+    family.
+    """
+    fields = "class:bigint,spare:double,s_away:double,s_room:double,s_used:double,rest:double,q:double,u:double,few:boolean"
+    zero = F.lit(0.0)
+    start = F.struct(
+        zero.alias("whole"), zero.alias("away"), zero.alias("room"), zero.alias("used"),
+        F.array().cast(f"array<struct<{fields}>>").alias("placed"),
+    )
+
+    def add(acc: Column, c: Column) -> Column:
+        n, q = c["n"].cast("double"), c["q"]
+        spare = F.least(n, acc["room"] - acc["used"])
+        rest = n - spare
+        u = F.when(q > 0, F.ceil(acc["whole"] / q - _EPS)).otherwise(zero).cast("double")
+        few = (acc["whole"] == 0) & (rest > 1) & (rest <= 5)
+        last = _rings(u, rest) - 1
+        away = F.when(few, q / F.sin(F.lit(3.141592653589793) / rest)).when(u > 0, q * (u + 2 * last + 1)).otherwise(2 * q * last)
+        room = F.when(few, rest).when(u > 0, 3 * (u + 2 * last + 1)).otherwise(F.greatest(6 * last, F.lit(1.0)))
+        before = F.when(few | (last == 0), zero).when(u > 0, 3 * last * (u + last)).otherwise(1 + 3 * last * (last - 1))
+        placed = F.struct(
+            c["class"].alias("class"), spare.alias("spare"), acc["away"].alias("s_away"), acc["room"].alias("s_room"),
+            acc["used"].alias("s_used"), rest.alias("rest"), q.alias("q"), u.alias("u"), few.alias("few"),
+        )
+        more = rest > 0
+        return F.struct(
+            F.when(more, F.greatest(acc["whole"], away + q)).otherwise(acc["whole"]).alias("whole"),
+            F.when(more, away).otherwise(acc["away"]).alias("away"),
+            F.when(more, room).otherwise(acc["room"]).alias("room"),
+            F.when(more, rest - before).otherwise(acc["used"] + spare).alias("used"),
+            F.array_append(acc["placed"], placed).alias("placed"),
+        )
+
+    return F.aggregate(classes, start, add)
+
+
+def place(m: Column, c: Column) -> tuple[Column, Column]:
+    """Offsets (dx, dy) of circle ``m`` (from 0) of the placed class ``c``."""
+    m = m.cast("double")
+    shared = m < c["spare"]
+    i, n, q, u = F.greatest(m - c["spare"], F.lit(0.0)), c["rest"], c["q"], c["u"]
+    around = F.floor((F.sqrt(u * u + 4.0 * i / 3.0) - u) / 2 + _EPS).cast("double")
+    # Hexagonal: ring 0 is the middle, ring j holds 6j and is preceded by 1 + 3j(j - 1).
+    hexagonal = F.when(i < 1, 0.0).otherwise(F.floor((F.sqrt(F.greatest(12.0 * i - 3.0, F.lit(0.0))) + 3.0) / 6 + _EPS).cast("double"))
+    ring = F.when(u > 0, around).otherwise(hexagonal)
+    slot = F.when(u > 0, i - 3 * ring * (u + ring)).otherwise(F.when(i < 1, 0.0).otherwise(i - 1 - 3 * ring * (ring - 1)))
+    room = F.when(u > 0, 3 * (u + 2 * ring + 1)).otherwise(F.greatest(6 * ring, F.lit(1.0)))
+    own = F.when(c["few"], q / F.sin(F.lit(3.141592653589793) / n)).when(u > 0, q * (u + 2 * ring + 1)).otherwise(2 * q * ring)
+    away = F.when(shared, c["s_away"]).otherwise(own)
+    part = F.when(shared, (c["s_used"] + m) / c["s_room"]).when(c["few"], i / n).otherwise(slot / room)
+    turn = part * 6.283185307179586
+    return away * F.cos(turn), away * F.sin(turn)

@@ -1,157 +1,78 @@
 """Nested circle layout of a labelled table.
 
-Bottom-up, one round per level: the children of a level are packed into the
-circles of their parents. Then every node's offset to its parent is summed
-along its path by pointer doubling. Only the packing kernel is Python.
+Bottom-up, one round per level: the radii of a level's families follow from the number
+and radius of their size classes. Then all circles are placed at once inside their
+parents, by closed forms of their number in their class, and every node's offset to its
+parent is summed along its path by pointer doubling.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ramify.functions import packing
 from ramify.functions.geometry import round_half_up
-from ramify.functions.packing import pack_circles
+from ramify.functions.packing import place, size_class, stack_classes
 from ramify.operators.hierarchy import build_hierarchy
 from ramify.operators.labels import node_value, order_siblings, rollup_value
-from ramify.operators.ranking import global_rank
+from ramify.operators.ranking import global_rank, grouped_running
 from ramify.store import materialize, transient
 
-# The kernel travels with the tasks: workers need not have this package.
-cloudpickle.register_pickle_by_value(packing)
-_pack_sorted = packing.pack_sorted
-_CIRCLES_PER_TASK = 20_000
 
+def _families(circles: DataFrame) -> DataFrame:
+    """(family, whole, placed) of circles(family, r): see ``stack_classes``.
 
-def pack_families(circles: DataFrame, max_family: int) -> DataFrame:
+    Families are counted by class first, so that one of any size is a few rows.
+    """
+    counted = (
+        circles.groupBy("family", size_class(F.col("r")).alias("class"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("q"))
+    )
+    by_size = F.reverse(F.array_sort(F.collect_list(F.struct("class", "n", "q"))))
+    return counted.groupBy("family").agg(stack_classes(by_size).alias("_s")).select("family", "_s.whole", "_s.placed")
+
+
+def pack_families(circles: DataFrame) -> DataFrame:
     """Offsets of packed children: ``circles(family, id, ord, r)`` ->
     (family, id, dx, dy, whole), ``whole`` being the radius around the family.
-
-    Families of equal circles depend on their number only: each number is
-    packed once and scaled. A family above ``max_family`` is cut into blocks of
-    neighbours, the blocks are packed, then their circles: children stay inside
-    their parent and apart from each other, and no task gets more than
-    ``max_family`` circles.
     """
-    spark = circles.sparkSession
-    same = F.col("r_max") - F.col("r_min") <= F.col("r_max") * 1e-12
-    sized = circles.groupBy("family").agg(
-        F.count(F.lit(1)).alias("k"), F.min("r").alias("r_min"), F.max("r").alias("r_max")
-    )
-    sized, seen = materialize(
-        sized.select("family", "k", same.alias("even")),
-        "families",
-        {
-            "large": F.count_if(F.col("k") > max_family),
-            "uneven": F.coalesce(F.sum(F.when(~F.col("even"), F.col("k"))), F.lit(0)),
-        },
-    )
-    if seen["large"]:
-        return _pack_in_blocks(circles, sized.filter(F.col("k") > max_family), max_family)
-    even = circles.join(sized.filter("even").select("family", "k"), "family")
-    uneven = circles.join(sized.filter("not even").select("family"), "family", "left_semi")
-    counts = sized.filter("even").select("k").distinct()
-
-    def pack_unit(pdf):
-        import pandas as pd
-
-        k = int(pdf["k"].iloc[0])
-        x, y, whole = pack_circles([1.0] * k)
-        return pd.DataFrame({"k": k, "ord": range(1, k + 1), "ux": x, "uy": y, "uw": whole})
-
-    unit = counts.groupBy("k").applyInPandas(pack_unit, "k bigint, ord bigint, ux double, uy double, uw double")
-    placed_even = even.join(unit, ["k", "ord"]).select(
-        "family",
-        "id",
-        (F.col("ux") * F.col("r")).alias("dx"),
-        (F.col("uy") * F.col("r")).alias("dy"),
-        (F.col("uw") * F.col("r")).alias("whole"),
-    )
-    # Packing costs far more than its bytes suggest, so the number of tasks
-    # follows the number of circles and is not merged by size.
-    tasks = max(1, min(seen["uneven"] // _CIRCLES_PER_TASK + spark.sparkContext.defaultParallelism, seen["uneven"] // 32))
-    placed_uneven = (
-        uneven.select("family", "id", "ord", "r")
-        .repartition(tasks, "family")
-        .sortWithinPartitions("family", "ord")
-        .mapInPandas(_pack_sorted, "family string, id bigint, dx double, dy double, whole double")
-    )
-    return placed_even.unionByName(placed_uneven)
+    families = materialize(_families(circles), "families")
+    return _place(circles, families).select("family", "id", "dx", "dy", "whole")
 
 
-def _pack_in_blocks(circles: DataFrame, large: DataFrame, max_family: int) -> DataFrame:
-    """Pack blocks of the large families, then the blocks as circles."""
-    big = circles.join(large.select("family"), "family", "left_semi")
-    small = circles.join(large.select("family"), "family", "left_anti")
-    block = F.floor((F.col("ord") - 1) / max_family)
-    # Block numbers are the ids of the block circles, in sibling order.
-    blocked = materialize(
-        big.withColumn("block", block).withColumn("ord", F.col("ord") - F.col("block") * max_family), "blocks"
-    )
-    inner = materialize(
-        pack_families(
-            blocked.select(F.concat_ws("#", "family", F.col("block").cast("string")).alias("family"), "id", "ord", "r"),
-            max_family,
-        ),
-        "blocks-packed",
-    )
-    key = F.substring_index("family", "#", -1).cast("bigint")
-    # The outer family keeps any '#' of an enclosing block in its name.
-    outer_name = F.regexp_replace("family", "#[0-9]+$", "")
-    bundles = inner.select(outer_name.alias("family"), key.alias("id"), F.col("whole").alias("r")).distinct()
-    placed = pack_families(bundles.withColumn("ord", F.col("id") + 1), max_family)
-    outer = placed.select(
-        F.concat_ws("#", "family", F.col("id").cast("string")).alias("_block"),
-        F.col("family").alias("_family"),
-        F.col("dx").alias("_bx"),
-        F.col("dy").alias("_by"),
-        F.col("whole").alias("_whole"),
-    )
-    moved = inner.join(outer, inner["family"] == outer["_block"]).select(
-        F.col("_family").alias("family"),
-        "id",
-        (F.col("dx") + F.col("_bx")).alias("dx"),
-        (F.col("dy") + F.col("_by")).alias("dy"),
-        F.col("_whole").alias("whole"),
+def _place(circles: DataFrame, families: DataFrame) -> DataFrame:
+    numbered = grouped_running(circles.withColumn("class", size_class(F.col("r"))), ["family", "class"], ["ord"], "_m")
+    joined = numbered.join(families, "family").withColumn(
+        "_c", F.element_at(F.filter("placed", lambda c: c["class"] == F.col("class")), 1)
     )
-    rest = pack_families(small, max_family)
-    return rest.unionByName(moved)
+    dx, dy = place(F.col("_m") - 1, F.col("_c"))
+    return joined.withColumn("dx", dx).withColumn("dy", dy)
 
 
-def _pack_levels(tree: DataFrame, max_family: int, pad: float) -> tuple[DataFrame, float]:
+def _pack_levels(tree: DataFrame, depth: int, pad: float) -> tuple[DataFrame, float]:
     """(offsets, radius of the root): offsets(id, parent_id, dx, dy, r) for all nodes."""
-    depth = tree.agg(F.max("level")).first()[0]
-    done = []
-    radii = None
+    own = F.sqrt(F.col("value").cast("double"))
+    sized, families, above = [], [], None
     for level in range(depth, -1, -1):
-        nodes = tree.filter(F.col("level") == level)
-        own = F.sqrt(F.col("value").cast("double"))
-        if radii is None:
-            nodes = nodes.withColumn("r", own)
-        else:
-            nodes = nodes.join(radii, "id", "left").withColumn("r", F.coalesce("whole", own)).drop("whole")
-        if level == 0:
-            root = nodes.select("id", F.lit(None).cast("bigint").alias("parent_id"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), "r")
-            radius = root.agg(F.max("r")).first()[0]
-            done.append(root)
-            break
-        nodes = nodes.select("id", "parent_id", "ord", "r")
-        packed = pack_families(
-            nodes.select(F.col("parent_id").cast("string").alias("family"), "id", "ord", (F.col("r") + pad).alias("r")),
-            max_family,
-        )
-        packed = materialize(packed, f"packed-{level}")
-        radii = packed.groupBy(F.col("family").cast("bigint").alias("id")).agg(
-            (F.max("whole") + pad).alias("whole")
-        )
-        done.append(packed.select("id", "dx", "dy").join(nodes, "id").select("id", "parent_id", "dx", "dy", "r"))
-    offsets = done[0]
-    for d in done[1:]:
-        offsets = offsets.unionByName(d)
+        nodes = tree.filter(F.col("level") == level).select("id", "parent_id", "ord", own.alias("r"))
+        if above is not None:
+            whole = above.select(F.col("family").alias("id"), (F.col("whole") + pad).alias("_whole"))
+            nodes = nodes.join(whole, "id", "left").withColumn("r", F.coalesce("_whole", "r")).drop("_whole")
+        nodes = materialize(nodes, f"sized-{level}")
+        sized.append(nodes)
+        if level:
+            above = materialize(_families(nodes.select(F.col("parent_id").alias("family"), (F.col("r") + pad).alias("r"))), f"families-{level}")
+            families.append(above)
+    root = sized.pop()
+    radius = root.agg(F.max("r")).first()[0]
+    offsets = root.select("id", F.lit(None).cast("bigint").alias("parent_id"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), "r")
+    if sized:
+        below = reduce(DataFrame.unionByName, sized).select(F.col("parent_id").alias("family"), "id", "ord", (F.col("r") + pad).alias("r"))
+        placed = _place(below, reduce(DataFrame.unionByName, families))
+        offsets = offsets.unionByName(placed.select("id", F.col("family").alias("parent_id"), "dx", "dy", (F.col("r") - pad).alias("r")))
     return materialize(offsets, "offsets"), radius
 
 
@@ -189,12 +110,11 @@ def circle_layout(
     strategy: str | Sequence[Column] = "value_desc",
     size: float = 4000.0,
     padding: float = 0.0,
-    max_family: int = 4096,
 ) -> DataFrame:
     """Labelled rows plus ``value, ord, x, y, r``; the root is centred at (0, 0).
 
-    Leaf radius is the root of the rolled-up value; siblings are packed tightly
-    in sibling order; a parent is the circle around its children; the whole is
+    Leaf radius is the root of the rolled-up value; siblings stand in rings
+    by size and sibling order; a parent is the circle around its children; the whole is
     scaled to a root radius of size / 2. ``value`` is a preset or a Column,
     ``strategy`` a preset or sort keys forming a total order.
     """
@@ -207,12 +127,18 @@ def circle_layout(
             valued = rollup_value(labelled, node_value(value) if isinstance(value, str) else value)
         narrow = valued.drop("path_ids", "path_names")
         parent = F.when(F.col("level") > 0, F.col("parent_id")).alias("parent_id")
+        # Sorted by level, so that a round reads the row groups of its level.
         tree = materialize(
-            order_siblings(narrow, strategy).select("id", parent, "level", "ord", "value"), "ordered"
+            order_siblings(narrow, strategy)
+            .select("id", parent, "level", "ord", "value")
+            .repartitionByRange("level", "id")
+            .sortWithinPartitions("level", "id"),
+            "ordered",
         )
-        offsets, radius = _pack_levels(tree, max_family, 0.0)
+        depth = tree.agg(F.max("level")).first()[0]
+        offsets, radius = _pack_levels(tree, depth, 0.0)
         if padding:
-            offsets, radius = _pack_levels(tree, max_family, padding * radius / size)
+            offsets, radius = _pack_levels(tree, depth, padding * radius / size)
         scale = size / 2 / radius
         placed = _sum_offsets(offsets).select("id", *[(F.col(c) * scale).alias(c) for c in ("x", "y", "r")])
         places = placed.join(tree.select("id", "ord", "value"), "id")

@@ -32,12 +32,16 @@ def circle_zooms(circles: DataFrame, size: float) -> list[int]:
 
 
 def _circle_cells(circles: DataFrame, size: float) -> DataFrame:
-    """One row per touched cell."""
+    """One row per touched cell of the circle's own zoom level."""
+    return cells_touched(circles.withColumn("_z", zoom_of(F.col("r"), size)), size)
+
+
+def cells_touched(circles: DataFrame, size: float) -> DataFrame:
+    """One row per cell of zoom level ``_z`` that a circle touches: (_cx, _cy)."""
     z = F.col("_z")
-    with_zoom = circles.withColumn("_z", zoom_of(F.col("r"), size))
     xs = F.sequence(_cell(F.col("x") - F.col("r"), z, size), _cell(F.col("x") + F.col("r"), z, size))
     ys = F.sequence(_cell(F.col("y") - F.col("r"), z, size), _cell(F.col("y") + F.col("r"), z, size))
-    return with_zoom.withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
+    return circles.withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
 
 
 def _with_current(labelled: DataFrame, df: DataFrame) -> DataFrame:

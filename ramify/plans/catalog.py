@@ -883,9 +883,40 @@ def world_to_screen(spark, sf):
 # =============================================================================
 
 
-@query()
+def _checked_layout(laid_out, size=4000.0, slack=1e-6):
+    """Per node: inside its parent, number of siblings it overlaps, radius as a share of the family's largest leaf.
+
+    Siblings meet in an equi-join on cells: each circle in the cells of its own zoom level,
+    and of every coarser one in use. It touches at most four cells in each.
+    """
+    rows = laid_out.select("id", F.when(F.col("level") > 0, F.col("parent_id")).alias("parent_id"), "level", "child_count", "x", "y", "r")
+    parent = rows.select(F.col("id").alias("parent_id"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("r").alias("pr"))
+    small = rows.filter("parent_id is not null").select("parent_id", "id", "x", "y", "r", P.zoom_of(F.col("r"), size).alias("z"))
+    levels = F.filter(F.array(*[F.lit(z) for z in P.circle_zooms(laid_out, size)]), lambda z: z <= F.col("z"))
+    cells = P.cells_touched(small.withColumn("_z", F.explode(levels)), size)
+    own = cells.filter("_z = z")
+    keys = ["parent_id", "_z", "_cx", "_cy"]
+    big = own.select(*keys, *[F.col(n).alias(f"b{n}") for n in ("id", "x", "y", "r")])
+    apart = F.sqrt(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2)) >= F.col("r") + F.col("br") - slack * size
+    met = cells.join(big, keys).filter((F.col("id") != F.col("bid")) & ~apart).select("id", "bid").distinct()
+    pairs = met.union(met.select("bid", "id")).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("overlaps"))
+    leaf_r = F.when(F.col("child_count") == 0, F.col("r"))
+    largest = rows.groupBy("parent_id").agg(F.max(leaf_r).alias("largest")).filter("parent_id is not null")
+    reach = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2)) + F.col("r")
+    return rows.join(parent, "parent_id", "left").join(largest, "parent_id", "left").join(pairs, "id", "left").select(
+        "id", "parent_id", "level",
+        F.coalesce(reach <= F.col("pr") + slack * size, F.abs(F.col("r") - size / 2) < slack * size).alias("inside"),
+        F.coalesce("overlaps", F.lit(0)).alias("overlaps"),
+        F.round(leaf_r / F.col("largest"), 6).alias("share"),
+    )
+
+
+@query(O.labelled_sql("geo", """
+SELECT id, parent_id, level, true AS inside, CAST(0 AS BIGINT) AS overlaps,
+  CASE WHEN child_count = 0 AND parent_id IS NOT NULL THEN 1.0::DOUBLE END AS share FROM lab"""))
 def circle_layout(spark, sf):
-    return Y.circle_layout(labelled(spark, sf, "geo")).select("id", "parent_id", "name", "level", "x", "y", "r")
+    """Every circle inside its parent and apart from its siblings; the root has half the size."""
+    return _checked_layout(Y.circle_layout(labelled(spark, sf, "geo")))
 
 
 @query(O.view_sql("geo", """
@@ -930,11 +961,14 @@ def bake_opentree(spark, sf):
     return baked.join(parents, "parent_id", "left").select("name", "level", F.coalesce("parent_name", F.lit("")).alias("parent_name"))
 
 
-@query()
+@query(O.labelled_sql("product", """, valued AS (SELECT *, CASE WHEN child_count = 0 THEN id % 97 + 1 END AS v FROM lab)
+SELECT id, parent_id, level, true AS inside, CAST(0 AS BIGINT) AS overlaps,
+  CASE WHEN child_count = 0 AND parent_id IS NOT NULL
+    THEN round(sqrt(v::DOUBLE / max(v) OVER (PARTITION BY parent_id)), 6) END AS share FROM valued"""))
 def circle_layout_variants(spark, sf):
-    """Subtree-size values, alphabetical order, padding, families cut at 64."""
-    laid = Y.circle_layout(labelled(spark, sf, "product"), value="node", strategy="name", padding=2.0, max_family=64)
-    return laid.select("id", "parent_id", "level", "x", "y", "r")
+    """Circles of many sizes in one family, values of the caller, alphabetical order."""
+    value = F.when(F.col("child_count") == 0, F.col("id") % 97 + 1).otherwise(0).cast("bigint")
+    return _checked_layout(Y.circle_layout(labelled(spark, sf, "product"), value=value, strategy="name"))
 
 
 @query(O.line_sql(""", ranked AS (SELECT g.*, row_number() OVER (ORDER BY g.level, l.k) AS bfs FROM geo_line g JOIN lab l ON l.id = g.id)
