@@ -54,12 +54,30 @@ def leaf_ids(nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(parents, "id", "left_anti")
 
 
+def _rooted(nodes: DataFrame, root_id: int | None) -> DataFrame:
+    """Rows with a null parent for roots; with ``root_id`` that is the only root."""
+    rows = normalise_parents(nodes)
+    if root_id is None:
+        return rows
+    return rows.withColumn("parent_id", F.when(F.col("id") != F.lit(root_id), F.col("parent_id"))).filter(
+        F.col("parent_id").isNotNull() | (F.col("id") == F.lit(root_id))
+    )
+
+
+def _check_roots(found: int, roots: str) -> None:
+    if found == 0:
+        raise ValueError("no root: every row has another row as its parent")
+    if roots == "one" and found > 1:
+        raise ValueError(f"{found} roots; pass root_id or roots='many'")
+
+
 def build_hierarchy(
     nodes: DataFrame,
     order: Sequence[Column] | None = None,
     roots: str = "one",
     root_id: int | None = None,
     max_depth: int | None = None,
+    paths: bool = True,
 ) -> DataFrame:
     """Attach level and root-to-node path to every row that a root reaches.
 
@@ -70,13 +88,13 @@ def build_hierarchy(
 
     ``order`` gives the sibling order (default: name); ties fall back to name
     and id. Result: input columns, ``level``, ``path`` (sort key, name and id
-    from the root down), ready for a preorder sort on ``path``.
+    from the root down), ready for a preorder sort on ``path``. Without ``paths`` it is
+    input columns, ``level`` and ``root_id``, and no row grows with its depth.
     """
-    rows = normalise_parents(nodes)
-    if root_id is not None:
-        rows = rows.withColumn(
-            "parent_id", F.when(F.col("id") != F.lit(root_id), F.col("parent_id"))
-        ).filter(F.col("parent_id").isNotNull() | (F.col("id") == F.lit(root_id)))
+    rows = _rooted(nodes, root_id)
+    if not paths:
+        levels = rooted_levels(nodes, roots, root_id, max_depth)
+        return nodes.join(levels.withColumnRenamed("root_id", "_root"), "id").select(*nodes.columns, "level", F.col("_root").alias("root_id"))
     keys = [c.alias(f"k{i}") for i, c in enumerate(order or [])]
     element = F.struct(*keys, F.col("name").alias("name"), F.col("id").alias("id"))
     base = nodes.columns
@@ -86,10 +104,7 @@ def build_hierarchy(
         "roots": F.count_if(F.col("_up").isNull()),
     }
     table, seen = materialize(start, "paths-0", counts)
-    if seen["roots"] == 0:
-        raise ValueError("no root: every row has another row as its parent")
-    if roots == "one" and seen["roots"] > 1:
-        raise ValueError(f"{seen['roots']} roots; pass root_id or roots='many'")
+    _check_roots(seen["roots"], roots)
 
     closed = [table.filter(F.col("_up").isNull())]
     step = 0
@@ -117,6 +132,43 @@ def build_hierarchy(
     return done
 
 
+def rooted_levels(nodes: DataFrame, roots: str = "one", root_id: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """(id, level, root_id) of every row that a root reaches.
+
+    Pointer doubling on three numbers per row: the node above, the hops up to it, and
+    itself once it is a root. Depths close in order, so a round that closes no row leaves
+    only rows on cycles or below lost ones, which drop out.
+    """
+    rows = _rooted(nodes, root_id).select("id", F.col("parent_id").alias("up"))
+    known = rows.select(
+        "id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("int").alias("hops"), F.coalesce("up", "id").alias("top")
+    )
+    counts = {"open": F.count_if(F.col("up").isNotNull()), "closed": F.count_if(F.col("up").isNull()), "root": F.min(F.when(F.col("up").isNull(), F.col("id")))}
+    table, seen = materialize(known, "levels-0", counts)
+    _check_roots(seen["closed"], roots)
+    # A single root is known by its id: what points at it is done.
+    only = seen["root"] if seen["closed"] == 1 else None
+    done = [table.filter("up is null")]
+    reach = 1
+    while seen["open"] and (max_depth is None or reach <= max_depth):
+        rest = table.filter("up is not null")
+        if only is not None:
+            done.append(rest.filter(F.col("up") == F.lit(only)))
+            rest = rest.filter(F.col("up") != F.lit(only))
+        above = reduce(DataFrame.unionByName, [*done, rest]).select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("hops").alias("_hops"), F.col("top").alias("_top"))
+        joined = rest.join(above, "up").select("id", F.col("_up").alias("up"), (F.col("hops") + F.col("_hops")).cast("int").alias("hops"), F.col("_top").alias("top"))
+        near = F.col("up").isNull() if only is None else F.col("up") == F.lit(only)
+        table, seen = materialize(joined, f"levels-{reach}", {"open": F.count(F.lit(1)), "closed": F.count_if(near)})
+        done.append(table.filter("up is null"))
+        reach *= 2
+        if not seen["closed"]:
+            break
+    if only is not None:
+        done.append(table.filter(F.col("up") == F.lit(only)))
+    found = reduce(DataFrame.unionByName, done).select("id", F.col("hops").alias("level"), F.col("top").alias("root_id"))
+    return found if max_depth is None else found.filter(F.col("level") <= max_depth)
+
+
 def unreached(nodes: DataFrame, reached: DataFrame) -> DataFrame:
     """Rows that no root reaches, with the reason: missing parent or cycle."""
     lost = nodes.join(reached.select("id"), "id", "left_anti")

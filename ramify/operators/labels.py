@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ramify.operators.hierarchy import build_hierarchy, normalise_parents
+from ramify.operators.hierarchy import build_hierarchy, normalise_parents, rooted_levels
 from ramify.operators.ranking import global_rank, grouped_running, slice_offsets, sorted_slices
 from ramify.store import materialize, transient
 
@@ -22,6 +22,7 @@ def label_hierarchy(
     roots: str = "one",
     root_id: int | None = None,
     max_depth: int | None = None,
+    paths: bool = True,
 ) -> DataFrame:
     """Labelled node table.
 
@@ -31,7 +32,11 @@ def label_hierarchy(
     and those of a subtree are ``[leaf_lo, leaf_lo + leaf_count)``.
 
     The table is written sorted by ``pre``: range filters on it prune row groups.
+    Without ``paths`` it lacks path_ids and path_names, and the work is that of a few
+    numbers per node and doubling round, however deep the tree.
     """
+    if not paths:
+        return _label_without_paths(nodes, order, roots, root_id, max_depth)
     with transient(nodes.sparkSession):
         paths = build_hierarchy(nodes, order=order, roots=roots, root_id=root_id, max_depth=max_depth)
         counts = (
@@ -76,6 +81,68 @@ def label_hierarchy(
         return materialize(labelled, "labelled", keep=True)
 
 
+def _label_without_paths(nodes: DataFrame, order: Sequence[Column] | None, roots: str, root_id: int | None, max_depth: int | None) -> DataFrame:
+    """Labels from sums alone, in rounds that double the distance.
+
+    Sizes: after k rounds a node has the sum over its descendants less than 2^k levels
+    below, and knows its ancestor 2^k levels up; the next round adds its sum to that
+    ancestor's. Numbers: inside a family each node starts after its earlier siblings,
+    and starts add up along the way to the root.
+    """
+    with transient(nodes.sparkSession):
+        levels = rooted_levels(nodes, roots, root_id, max_depth).drop("root_id")
+        keys = [c.alias(f"_k{i}") for i, c in enumerate(order or [])]
+        parent = F.when((F.col("level") > 0), F.col("parent_id")).alias("parent_id")
+        tree = nodes.join(levels, "id").select("id", parent, "level", "name", *keys)
+        kids = tree.filter("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("child_count"))
+        tree = materialize(tree.join(kids, "id", "left").na.fill(0, ["child_count"]), "tree")
+        leaf = (F.col("child_count") == 0).cast("bigint")
+        sums = materialize(tree.select("id", F.col("parent_id").alias("up"), F.lit(1).cast("bigint").alias("size"), leaf.alias("leaves")), "sums")
+        more = True
+        while more:
+            below = sums.filter("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("_size"), F.sum("leaves").alias("_leaves"))
+            jump = sums.select(F.col("id").alias("up"), F.col("up").alias("_up"))
+            sums, seen = materialize(
+                sums.join(below, "id", "left").join(jump, "up", "left").select(
+                    "id", F.col("_up").alias("up"),
+                    (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"),
+                    (F.col("leaves") + F.coalesce("_leaves", F.lit(0))).alias("leaves"),
+                ),
+                "sums", {"open": F.count_if(F.col("up").isNotNull())},
+            )
+            more = seen["open"] > 0
+        sized = tree.join(sums.drop("up"), "id")
+        names = [f"_k{i}" for i in range(len(keys))]
+        placed = grouped_running(
+            sized, ["parent_id"], [*names, "name", "id"], "_ord", {"_before": F.col("size"), "_leaves_before": F.col("leaves")}
+        )
+        starts, seen = materialize(
+            placed.select(
+                "id", F.col("parent_id").alias("up"), (F.col("_before") - F.col("size") + 1).alias("pre"),
+                (F.col("_leaves_before") - F.col("leaves")).alias("leaf_lo"),
+            ),
+            "starts", {"open": F.count_if(F.col("up").isNotNull())},
+        )
+        while seen["open"]:
+            above = starts.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("pre").alias("_pre"), F.col("leaf_lo").alias("_lo"))
+            starts, seen = materialize(
+                starts.join(above, "up", "left").select(
+                    "id", F.col("_up").alias("up"), (F.col("pre") + F.coalesce("_pre", F.lit(0))).alias("pre"),
+                    (F.col("leaf_lo") + F.coalesce("_lo", F.lit(0))).alias("leaf_lo"),
+                ),
+                "starts", {"open": F.count_if(F.col("up").isNotNull())},
+            )
+        labels = (
+            sized.select("id", "level", "child_count", F.col("size").alias("subtree_size"), F.col("leaves").alias("leaf_count"))
+            .join(starts.drop("up"), "id")
+            .withColumn("pre_end", F.col("pre") + F.col("subtree_size") - 1)
+        )
+        labelled = nodes.join(labels, "id").select(
+            *nodes.columns, "level", "pre", "pre_end", "leaf_lo", "leaf_count", "subtree_size", "child_count"
+        )
+        return materialize(labelled.repartitionByRange("pre").sortWithinPartitions("pre"), "labelled", keep=True)
+
+
 # --- orders -----------------------------------------------------------------
 
 
@@ -204,12 +271,32 @@ def leaf_counts(labelled: DataFrame, preset: str | None = None) -> DataFrame:
     )
 
 
+def rollup_values(labelled: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(id, values): each ``value`` of the node + those of all nodes below it.
+
+    A subtree is a range of preorder numbers, so a sum is the difference of two running
+    sums: one pass for all values, and two equi-joins on the number.
+    """
+    slices = sorted_slices(labelled.select("pre", *[c.alias(n) for n, c in values.items()]), ["pre"], "rollup")
+    offsets = slice_offsets(slices, {f"_o_{n}": F.sum(n) for n in values})
+    inside = Window.partitionBy("_slice").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    running = slices.join(F.broadcast(offsets), "_slice").select(
+        "pre", *[(F.sum(n).over(inside) + F.col(f"_o_{n}")).alias(f"_s_{n}") for n in values]
+    )
+    running = materialize(running, "rollup-sums")
+    upto = running.withColumnRenamed("pre", "pre_end")
+    before = running.select((F.col("pre") + 1).alias("pre"), *[F.col(f"_s_{n}").alias(f"_b_{n}") for n in values])
+    return (
+        labelled.select("id", "pre", "pre_end")
+        .join(upto, "pre_end")
+        .join(before, "pre", "left")
+        .select("id", *[(F.col(f"_s_{n}") - F.coalesce(F.col(f"_b_{n}"), F.lit(0))).alias(n) for n in values])
+    )
+
+
 def rollup_value(labelled: DataFrame, value: Column, name: str = "value") -> DataFrame:
     """Node value = ``value`` of the node + the values of its children."""
-    totals = (
-        labelled.select(F.explode("path_ids").alias("id"), value.alias(name)).groupBy("id").agg(F.sum(name).alias(name))
-    )
-    return labelled.join(totals, "id")
+    return labelled.join(rollup_values(labelled, {name: value}), "id")
 
 
 def family_stats(nodes: DataFrame) -> DataFrame:

@@ -72,7 +72,20 @@ def leaf_counts_and_paths(spark, sf):
 
 @query(O.labelled_sql("geo", "SELECT id, parent_id, name, level FROM walk"))
 def build_hierarchy(spark, sf):
-    return H.build_hierarchy(view(spark, sf, "geo")).select("id", "parent_id", "name", "level")
+    return H.build_hierarchy(view(spark, sf, "geo"), paths=False).select("id", "parent_id", "name", "level")
+
+
+@query(O.labelled_sql("geo", "SELECT id, level, array_to_string(ids, '/') AS path FROM lab"))
+def build_hierarchy_paths(spark, sf):
+    built = H.build_hierarchy(view(spark, sf, "geo"))
+    return built.select("id", "level", F.array_join(F.col("path.id").cast("array<string>"), "/").alias("path"))
+
+
+@query(O.labelled_sql("geo", "SELECT id, level, pre, pre_end, leaf_lo, leaf_count, subtree_size, child_count FROM lab"))
+def label_without_paths(spark, sf):
+    """All labels from sums, without any path."""
+    found = L.label_hierarchy(view(spark, sf, "geo"), paths=False)
+    return found.select("id", "level", "pre", "pre_end", "leaf_lo", "leaf_count", "subtree_size", "child_count")
 
 
 @query(O.labelled_sql("geo", "SELECT id, parent_id, level FROM walk WHERE level <= 2"))
@@ -86,8 +99,7 @@ def build_hierarchy_capped(spark, sf):
 ) SELECT id, root_id, level FROM walk"""))
 def build_hierarchy_deep(spark, sf):
     """A forest of long chains: log2(depth) joins."""
-    deep = H.build_hierarchy(view(spark, sf, "chain"), roots="many")
-    return deep.select("id", F.element_at("path.id", 1).alias("root_id"), "level")
+    return H.build_hierarchy(view(spark, sf, "chain"), roots="many", paths=False).select("id", "root_id", "level")
 
 
 @query(O.view_sql("geo", "SELECT id, name FROM geo WHERE parent_id IS NULL ORDER BY id LIMIT 1"))
@@ -274,9 +286,7 @@ def rollup_value(spark, sf):
     """The four node values, each rolled up."""
     geo = labelled(spark, sf, "geo")
     names = {"leaf": "leaf_value", "node": "node_value", "leaf_count": "leaf_count_value", "depth_weighted": "weighted"}
-    out = geo.select("id")
-    for preset, name in names.items():
-        out = out.join(L.rollup_value(geo, L.node_value(preset), name).select("id", name), "id")
+    out = L.rollup_values(geo, {name: L.node_value(preset) for preset, name in names.items()})
     return out.withColumn("weighted", F.round("weighted", 6))
 
 

@@ -208,3 +208,25 @@ def test_sibling_strategies(spark):
     assert order("value_then_name", collation="UNICODE") == order("hybrid") == "bac"
     assert sorted(order("random", seed=1)) == list("abc")
     assert order([F.col("name").desc(), F.col("id")]) == "cba"
+
+
+@pytest.mark.parametrize("n,shape", [(200, 0.4), (120, 1.0)])
+def test_labels_without_paths(spark, rows, n, shape):
+    nodes = spark.createDataFrame(random_tree(n, 11, shape), "id bigint, parent_id bigint, name string")
+    columns = ["id", "level", "pre", "pre_end", "leaf_lo", "leaf_count", "subtree_size", "child_count"]
+    whole, narrow = L.label_hierarchy(nodes), L.label_hierarchy(nodes, paths=False)
+    assert rows(whole, *columns) == rows(narrow, *columns)
+    assert rows(L.label_hierarchy(nodes, max_depth=2), *columns) == rows(L.label_hierarchy(nodes, max_depth=2, paths=False), *columns)
+
+
+def test_levels_leave_out_cycles_and_lost_rows(spark, rows):
+    nodes = [(1, None, "r"), (2, 1, "a"), (3, 2, "b"), (4, 3, "c"), (5, 4, "d"), (6, 7, "x"), (7, 6, "y"), (8, 7, "z"), (9, 99, "lost"), (10, 9, "below")]
+    frame = spark.createDataFrame(nodes, "id bigint, parent_id bigint, name string")
+    assert rows(H.rooted_levels(frame)) == sorted([(i, i - 1, 1) for i in range(1, 6)], key=repr)
+    two = spark.createDataFrame(nodes + [(20, 20, "second"), (21, 20, "s")], "id bigint, parent_id bigint, name string")
+    assert rows(H.rooted_levels(two, roots="many").filter("root_id = 20"), "id", "level") == [(20, 0), (21, 1)]
+    with pytest.raises(ValueError):
+        H.rooted_levels(two)
+    chain = spark.createDataFrame([(i, i - 1 if i > 1 else None, "n") for i in range(1, 2001)], "id bigint, parent_id bigint, name string")
+    deep = L.label_hierarchy(chain, paths=False)
+    assert deep.filter("level <> id - 1 or pre <> id or pre_end <> 2000 or subtree_size <> 2001 - id or leaf_count <> 1").count() == 0
