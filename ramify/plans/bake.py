@@ -20,32 +20,48 @@ from ramify.sources import taxonomy as X
 from ramify.store import materialize
 
 
-def opentree_nodes(spark: SparkSession, taxonomy: str, synonyms: str | None = None, collation: str | None = None) -> DataFrame:
-    """Cleaned node table of an OpenTree dump: (id, parent_id, name, rank, ord)."""
-    rows = materialize(X.read_opentree_taxonomy(spark, taxonomy), "taxonomy")
+def opentree_nodes(spark: SparkSession, taxonomy: str, synonyms: str | None = None, collation: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cleaned node table of an OpenTree dump: (id, parent_id, name, rank, ord); and the
+    rejected lines (source, line_no, value)."""
+    read, rejected = X.read_opentree_taxonomy(spark, taxonomy)
+    rejected = rejected.withColumn("source", F.lit("taxonomy"))
+    rows = materialize(read, "taxonomy")
     root = H.find_root(rows, order="line_no").first()["id"]
     tree = label_hierarchy(rows.drop("line_no"), order=_by_name(collation), root_id=root)
     nodes = tree.select("id", F.when(F.col("level") > 0, F.col("parent_id")).alias("parent_id"), "name", "rank", F.col("pre").alias("ord"))
     if synonyms is not None:
-        common = C.best_common_name(X.read_opentree_synonyms(spark, synonyms))
+        named, lost = X.read_opentree_synonyms(spark, synonyms)
+        common = C.best_common_name(named)
+        rejected = _join_rejected(rejected, lost, "synonyms")
         nodes = C.apply_common_names(nodes, common)
     nodes = C.drop_duplicate_leaves(nodes)
     nodes = C.drop_placeholder_deep(nodes).drop("splice")
-    return C.lowercase_names(nodes)
+    return C.lowercase_names(nodes), rejected.select("source", "line_no", "value")
 
 
-def ncbi_nodes(spark: SparkSession, nodes: str, names: str, collation: str | None = None) -> DataFrame:
-    """Node table of an NCBI dump: (id, parent_id, name, rank, ord)."""
-    rows = materialize(X.read_ncbi_nodes(spark, nodes), "ncbi")
+def _join_rejected(rejected: DataFrame, more: DataFrame, source: str) -> DataFrame:
+    """Rejected lines of both; their place is kept as text, since a missing file has none."""
+    place = F.col("line_no").cast("string").alias("line_no")
+    return rejected.select("source", place, "value").unionByName(more.select(F.lit(source).alias("source"), place, "value"))
+
+
+def ncbi_nodes(spark: SparkSession, nodes: str, names: str, collation: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Node table of an NCBI dump: (id, parent_id, name, rank, ord); and the rejected lines
+    (source, line_no, value)."""
+    read, rejected = X.read_ncbi_nodes(spark, nodes)
+    all_names, lost = X.read_ncbi_names(spark, names)
+    rejected = _join_rejected(rejected.withColumn("source", F.lit("nodes")), lost, "names")
+    rows = materialize(read, "ncbi")
     root = H.find_root(rows.withColumn("name", F.lit("")), order="line_no", fallback_id=1).first()["id"]
     named = rows.join(
-        C.last_scientific_name(X.read_ncbi_names(spark, names)).withColumnRenamed("tax_id", "id"), "id", "left"
+        C.last_scientific_name(all_names).withColumnRenamed("tax_id", "id"), "id", "left"
     )
     name = F.when(F.col("id") == root, T.default_root_name("name")).otherwise(T.default_name("name", "id"))
     tree = label_hierarchy(
         named.select("id", "parent_id", name.alias("name"), "rank"), order=_by_name(collation), root_id=root
     )
-    return tree.select("id", F.when(F.col("level") > 0, F.col("parent_id")).alias("parent_id"), "name", "rank", F.col("pre").alias("ord"))
+    found = tree.select("id", F.when(F.col("level") > 0, F.col("parent_id")).alias("parent_id"), "name", "rank", F.col("pre").alias("ord"))
+    return found, rejected
 
 
 def _by_name(collation: str | None) -> list:
@@ -74,10 +90,10 @@ def write_bake(
     sort_method: str | None = None,
     sort_description: str | None = None,
 ) -> DataFrame:
-    """Write ``path/parts`` and ``path/manifest``; returns the manifest row."""
-    parted = materialize(A.split_parts(baked, parts, position="id"), "baked")
-    A.write_layout_parts(parted, f"{path}/parts")
-    stats = A.part_stats(parted, [f.name for f in A.NODE], parts)
+    """Write ``path/parts`` and ``path/manifest``, which lists the files as written; returns the manifest row."""
+    spark = baked.sparkSession
+    A.write_layout_parts(A.split_parts(baked, parts, position="id"), f"{path}/parts", position="id")
+    stats = A.written_parts(spark, f"{path}/parts")
     manifest = A.build_manifest(stats, size, padding, sort_method=sort_method, sort_description=sort_description)
     A.write_manifest(manifest, f"{path}/manifest")
-    return A.read_manifest(baked.sparkSession, f"{path}/manifest")
+    return A.read_manifest(spark, f"{path}/manifest")

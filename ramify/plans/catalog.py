@@ -965,7 +965,7 @@ def bake_opentree(spark, sf):
     s = _bar(F.col("synonym"), F.col("ott_id"), F.lit("synonym"), F.col("synonym"), F.col("source"))
     # One file keeps the order of the lines, in which the first of equal synonyms wins.
     synonyms = _synonyms(spark, sf).orderBy("line_no")
-    nodes = B.opentree_nodes(spark, _text_file(geo, line, "taxonomy"), _text_file(synonyms, s, "synonyms"))
+    nodes, _ = B.opentree_nodes(spark, _text_file(geo, line, "taxonomy"), _text_file(synonyms, s, "synonyms"))
     baked = B.bake_layout(nodes)
     parents = baked.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name"))
     return baked.join(parents, "parent_id", "left").select("name", "level", F.coalesce("parent_name", F.lit("")).alias("parent_name"))
@@ -997,36 +997,86 @@ def _parted(spark, sf):
     return A.split_parts(L.bfs_ids(_narrow(spark, sf)))
 
 
+_JSON_BYTES = "strlen(CAST(to_json({'id': id, 'parent_id': parent_id, 'name': name, 'level': level}) AS VARCHAR)) + 1"
+
+
 @query(O.labelled_sql("geo", _PARTS + " SELECT id, part FROM parts"))
 def write_layout_parts(spark, sf):
     """Parts written as JSON and read back."""
     path = scratch_path(spark, "parts")
-    A.write_layout_parts(_parted(spark, sf), path, ["id", "parent_id", "name", "level"])
+    A.write_layout_parts(_parted(spark, sf), path, ["id", "parent_id", "name", "level"], position="bfs")
     return spark.read.schema("id bigint, part int").json(path).select("id", "part")
 
 
-@query(O.labelled_sql("geo", _PARTS + """
-SELECT 'tree_part_00' || (part + 1) || '.json' AS filename, count(*) AS nodes_count FROM parts GROUP BY part"""))
+@query(O.labelled_sql("geo", _PARTS + f"""
+SELECT 'tree_part_00' || (part + 1) || '.json' AS filename, count(*) AS nodes_count, CAST(sum({_JSON_BYTES}) + 1 AS BIGINT) AS size_bytes FROM parts GROUP BY part"""))
 def part_stats(spark, sf):
-    return A.part_stats(_parted(spark, sf), ["id", "parent_id", "name", "level"]).select("filename", "nodes_count")
+    return A.part_stats(_parted(spark, sf), ["id", "parent_id", "name", "level"]).select("filename", "nodes_count", "size_bytes")
 
 
-@query(O.labelled_sql("geo", _PARTS + """
-SELECT '1.0' AS version, 4000.0::DOUBLE AS layout_size, 'hybrid' AS sort_method, count(*) AS total_nodes, CAST(5 AS BIGINT) AS total_files FROM parts"""))
+def _written(spark, sf):
+    """(path of the parts, path of their manifest), written."""
+    path = scratch_path(spark, "written")
+    A.write_layout_parts(_parted(spark, sf), f"{path}/parts", ["id", "parent_id", "name", "level"], position="bfs")
+    manifest = A.build_manifest(A.written_parts(spark, f"{path}/parts"), sort_method="hybrid")
+    A.write_manifest(manifest, f"{path}/manifest")
+    return f"{path}/parts", f"{path}/manifest"
+
+
+@query(O.labelled_sql("geo", _PARTS + f"""
+SELECT '1.0' AS version, 4000.0::DOUBLE AS layout_size, 'hybrid' AS sort_method, (SELECT count(*) FROM parts) AS total_nodes,
+  part, count(*) AS nodes_count, CAST(sum({_JSON_BYTES}) AS BIGINT) AS size_bytes FROM parts GROUP BY part"""))
 def write_manifest(spark, sf):
-    """Manifest written, read back and validated."""
-    stats = A.part_stats(_parted(spark, sf), ["id", "parent_id", "name", "level"])
-    path = scratch_path(spark, "manifest")
-    A.write_manifest(A.build_manifest(stats, sort_method="hybrid"), path)
-    return A.read_manifest(spark, path).select("version", "layout_size", "sort_method", "total_nodes", "total_files")
+    """Manifest of the written files, read back and validated; counts and bytes by part."""
+    read = A.read_manifest(spark, _written(spark, sf)[1])
+    part = F.regexp_extract("f.filename", r"part=(\d+)/", 1).cast("int").alias("part")
+    return (
+        read.select("version", "layout_size", "sort_method", "total_nodes", F.explode("files").alias("f"))
+        .groupBy("version", "layout_size", "sort_method", "total_nodes", part)
+        .agg(F.sum("f.nodes_count").alias("nodes_count"), F.sum("f.size_bytes").alias("size_bytes"))
+    )
 
 
 @query(O.labelled_sql("geo", _PARTS + """
-SELECT 'tree_part_00' || (part + 1) || '.json' AS filename, count(*) AS declared, count(*) AS found, true AS ok FROM parts GROUP BY part
+SELECT CAST(part AS VARCHAR) AS part, count(*) AS declared, count(*) AS found, true AS ok FROM parts GROUP BY part
 UNION ALL SELECT 'total', count(*), count(*), true FROM parts"""))
 def manifest_audit(spark, sf):
-    stats = A.part_stats(_parted(spark, sf), ["id", "parent_id", "name", "level"])
-    return A.manifest_audit(A.build_manifest(stats), stats)
+    """What the manifest declares against the files read again."""
+    parts, manifest = _written(spark, sf)
+    audit = A.manifest_audit(A.read_manifest(spark, manifest), A.written_parts(spark, parts))
+    part = F.coalesce(F.nullif(F.regexp_extract("filename", r"part=(\d+)/", 1), F.lit("")), "filename").alias("part")
+    return audit.groupBy(part).agg(F.sum("declared").alias("declared"), F.sum("found").alias("found"), F.min("ok").alias("ok"))
+
+
+@query(O.labelled_sql("geo", _PARTS + " SELECT id, parent_id, name, level FROM parts"))
+def read_from_manifest(spark, sf):
+    """Rows of the files that the manifest lists."""
+    parts, manifest = _written(spark, sf)
+    return A.read_from_manifest(spark, manifest, parts)[0].select("id", "parent_id", "name", "level")
+
+
+@query(O.view_sql("geo", """
+SELECT 'part' AS source, count(*) AS rejected FROM geo WHERE id % 7 IN (2, 3)
+UNION ALL SELECT 'taxonomy', count(*) FROM geo WHERE id % 5 = 1 AND id > 1
+UNION ALL SELECT 'names', count(*) FROM geo WHERE id % 4 = 3"""))
+def rejected_lines(spark, sf):
+    """Damaged lines among good ones: none vanishes unseen."""
+    geo = view(spark, sf, "geo")
+    node = F.to_json(F.struct("id", "parent_id", "name"))
+    damaged = F.when(F.col("id") % 7 == 2, F.concat(F.lit("{"), node)).when(F.col("id") % 7 == 3, '{"name":"no id"}').otherwise(node)
+    parts = A.read_layout_parts(spark, _text_file(geo, damaged, "damaged"), multi_line=False)[1]
+    line = F.when((F.col("id") % 5 == 1) & (F.col("id") > 1), "ott_id\tlost").otherwise(
+        _bar(F.col("id"), F.col("parent_id"), F.col("name"), F.lit("genus"))
+    )
+    taxonomy = X.read_opentree_taxonomy(spark, _text_file(geo.coalesce(1).sortWithinPartitions("id"), line, "taxonomy"))[1]
+    name = F.when(F.col("id") % 4 == 3, F.concat(F.lit("x"), _bar(F.col("id"), F.col("name"), F.lit(""), F.lit("synonym")))).otherwise(
+        _bar(F.col("id"), F.col("name"), F.lit(""), F.lit("synonym"))
+    )
+    names = X.read_ncbi_names(spark, _text_file(geo, name, "names"))[1]
+    return union(*[
+        df.agg(F.count(F.lit(1)).alias("rejected")).select(F.lit(s).alias("source"), "rejected")
+        for s, df in {"part": parts, "taxonomy": taxonomy, "names": names}.items()
+    ])
 
 
 @query(O.line_sql("SELECT id, parent_id, name, level, x, y, r FROM geo_line"))
@@ -1035,7 +1085,7 @@ def read_layout_parts(spark, sf):
     path = scratch_path(spark, "read-parts")
     line = laid_out_line(spark, sf).withColumn("part", F.col("level"))
     A.write_layout_parts(line, path)
-    return A.read_layout_parts(spark, path, multi_line=False).select("id", "parent_id", "name", "level", "x", "y", "r")
+    return A.read_layout_parts(spark, path, multi_line=False)[0].select("id", "parent_id", "name", "level", "x", "y", "r")
 
 
 @query(O.line_sql("SELECT id, level AS part FROM geo_line"))
@@ -1044,7 +1094,7 @@ def concat_parts(spark, sf):
     path = scratch_path(spark, "concat")
     line = laid_out_line(spark, sf).withColumn("part", F.col("level"))
     A.write_layout_parts(line, path)
-    parts = [A.read_layout_parts(spark, f"{path}/part={p}", multi_line=False).withColumn("part", F.lit(p)) for p in range(5)]
+    parts = [A.read_layout_parts(spark, f"{path}/part={p}", multi_line=False)[0].withColumn("part", F.lit(p)) for p in range(5)]
     return union(*parts).select("id", "part")
 
 
@@ -1124,27 +1174,27 @@ def read_opentree_taxonomy(spark, sf):
     wide = _bar(F.col("id"), F.col("parent_id"), name, rank, F.lit(""), F.lit(""))
     line = F.when(F.col("id") % 3 == 0, F.replace(wide, F.lit("\t|\t"), F.lit("\t"))).otherwise(wide)
     path = _text_file(geo, line, "taxonomy")
-    return X.read_opentree_taxonomy(spark, path).select("id", "parent_id", "name", "rank")
+    return X.read_opentree_taxonomy(spark, path)[0].select("id", "parent_id", "name", "rank")
 
 
 @query(O.view_sql("synonyms", "SELECT synonym, ott_id, source FROM synonyms"))
 def read_opentree_synonyms(spark, sf):
     line = _bar(F.col("synonym"), F.col("ott_id"), F.lit("synonym"), F.col("synonym"), F.col("source"))
     path = _text_file(view(spark, sf, "synonyms"), line, "synonyms")
-    return X.read_opentree_synonyms(spark, path).select("synonym", "ott_id", "source")
+    return X.read_opentree_synonyms(spark, path)[0].select("synonym", "ott_id", "source")
 
 
 def _ncbi_nodes(spark, sf):
     geo = view(spark, sf, "geo").withColumn("parent_id", F.coalesce("parent_id", "id"))
     line = F.concat(_bar(F.col("id"), F.col("parent_id"), F.lit("genus"), F.lit("XX")), F.lit("\t|"))
-    return X.read_ncbi_nodes(spark, _text_file(geo, line, "nodes"))
+    return X.read_ncbi_nodes(spark, _text_file(geo, line, "nodes"))[0]
 
 
 def _ncbi_names(spark, sf):
     geo = view(spark, sf, "geo")
     kind = F.when(F.col("id") % 4 == 0, "synonym").otherwise("scientific name")
     line = F.concat(_bar(F.col("id"), F.col("name"), F.lit(""), kind), F.lit("\t|"))
-    return X.read_ncbi_names(spark, _text_file(geo, line, "names"))
+    return X.read_ncbi_names(spark, _text_file(geo, line, "names"))[0]
 
 
 @query(O.view_sql("geo", "SELECT id, coalesce(parent_id, id) AS parent_id, 'genus' AS rank FROM geo"))
@@ -1256,3 +1306,44 @@ def event_rate(spark, sf):
     """Rates per event type and minute."""
     rates = M.event_rate(table(spark, sf, "events"), "event_type", "ts", 60_000)
     return rates.withColumn("window_us", (M.millis(rates, "window_start") * 1000).cast("bigint")).drop("window_start")
+
+
+def _event_stream(spark, sf):
+    """The events as files in time order, rows up to five minutes late; the last file is far ahead."""
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    late = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(300))
+    ends = events.agg(F.min(late).alias("a"), (F.max(late) + 1).alias("b")).first()
+    slice_ = F.floor((late - ends["a"]) * 5 / (ends["b"] - ends["a"]))
+    path = scratch_path(spark, "stream")
+    for i in range(5):
+        events.filter(slice_ == i).coalesce(1).write.mode("append").parquet(path)
+    ahead = spark.range(1).select(
+        F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast(dict(events.dtypes)["user_id"]).alias("user_id"),
+        F.lit("end").alias("event_type"), F.timestamp_seconds(F.lit(ends["b"] + 86400)).alias("ts"),
+    )
+    ahead.write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _drained(stream, label):
+    """All that the stream emits, from a written table."""
+    spark = stream.sparkSession
+    path = scratch_path(spark, label)
+    writer = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query(ORACLES["ewma_lag"])
+def ewma_lag_stream(spark, sf):
+    """The streaming form over files with late rows: the rows of the batch form."""
+    lag = _drained(M.ewma_lag_stream(_event_stream(spark, sf), "user_id", "ts", "event_id"), "lag")
+    return lag.filter("event_id >= 0").select("event_id", "user_id", F.round("lag_ms", 2).alias("lag_ms"), "alert")
+
+
+@query(ORACLES["event_rate"])
+def event_rate_stream(spark, sf):
+    """Windows emitted once the watermark has passed them."""
+    stream = _event_stream(spark, sf).withWatermark("ts", "10 minutes")
+    rates = _drained(M.event_rate(stream, "event_type", "ts", 60_000), "rate").filter("event_type <> 'end'")
+    return rates.withColumn("window_us", (M.millis(rates, "window_start") * 1000).cast("bigint")).drop("window_start")

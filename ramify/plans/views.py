@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ramify.operators.labels import label_hierarchy, sibling_order
 from ramify.operators.ranking import grouped_running
-from ramify.store import materialize
+from ramify.store import materialize, on_release
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -72,6 +72,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _labelled: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def _forget(application: str) -> None:
+    for key in [k for k in _labelled if k[0] == application]:
+        del _labelled[key]
+
+
+on_release(_forget)
+
+
 def labelled(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Labelled table of a view: written once per session, then reused."""
     key = (spark.sparkContext.applicationId, sf_dir, name)

@@ -12,11 +12,13 @@ def build_session(
     master: str | None = None,
     shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
+    checkpoint_dir: str | None = None,
 ) -> SparkSession:
     """Create a session with the settings this library is written for.
 
     Adaptive execution coalesces small shuffles and splits skewed join
     partitions, so only the upper number of shuffle partitions is set here.
+    ``checkpoint_dir`` is the shared folder for intermediate tables.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -32,6 +34,8 @@ def build_session(
             builder = builder.config("spark.driver.memory", os.environ.get("RAMIFY_DRIVER_MEMORY", "8g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

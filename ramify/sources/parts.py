@@ -83,18 +83,44 @@ def part_stats(parted: DataFrame, columns: list[str], parts: int = 5) -> DataFra
     )
 
 
-def write_layout_parts(parted: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """JSON lines under ``path/part=<n>``, null fields kept."""
+def write_layout_parts(parted: DataFrame, path: str, columns: list[str] | None = None, position: str | None = None) -> None:
+    """JSON lines under ``path/part=<n>``, null fields kept.
+
+    With ``position`` the rows of a part are in that order, through its files by name; a
+    large part is several files.
+    """
     cols = columns or [f.name for f in NODE]
+    if position is not None:
+        parted = parted.repartitionByRange("part", position).sortWithinPartitions("part", position)
     parted.select("part", *cols).write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("part").json(path)
 
 
-def read_layout_parts(spark: SparkSession, paths: str | list[str], multi_line: bool = True) -> DataFrame:
-    """Rows of all listed parts. A JSON array gives one row per element.
+def written_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The files under ``path`` as they are: (filename below path, nodes_count, size_bytes), read again."""
+    lines = spark.read.text(path).select("value", "part", "_metadata.file_name", "_metadata.file_size")
+    return lines.groupBy(F.format_string("part=%s/%s", F.col("part").cast("string"), F.col("file_name")).alias("filename")).agg(
+        F.count_if(F.length("value") > 0).alias("nodes_count"), F.max("file_size").alias("size_bytes")
+    )
+
+
+def read_layout_parts(spark: SparkSession, paths: str | list[str], multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of all listed parts. A JSON array gives one row per element.
 
-    A part that is not an array of nodes has no row with an id and drops out.
+    Rejected, as (file, value), is what is no JSON or no node with an id: a line each, or
+    with ``multi_line`` a whole file.
     """
-    return spark.read.schema(NODE).json(paths, multiLine=multi_line).filter("id is not null")
+    schema = t.StructType([*NODE, t.StructField("_corrupt_record", t.StringType())])
+    read = spark.read.schema(schema).json(paths, multiLine=multi_line).select("*", F.col("_metadata.file_path").alias("_file"))
+    ok = F.col("_corrupt_record").isNull() & F.col("id").isNotNull()
+    names = [f.name for f in NODE]
+    value = F.coalesce("_corrupt_record", F.to_json(F.struct(*names)))
+    return read.filter(ok).select(*names), read.filter(~ok).select(F.col("_file").alias("file"), value.alias("value"))
+
+
+def read_from_manifest(spark: SparkSession, manifest_path: str, parts_path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of the files that a manifest lists, below ``parts_path``."""
+    files = read_manifest(spark, manifest_path).select(F.explode("files.filename").alias("f")).collect()  # as many as files
+    return read_layout_parts(spark, [f"{parts_path}/{r['f']}" for r in files], multi_line=False)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -17,15 +17,15 @@ _BAR = r"\t\|\t"
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(line_no, is_first, value). ``line_no`` orders lines by file, block and row."""
     row = F.monotonically_increasing_id()
-    start = F.col("_metadata.file_block_start")
-    return (
-        spark.read.text(path)
-        .select("value", F.col("_metadata.file_name").alias("_file"), start.alias("_start"), row.alias("_row"))
-        .select(
-            F.struct("_file", "_start", "_row").alias("line_no"),
-            ((F.col("_start") == 0) & (F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) == 0)).alias("is_first"),
-            "value",
-        )
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), row.alias("_row")
+    )
+    # A task may read several files: the first line of each is the least row of its first block.
+    first = lines.filter("_start = 0").groupBy("_file").agg(F.min("_row").alias("_first"))
+    return lines.join(first, "_file", "left").select(
+        F.struct("_file", "_start", "_row").alias("line_no"),
+        F.coalesce((F.col("_start") == 0) & (F.col("_row") == F.col("_first")), F.lit(False)).alias("is_first"),
+        "value",
     )
 
 
@@ -65,9 +65,9 @@ def parse_opentree_taxonomy(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _last_line_wins(nodes, "id", ["parent_id", "name", "rank"]), rejected
 
 
-def read_opentree_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """taxonomy.tsv: id, parent_id, name, rank, line_no."""
-    return parse_opentree_taxonomy(read_lines(spark, path))[0]
+def read_opentree_taxonomy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """taxonomy.tsv: id, parent_id, name, rank, line_no; and the rejected lines (line_no, value)."""
+    return parse_opentree_taxonomy(read_lines(spark, path))
 
 
 def parse_opentree_synonyms(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,14 +82,14 @@ def parse_opentree_synonyms(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, f.filter(~F.coalesce(ok, F.lit(False))).select("line_no", "value")
 
 
-def read_opentree_synonyms(spark: SparkSession, path: str) -> DataFrame:
-    """synonyms.tsv: synonym, ott_id, source, line_no; a missing file is empty."""
+def read_opentree_synonyms(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """synonyms.tsv: synonym, ott_id, source, line_no; and the rejected lines. A missing file is empty."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.globStatus(hadoop):
         none = spark.createDataFrame([], "line_no bigint, is_first boolean, value string")
-        return parse_opentree_synonyms(none)[0]
-    return parse_opentree_synonyms(read_lines(spark, path))[0]
+        return parse_opentree_synonyms(none)
+    return parse_opentree_synonyms(read_lines(spark, path))
 
 
 def parse_ncbi_nodes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,21 +107,24 @@ def parse_ncbi_nodes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _last_line_wins(rows, "id", ["parent_id", "rank"]), rejected
 
 
-def read_ncbi_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """nodes.dmp: id, parent_id, rank, line_no."""
-    return parse_ncbi_nodes(read_lines(spark, path))[0]
+def read_ncbi_nodes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """nodes.dmp: id, parent_id, rank, line_no; and the rejected lines (line_no, value)."""
+    return parse_ncbi_nodes(read_lines(spark, path))
 
 
-def parse_ncbi_names(lines: DataFrame) -> DataFrame:
-    f = lines.withColumn("_f", F.split("value", _BAR)).filter(F.size("_f") >= 4)
-    return f.select(
-        T.parse_int(F.get("_f", F.lit(0))).alias("tax_id"),
+def parse_ncbi_names(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    f = lines.withColumn("_f", F.split("value", _BAR))
+    tax_id = T.parse_int(F.get("_f", F.lit(0)))
+    ok = (F.size("_f") >= 4) & tax_id.isNotNull()
+    rows = f.filter(ok).select(
+        tax_id.alias("tax_id"),
         T.strip(F.get("_f", F.lit(1))).alias("name"),
         T.strip(F.regexp_replace(F.get("_f", F.lit(3)), r"\t?\|$", "")).alias("name_class"),
         "line_no",
     )
+    return rows, f.filter(~F.coalesce(ok, F.lit(False))).select("line_no", "value")
 
 
-def read_ncbi_names(spark: SparkSession, path: str) -> DataFrame:
-    """names.dmp: tax_id, name, name_class, line_no, every name class."""
+def read_ncbi_names(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """names.dmp: tax_id, name, name_class, line_no, every name class; and the rejected lines."""
     return parse_ncbi_names(read_lines(spark, path))

@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 _local_roots: dict[str, str] = {}
-_scopes: list[list[str]] = []
+# Open ``transient`` blocks of this thread or task, outermost first.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("ramify_scopes", default=())
+_on_release: list[Callable[[str], None]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -48,17 +51,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
 @contextmanager
 def transient(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables written inside are dropped at the end, unless kept."""
-    _scopes.append([])
+    mine: list[str] = []
+    token = _scopes.set((*_scopes.get(), mine))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(token)
+        for path in mine:
             drop_path(spark, path)
 
 
+def on_release(forget: Callable[[str], None]) -> None:
+    """``forget`` is called with the application id when its tables are dropped."""
+    _on_release.append(forget)
+
+
 def release(spark: SparkSession) -> None:
-    """Drop every intermediate table of this application."""
+    """Drop every intermediate table of this application, and what refers to one."""
     drop_path(spark, scratch_root(spark))
+    for forget in _on_release:
+        forget(spark.sparkContext.applicationId)
 
 
 def materialize(df: DataFrame, label: str, observe: dict | None = None, keep: bool = False):
@@ -70,10 +82,11 @@ def materialize(df: DataFrame, label: str, observe: dict | None = None, keep: bo
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    if _scopes and not keep:
-        _scopes[-1].append(path)
-    elif keep and len(_scopes) > 1:
-        _scopes[-2].append(path)
+    scopes = _scopes.get()
+    if scopes and not keep:
+        scopes[-1].append(path)
+    elif keep and len(scopes) > 1:
+        scopes[-2].append(path)
     schema = df.schema
     if observe is None:
         df.write.parquet(path)

@@ -162,11 +162,13 @@ def ewma_lag_stream(
     interval_ms: float = 500.0,
     alpha: float = 0.2,
     alert_ms: float = 0.5,
+    forget_ms: float | None = None,
 ) -> DataFrame:
-    """Streaming form: state per key is the lag and the time of the last event.
+    """Streaming form of ``ewma_lag``: the same rows, for input at most ``delay`` late.
 
-    Events older than the last one of their key are dropped. State expires
-    once the watermark passes the key's last event by ``delay``.
+    The events of a key wait in its state until the watermark has passed them, so that
+    late ones find their place, and are folded in the order of time and ``tie``. A key is
+    kept for good, or until ``forget_ms`` after its last event.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -175,26 +177,35 @@ def ewma_lag_stream(
     out = f"{key} {types[key]}, {tie} {types[tie]}, ts_ms double, lag_ms double, alert boolean"
 
     def step(k, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["_ms", tie])
-        lag, last = state.get if state.exists else (0.0, None)
+        lag, last, times, ties = state.get if state.exists else (0.0, None, [], [])
+        waiting = list(zip(times, ties))
+        if not state.hasTimedOut:
+            for rows in batches:
+                waiting += zip(rows["_ms"].tolist(), rows[tie].tolist())
+        waiting.sort()
+        passed = state.getCurrentWatermarkMs()
         found = []
-        for event_id, ms in zip(rows[tie], rows["_ms"]):
+        while waiting and waiting[0][0] < passed:
+            ms, event_id = waiting.pop(0)
             if last is not None:
-                if ms < last:
-                    continue
                 lag = max(0.0, alpha * (ms - last - interval_ms) + (1 - alpha) * lag)
             last = ms
             found.append((k[0], event_id, ms, lag, lag > alert_ms))
-        state.update((lag, last))
-        state.setTimeoutTimestamp(max(int(last), state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(found, columns=[key, tie, "ts_ms", "lag_ms", "alert"])
+        if not waiting and last is not None and forget_ms is not None and last + forget_ms < passed:
+            state.remove()
+        else:
+            state.update((lag, last, [m for m, _ in waiting], [i for _, i in waiting]))
+            wake = waiting[0][0] if waiting else last + forget_ms if forget_ms is not None else None
+            if wake is not None:
+                state.setTimeoutTimestamp(int(max(wake, passed)) + 1)
+        if found:
+            yield pd.DataFrame(found, columns=[key, tie, "ts_ms", "lag_ms", "alert"])
 
     return (
         events.withWatermark(ts, delay)
         .select(key, tie, ts, millis(events, ts).alias("_ms"))
         .groupBy(key)
-        .applyInPandasWithState(step, out, "lag double, last double", "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(
+            step, out, f"lag double, last double, times array<double>, ties array<{types[tie]}>", "append", GroupStateTimeout.EventTimeTimeout
+        )
     )

@@ -172,11 +172,11 @@ def test_bake_opentree(spark, tmp_path):
     lines = ["ott_id" + bar + "parent_id" + bar + "name" + bar + "rank"] + [bar.join([*r, "", ""]) for r in taxonomy]
     (tmp_path / "taxonomy.tsv").write_text("\n".join(lines))
     (tmp_path / "synonyms.tsv").write_text("name" + bar + "uid\n" + bar.join(["house cat", "4", "s", "", "gbif"]))
-    nodes = B.opentree_nodes(spark, str(tmp_path / "taxonomy.tsv"), str(tmp_path / "synonyms.tsv"))
+    nodes, rejected = B.opentree_nodes(spark, str(tmp_path / "taxonomy.tsv"), str(tmp_path / "synonyms.tsv"))
     baked = B.bake_layout(nodes)
     manifest = B.write_bake(baked, str(tmp_path / "out")).first()
-    assert manifest["total_nodes"] == 4 and [f["nodes_count"] for f in manifest["files"]] == [1, 1, 1, 1, 0]
-    stored = A.read_layout_parts(spark, str(tmp_path / "out" / "parts"), multi_line=False).orderBy("id").collect()
+    assert manifest["total_nodes"] == 4 and [f["nodes_count"] for f in manifest["files"]] == [1, 1, 1, 1] and rejected.count() == 0
+    stored = A.read_from_manifest(spark, str(tmp_path / "out" / "manifest"), str(tmp_path / "out" / "parts"))[0].orderBy("id").collect()
     assert [(r["id"], r["parent_id"], r["name"], r["level"]) for r in stored] == [
         (1, None, "Life", 0), (2, 1, "Felidae", 1), (3, 2, "Panthera Leo", 2), (4, 2, "House Cat (Felis Catus)", 2),
     ]
@@ -186,5 +186,5 @@ def test_bake_opentree(spark, tmp_path):
 def test_bake_ncbi(spark, tmp_path):
     (tmp_path / "nodes.dmp").write_text("1\t|\t1\t|\tno rank\t|\tX\t|\n2\t|\t1\t|\tgenus\t|\tX\t|\n3\t|\t2\t|\tspecies\t|\tX\t|\n")
     (tmp_path / "names.dmp").write_text("2\t|\tFelis\t|\t\t|\tscientific name\t|\n")
-    baked = B.bake_layout(B.ncbi_nodes(spark, str(tmp_path / "nodes.dmp"), str(tmp_path / "names.dmp")))
+    baked = B.bake_layout(B.ncbi_nodes(spark, str(tmp_path / "nodes.dmp"), str(tmp_path / "names.dmp"))[0])
     assert [(r["name"], r["level"]) for r in baked.orderBy("id").collect()] == [("Life", 0), ("Felis", 1), ("Unknown_3", 2)]

@@ -29,7 +29,7 @@ def test_opentree_taxonomy(spark, tmp_path, rows):
             "",
         ]
     )
-    got = X.read_opentree_taxonomy(spark, write(tmp_path, "taxonomy.tsv", text))
+    got, _ = X.read_opentree_taxonomy(spark, write(tmp_path, "taxonomy.tsv", text))
     assert rows(got, "id", "parent_id", "name", "rank") == sorted(
         [
             (1, None, "life", "no rank"),
@@ -45,7 +45,7 @@ def test_opentree_taxonomy(spark, tmp_path, rows):
 
 def test_opentree_without_header_keeps_first_line(spark, tmp_path):
     path = write(tmp_path, "t.tsv", "7\t|\t\t|\tlife\t|\tno rank\n")
-    assert X.read_opentree_taxonomy(spark, path).count() == 1
+    assert X.read_opentree_taxonomy(spark, path)[0].count() == 1
 
 
 def test_synonyms_and_best_common_name(spark, tmp_path, rows):
@@ -60,15 +60,15 @@ def test_synonyms_and_best_common_name(spark, tmp_path, rows):
         "Felis\t|\t3\t|\tsynonym\t|\t\t|\tgbif",
         " \t|\t3\t|\tsynonym\t|\t\t|\tgbif",
     ]
-    synonyms = X.read_opentree_synonyms(spark, write(tmp_path, "synonyms.tsv", "\n".join(lines)))
+    synonyms, _ = X.read_opentree_synonyms(spark, write(tmp_path, "synonyms.tsv", "\n".join(lines)))
     assert rows(synonyms, "synonym", "source")[-1] == ("tiny", "")
     assert rows(C.best_common_name(synonyms)) == [(1, "big cat"), (2, "tiny")]
-    assert X.read_opentree_synonyms(spark, str(tmp_path / "missing.tsv")).count() == 0
+    assert X.read_opentree_synonyms(spark, str(tmp_path / "missing.tsv"))[0].count() == 0
 
 
 def test_synonym_header_only_on_first_line(spark, tmp_path, rows):
     path = write(tmp_path, "s.tsv", "nameless frog\t|\t5\nnameless toad\t|\t6\n")
-    assert rows(X.read_opentree_synonyms(spark, path), "synonym") == [("nameless toad",)]
+    assert rows(X.read_opentree_synonyms(spark, path)[0], "synonym") == [("nameless toad",)]
 
 
 def test_ncbi(spark, tmp_path, rows):
@@ -77,9 +77,9 @@ def test_ncbi(spark, tmp_path, rows):
         "1\t|\troot\t|\t\t|\tscientific name\t|\n2\t|\tOld\t|\t\t|\tscientific name\t|\n"
         "2\t|\tNew\t|\t\t|\tscientific name\t|\n2\t|\tcommon\t|\t\t|\tgenbank common name\t|\n3\t|\tx\n"
     )
-    got = X.read_ncbi_nodes(spark, write(tmp_path, "nodes.dmp", nodes))
+    got, _ = X.read_ncbi_nodes(spark, write(tmp_path, "nodes.dmp", nodes))
     assert rows(got, "id", "parent_id", "rank") == [(1, 1, "no rank"), (2, 1, "species")]
-    named = X.read_ncbi_names(spark, write(tmp_path, "names.dmp", names))
+    named, _ = X.read_ncbi_names(spark, write(tmp_path, "names.dmp", names))
     assert named.count() == 4
     assert rows(C.last_scientific_name(named)) == [(1, "root"), (2, "New")]
 
@@ -90,7 +90,7 @@ def test_layout_parts_and_manifest(spark, tmp_path, rows):
     p1 = write(tmp_path, "p1.json", json.dumps(one))
     p2 = write(tmp_path, "p2.json", json.dumps(two))
     p3 = write(tmp_path, "p3.json", json.dumps({"note": "no array"}))
-    assert rows(A.read_layout_parts(spark, [p1, p2, p3]), "id", "name", "r") == [(1, "Life", 2.0), (2, "a", 1.0)]
+    assert rows(A.read_layout_parts(spark, [p1, p2, p3])[0], "id", "name", "r") == [(1, "Life", 2.0), (2, "a", 1.0)]
     manifest = {
         "version": "1.0", "layout_size": 4000, "layout_padding": 0, "total_nodes": 3, "total_files": 2,
         "files": [{"filename": "p1.json", "nodes_count": 1, "size_bytes": 9}, {"filename": "p2.json", "nodes_count": 2, "size_bytes": 9}],
