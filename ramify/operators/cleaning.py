@@ -50,14 +50,15 @@ def split_valid(rows: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
 def drop_duplicate_leaves(nodes: DataFrame) -> DataFrame:
     """Remove every leaf whose name (any case) occurs on more than one leaf.
 
-    All copies go, blank names are never counted, one pass only: a parent that
+    All copies go, blank names and roots are never counted, one pass only: a parent that
     loses all its children stays. Leaf rows are grouped by name carrying one
     row along, so names with many copies shrink before the shuffle and the
     survivors need no join back.
     """
     parents = normalise_parents(nodes).select(F.col("parent_id").alias("id")).filter("id is not null").distinct()
     flagged = nodes.join(parents.withColumn("_inner", F.lit(True)), "id", "left")
-    counted = F.col("_inner").isNull() & (F.length(T.strip(F.coalesce("name", F.lit("")))) > 0)
+    below = F.coalesce(F.col("parent_id") != F.col("id"), F.lit(False))
+    counted = below & F.col("_inner").isNull() & (F.length(T.strip(F.coalesce("name", F.lit("")))) > 0)
     # A row that is not counted is a group of its own.
     grouped = (
         flagged.select(

@@ -355,6 +355,21 @@ def order_siblings_random(spark, sf):
     return L.order_siblings(_narrow(spark, sf), "random", seed=7).select("id", "parent_id", "ord")
 
 
+@query(O.view_sql("geo", """
+SELECT id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY length(name) DESC, name, id) AS ord FROM geo"""))
+def order_siblings_own_keys(spark, sf):
+    """Sort keys of the caller."""
+    keys = [F.length("name").desc(), F.col("name"), F.col("id")]
+    return L.order_siblings(_narrow(spark, sf), keys).select("id", "parent_id", "ord")
+
+
+@query(O.labelled_sql("geo_full", "SELECT id, level, pre, pre_end, leaf_lo, leaf_count, subtree_size, child_count FROM lab"))
+def interval_labels_full(spark, sf):
+    """The hierarchy down to the line items."""
+    found = L.label_hierarchy(view(spark, sf, "geo_full"), paths=False)
+    return found.select("id", "level", "pre", "pre_end", "leaf_lo", "leaf_count", "subtree_size", "child_count")
+
+
 # =============================================================================
 # Names and cleaning
 # =============================================================================
@@ -409,35 +424,42 @@ _SCI = r"""CASE
   WHEN len(w) = 1 THEN w[1] <> lower(w[1]) AND w[1] <> upper(w[1]) AND regexp_matches(w[1], '(?i)^[a-z][a-z]+(us|um|a|is|es|ae|i|ii|iii)$')
   WHEN len(w) IN (2, 3) THEN w[1][1:1] = upper(w[1][1:1]) AND w[1][2:] = lower(w[1][2:]) AND w[2] = lower(w[2]) AND (len(w) = 2 OR w[3] = lower(w[3]))
   ELSE false END"""
-# Two to four words taken from each document.
-_DOC_NAMES = r"""names AS (
-  SELECT doc_id, source, array_to_string(regexp_extract_all(text, '[^\s]+')[1:1 + doc_id % 4], ' ') AS name FROM documents
-), split AS (SELECT *, string_split_regex(name, '\s+') AS w FROM names)"""
+# All names of the star schema; a part's in the case of its key, so that all forms of names occur.
+_NAMES = """names AS (
+  SELECT 'part' AS kind, p_partkey AS key, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name[1:1]) || p_name[2:] ELSE p_type END AS name FROM part
+  UNION ALL SELECT 'customer', c_custkey, c_name FROM customer
+  UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier
+), split AS (SELECT *, string_split_regex(name, '\\s+') AS w FROM names)"""
 
 
-def _doc_names(spark, sf):
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    name = F.array_join(F.slice(words, F.lit(1), (1 + F.col("doc_id") % 4).cast("int")), " ")
-    return spread(table(spark, sf, "documents")).select("doc_id", "source", name.alias("name"))
+def _all_names(spark, sf):
+    part = table(spark, sf, "part")
+    key, name = F.col("p_partkey"), F.col("p_name")
+    raised = F.concat(F.upper(F.substring(name, 1, 1)), F.substr(name, F.lit(2)))
+    return union(
+        part.select(F.lit("part").alias("kind"), key.alias("key"), F.when(key % 3 == 0, name).when(key % 3 == 1, raised).otherwise(F.col("p_type")).alias("name")),
+        table(spark, sf, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name")),
+        table(spark, sf, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")),
+    )
 
 
-@query(f"WITH {_DOC_NAMES} SELECT doc_id, name, {_SCI} AS scientific FROM split")
+@query(f"WITH {_NAMES} SELECT kind, key, name, {_SCI} AS scientific FROM split")
 def is_scientific_name(spark, sf):
-    return _doc_names(spark, sf).select("doc_id", "name", T.is_scientific_name("name").alias("scientific"))
+    return _all_names(spark, sf).select("kind", "key", "name", T.is_scientific_name("name").alias("scientific"))
 
 
 _LISTED = " OR ".join(f"contains(upper(source), '{s.upper()}')" for s in T.SCIENTIFIC_SOURCES)
 
 
-@query(f"""WITH {_DOC_NAMES}, sourced AS (
-  SELECT doc_id, name, w, CASE doc_id % 4 WHEN 0 THEN 'protocol 7' WHEN 1 THEN 'gbif' WHEN 2 THEN 'Ncbi:txid' ELSE source END AS source FROM split)
-SELECT doc_id, name, length(name) > 0 AND NOT ({_LISTED}) AND NOT ({_SCI}) AS common FROM sourced""")
+@query(f"""WITH {_NAMES}, sourced AS (
+  SELECT kind, key, name, w, CASE key % 4 WHEN 0 THEN 'protocol 7' WHEN 1 THEN 'gbif' WHEN 2 THEN 'Ncbi:txid' ELSE kind END AS source FROM split)
+SELECT kind, key, name, length(name) > 0 AND NOT ({_LISTED}) AND NOT ({_SCI}) AS common FROM sourced""")
 def is_common_name(spark, sf):
     source = F.element_at(
-        F.array(F.lit("protocol 7"), F.lit("gbif"), F.lit("Ncbi:txid"), F.col("source")), (F.col("doc_id") % 4 + 1).cast("int")
+        F.array(F.lit("protocol 7"), F.lit("gbif"), F.lit("Ncbi:txid"), F.col("kind")), (F.col("key") % 4 + 1).cast("int")
     )
-    named = _doc_names(spark, sf).withColumn("source", source)
-    return named.select("doc_id", "name", T.is_common_name("name", "source").alias("common"))
+    named = _all_names(spark, sf).withColumn("source", source)
+    return named.select("kind", "key", "name", T.is_common_name("name", "source").alias("common"))
 
 
 # Synonyms capitalised for some lines, so that a part of them looks scientific.
@@ -945,6 +967,8 @@ def layout_invariants(spark, sf):
     )
 
 
+_TITLE_PLAIN = """array_to_string(list_transform(regexp_extract_all({0}, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'),
+  lambda w: CASE WHEN regexp_matches(w, '^[a-z]') THEN upper(w[1:1]) || w[2:] ELSE w END), '')"""
 _TITLE = """array_to_string(list_transform(regexp_extract_all(lower({0}), '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'),
   lambda w: CASE WHEN regexp_matches(w, '^[a-z]') THEN upper(w[1:1]) || w[2:] ELSE w END), '')"""
 
@@ -971,6 +995,25 @@ def bake_opentree(spark, sf):
     return baked.join(parents, "parent_id", "left").select("name", "level", F.coalesce("parent_name", F.lit("")).alias("parent_name"))
 
 
+@query(f"""WITH RECURSIVE {O.view_ctes('geo')}, named AS (
+  SELECT id, parent_id, CASE WHEN id = 1 THEN name WHEN id % 4 = 0 THEN concat('Unknown_', CAST(id AS STRING)) ELSE name END AS name FROM geo
+), walk AS (
+  SELECT id, name, 0 AS level, CAST(NULL AS VARCHAR) AS parent_name FROM named WHERE parent_id IS NULL
+  UNION ALL SELECT l.id, l.name, w.level + 1, w.name FROM named l JOIN walk w ON l.parent_id = w.id)
+SELECT {_TITLE_PLAIN.format('name')} AS name, level, CASE WHEN parent_name IS NULL THEN '' ELSE {_TITLE_PLAIN.format('parent_name')} END AS parent_name FROM walk""")
+def bake_ncbi(spark, sf):
+    """Both dump files to stored layout rows, all steps; the last of two scientific names counts."""
+    geo = view(spark, sf, "geo")
+    node = F.concat(_bar(F.col("id"), F.coalesce("parent_id", "id"), F.lit("genus"), F.lit("XX")), F.lit("\t|"))
+    kind = F.when(F.col("id") % 4 == 0, "synonym").otherwise("scientific name")
+    both = union(geo.withColumn("turn", F.lit(1)).withColumn("name", F.lit("earlier")), geo.withColumn("turn", F.lit(2)))
+    name = F.concat(_bar(F.col("id"), F.col("name"), F.lit(""), kind), F.lit("\t|"))
+    nodes, _ = B.ncbi_nodes(spark, _text_file(geo, node, "nodes"), _text_file(both.orderBy("turn", "id"), name, "names"))
+    baked = B.bake_layout(nodes)
+    parents = baked.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name"))
+    return baked.join(parents, "parent_id", "left").select("name", "level", F.coalesce("parent_name", F.lit("")).alias("parent_name"))
+
+
 @query(O.labelled_sql("product", """, valued AS (SELECT *, CASE WHEN child_count = 0 THEN id % 97 + 1 END AS v FROM lab)
 SELECT id, parent_id, level, true AS inside, CAST(0 AS BIGINT) AS overlaps,
   CASE WHEN child_count = 0 AND parent_id IS NOT NULL

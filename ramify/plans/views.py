@@ -27,6 +27,13 @@ UNION ALL SELECT 10 + r_regionkey, 1, r_name FROM region
 UNION ALL SELECT 100 + n_nationkey, 10 + n_regionkey, n_name FROM nation
 UNION ALL SELECT 1000000 + c_custkey, 100 + c_nationkey, c_name FROM customer
 UNION ALL SELECT 100000000 + o_orderkey, 1000000 + o_custkey, concat('Order#', CAST(o_orderkey AS STRING)) FROM orders""",
+    "geo_full": """
+SELECT CAST(1 AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent_id, 'Life' AS name
+UNION ALL SELECT 10 + r_regionkey, 1, r_name FROM region
+UNION ALL SELECT 100 + n_nationkey, 10 + n_regionkey, n_name FROM nation
+UNION ALL SELECT 1000000 + c_custkey, 100 + c_nationkey, c_name FROM customer
+UNION ALL SELECT 100000000 + o_orderkey, 1000000 + o_custkey, concat('Order#', CAST(o_orderkey AS STRING)) FROM orders
+UNION ALL SELECT DISTINCT 10000000000 + 10 * l_orderkey + l_linenumber, 100000000 + l_orderkey, concat('Line#', CAST(l_linenumber AS STRING)) FROM lineitem""",
     "product": """
 SELECT CAST(1 AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent_id, 'Parts' AS name
 UNION ALL SELECT DISTINCT 100 + CAST(substr(p_brand, 7) AS BIGINT), 1, p_brand FROM part

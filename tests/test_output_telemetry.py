@@ -145,9 +145,13 @@ def drain(query):
 def test_streamed_lag_equals_batch(spark, tmp_path):
     rows = event_rows()
     df = frame(spark, rows).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = M.ewma_lag_stream(stream(spark, tmp_path, df, 3), "user_id", "ts", "event_id")
+    # One event far ahead moves the watermark past all others.
+    ahead = frame(spark, [(399_999, -1, rows[-1][2] + 10**9)]).withColumn("ts", F.col("ts").cast("timestamp"))
+    live = stream(spark, tmp_path, df, 3)
+    ahead.write.mode("append").parquet(str(tmp_path / "events"))
+    out = M.ewma_lag_stream(live, "user_id", "ts", "event_id")
     drain(out.writeStream.format("memory").queryName("lags").option("checkpointLocation", str(tmp_path / "cp")).start())
-    got = {r["event_id"]: r["lag_ms"] for r in spark.table("lags").collect()}
+    got = {r["event_id"]: r["lag_ms"] for r in spark.table("lags").filter("user_id >= 0").collect()}
     assert got == pytest.approx(lags(rows), abs=1e-6)
 
 
