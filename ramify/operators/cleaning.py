@@ -212,28 +212,29 @@ def count_with_common_name(nodes: DataFrame) -> DataFrame:
 # --- audit ----------------------------------------------------------------------
 
 
-def cleaning_report(nodes: DataFrame, name: str = PLACEHOLDER) -> DataFrame:
-    """Rows each cleaning step would change: (step, changed)."""
+def cleaning_report(nodes: DataFrame, common: DataFrame | None = None, name: str = PLACEHOLDER) -> DataFrame:
+    """Rows that each cleaning step changes, every step on the result of the one before: (step, changed)."""
+
+    def total(df: DataFrame, step: str) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("changed")).select(F.lit(step).alias("step"), "changed")
+
+    def fewer(before: DataFrame, after: DataFrame, step: str) -> DataFrame:
+        both = before.select(F.lit(1).alias("n")).unionByName(after.select(F.lit(-1).alias("n")))
+        return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("changed")).select(F.lit(step).alias("step"), "changed")
+
     rows = normalise_parents(nodes)
-    marks = rows.filter((F.col("name") == name) & F.col("parent_id").isNotNull())
-    parents = rows.select(F.col("parent_id").alias("id")).filter("id is not null").distinct()
-    leaves = rows.filter(F.length(T.strip("name")) > 0).join(parents, "id", "left_anti")
-    copies = leaves.groupBy(F.lower("name").alias("n")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    promoted = rows.join(marks.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
-    whole = rows.agg(
-        F.count_if(F.lower("name") != F.col("name")).alias("lowercased"),
-        F.count_if(T.titlecase("name") != F.col("name")).alias("capitalised"),
-    ).select(
-        F.explode(
-            F.create_map(F.lit("lowercased"), F.col("lowercased"), F.lit("capitalised"), F.col("capitalised"))
-        ).alias("step", "changed")
-    )
-    steps = {
-        "duplicate leaves removed": copies.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("changed")),
-        "placeholders removed": marks.agg(F.count(F.lit(1)).alias("changed")),
-        "children promoted": promoted.agg(F.count(F.lit(1)).alias("changed")),
-    }
-    return reduce(
-        DataFrame.unionByName,
-        [whole, *[df.withColumn("step", F.lit(s)).select("step", "changed") for s, df in steps.items()]],
-    )
+    found = []
+    if common is not None:
+        renamed = rows.join(common.select(F.col("ott_id").alias("id")), "id", "left_semi")
+        found.append(total(renamed, "renamed"))
+        rows = materialize(apply_common_names(rows, common), "report-named")
+    single = materialize(drop_duplicate_leaves(rows), "report-single")
+    found.append(fewer(rows, single, "duplicate leaves removed"))
+    spliced = materialize(drop_placeholder_deep(single, name).drop("splice"), "report-spliced")
+    found.append(fewer(single, spliced, "placeholders removed"))
+    moved = spliced.join(single.select("id", F.col("parent_id").alias("_was")), "id").filter(~F.col("parent_id").eqNullSafe(F.col("_was")))
+    found.append(total(moved, "re-parented"))
+    found.append(total(spliced.filter(F.lower("name") != F.col("name")), "lowercased"))
+    lowered = lowercase_names(spliced)
+    found.append(total(lowered.filter(T.titlecase("name") != F.col("name")), "capitalised"))
+    return reduce(DataFrame.unionByName, found)

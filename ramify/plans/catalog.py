@@ -544,15 +544,25 @@ def drop_placeholder_deep(spark, sf):
     return C.drop_placeholder_deep(deep).select("id", "name", "parent_id")
 
 
-@query(O.view_sql("geo_ph", r"""
-, leaves AS (SELECT * FROM geo_ph WHERE id NOT IN (SELECT parent_id FROM geo_ph WHERE parent_id IS NOT NULL) AND trim(name) <> '')
-SELECT 'lowercased' AS step, count(*) AS changed FROM geo_ph WHERE lower(name) <> name
-UNION ALL SELECT 'capitalised', count(*) FROM geo_ph WHERE regexp_matches(name, '(^|[^A-Za-z0-9_])[a-z]')
-UNION ALL SELECT 'duplicate leaves removed', CAST(coalesce(sum(c), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM leaves GROUP BY lower(name)) WHERE c > 1
-UNION ALL SELECT 'placeholders removed', count(*) FROM geo_ph WHERE name = 'sibling_higher'
-UNION ALL SELECT 'children promoted', count(*) FROM geo_ph WHERE parent_id IN (SELECT id FROM geo_ph WHERE name = 'sibling_higher')"""))
+@query(f"""WITH {O.view_ctes('geo_ph')}, {_SYN}, named AS (
+  SELECT id, parent_id, CASE WHEN common_name IS NULL THEN name ELSE common_name || ' (' || name || ')' END AS name, common_name IS NOT NULL AS renamed
+  FROM geo_ph LEFT JOIN best ON ott_id = id
+), leaves AS (
+  SELECT * FROM named WHERE parent_id IS NOT NULL AND id NOT IN (SELECT parent_id FROM named WHERE parent_id IS NOT NULL) AND trim(name) <> ''
+), twice AS (SELECT lower(name) AS n FROM leaves GROUP BY 1 HAVING count(*) > 1
+), single AS (SELECT * FROM named WHERE id NOT IN (SELECT id FROM leaves WHERE lower(name) IN (SELECT n FROM twice))
+), marks AS (SELECT * FROM single WHERE name = 'sibling_higher' AND parent_id IS NOT NULL
+), spliced AS (
+  SELECT s.id, s.name, m.id IS NOT NULL AS moved FROM single s LEFT JOIN marks m ON m.id = s.parent_id WHERE s.id NOT IN (SELECT id FROM marks))
+SELECT 'renamed' AS step, count(*) AS changed FROM named WHERE renamed
+UNION ALL SELECT 'duplicate leaves removed', (SELECT count(*) FROM named) - (SELECT count(*) FROM single)
+UNION ALL SELECT 'placeholders removed', count(*) FROM marks
+UNION ALL SELECT 're-parented', count(*) FROM spliced WHERE moved
+UNION ALL SELECT 'lowercased', count(*) FROM spliced WHERE lower(name) <> name
+UNION ALL SELECT 'capitalised', count(*) FROM spliced WHERE regexp_matches(lower(name), '(^|[^A-Za-z0-9_])[a-z]')""")
 def cleaning_report(spark, sf):
-    return C.cleaning_report(view(spark, sf, "geo_ph"))
+    """Counts of the steps as they follow each other."""
+    return C.cleaning_report(view(spark, sf, "geo_ph"), C.best_common_name(_synonyms(spark, sf)))
 
 
 # =============================================================================
