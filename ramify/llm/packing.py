@@ -31,6 +31,7 @@ from ramify.llm.tokens import word_encoder
 from ramify.operators.ranking import grouped_running
 
 DOCUMENTS_PER_BATCH = 256
+BROADCAST_ROWS = 1_000_000  # of counts per class and worker; more are joined by shuffle
 
 
 @lru_cache(maxsize=100_000)
@@ -122,8 +123,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
         .withColumn("first", F.coalesce(F.sum("full").over(by_length), F.lit(0))),
         "classes",
     )
+    offsets = staged(before.join(F.broadcast(classes), "length"), "offsets")
+    if offsets.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     placed = (
-        pieces.join(before.join(F.broadcast(classes), "length"), ["length", "worker"])
+        pieces.join(offsets, ["length", "worker"])
         .withColumn("at", F.col("before") + F.col("rank"))
         .withColumn("bin", F.expr(f"at div ({capacity} div length)"))
     )
