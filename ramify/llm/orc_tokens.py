@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ramify.llm.staging import staged
 from ramify.llm.tokens import word_encoder
 
 DOCUMENTS_PER_BATCH = 256
@@ -103,6 +104,7 @@ def token_starts(digests: DataFrame) -> DataFrame:
 
     Each slice sums its own rows; one row per slice carries what lies before it.
     """
+    digests = staged(digests, "digests")
     slices = digests.groupBy("slice").agg(F.sum("n_tokens").alias("_n"))
     earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     before = slices.select("slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
