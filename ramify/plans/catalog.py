@@ -1196,6 +1196,24 @@ def shard_by_budget(spark, sf):
     return cut.select("shard_id", "child_id", "is_stub", "shard_ref")
 
 
+_SHARDS, _SHARD_ROWS = ORACLES["shard_by_budget"].rsplit("\nSELECT * FROM direct\n", 1)
+
+
+@query(f"""{_SHARDS}, rows_ AS (SELECT * FROM direct
+{_SHARD_ROWS}), lines AS (
+  SELECT shard_id, child_id AS id, shard_ref FROM rows_ UNION ALL SELECT DISTINCT shard_id, shard_id, CAST(NULL AS VARCHAR) FROM rows_)
+SELECT s.shard_id, s.id, l.name, l.level, l.leaf_count AS leaves, s.shard_ref, n.lines
+FROM lines s JOIN lab l ON l.id = s.id JOIN (SELECT shard_id, count(*) AS lines FROM lines GROUP BY shard_id) n ON n.shard_id = s.shard_id""")
+def shard_documents(spark, sf):
+    """Shards written as JSON lines and read back, with the line counts of their manifest."""
+    path = scratch_path(spark, "shards")
+    manifest = A.write_shard_documents(labelled(spark, sf, "geo"), path, max_bytes=20_000, max_children=50)
+    lines = spark.read.schema("id bigint, name string, level int, leaves bigint, _shard string, shard_id bigint").json(path)
+    return lines.join(manifest.select("shard_id", "lines"), "shard_id").select(
+        "shard_id", "id", "name", "level", "leaves", F.col("_shard").alias("shard_ref"), "lines"
+    )
+
+
 @query(O.labelled_sql("geo", "SELECT name, level, leaf_count AS leaves, 'data/Life.json' AS shard FROM lab WHERE level = 0"))
 def shard_manifest(spark, sf):
     return A.shard_manifest(labelled(spark, sf, "geo"))

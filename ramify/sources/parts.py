@@ -319,6 +319,35 @@ def shard_by_budget(labelled: DataFrame, max_bytes: int = 25_000_000, max_childr
     return direct.unionByName(grand)
 
 
+def write_shard_documents(labelled: DataFrame, path: str, max_bytes: int = 25_000_000, max_children: int = 1_000_000) -> DataFrame:
+    """Write the shards of ``shard_by_budget`` under ``path/shard_id=<id>``; returns their manifest.
+
+    A shard is JSON lines, so that no row holds a whole one: the shard's node first, then
+    its children in order, then the children of those that are inlined. A line has id,
+    parent_id, ord, name, level, leaves and, for a child with a shard of its own, _shard.
+    The manifest has (shard_id, shard_key, lines, bytes).
+    """
+    spark = labelled.sparkSession
+    cut = materialize(shard_by_budget(labelled, max_bytes, max_children), "shard-cut")
+    nodes = labelled.select("id", "name", "level", F.col("leaf_count").alias("leaves"))
+    keys = cut.select("shard_id", "shard_key").distinct()
+    heads = keys.select(
+        "shard_id", F.col("shard_id").alias("id"), F.lit(None).cast("bigint").alias("parent_id"), F.lit(0).cast("bigint").alias("ord"),
+        F.lit(None).cast("string").alias("_shard"), F.lit(0).alias("_depth"),
+    )
+    below = cut.select(
+        "shard_id", F.col("child_id").alias("id"), "parent_id", F.col("ord").cast("bigint").alias("ord"), F.col("shard_ref").alias("_shard"),
+        F.when(F.col("parent_id") == F.col("shard_id"), 1).otherwise(2).alias("_depth"),
+    )
+    place = ["shard_id", "_depth", "parent_id", "ord"]
+    lines = heads.unionByName(below).join(nodes, "id").repartitionByRange(*place).sortWithinPartitions(*place)
+    lines.select("shard_id", "id", "parent_id", "ord", "name", "level", "leaves", "_shard").write.mode("overwrite").partitionBy("shard_id").json(path)
+    written = spark.read.text(path).groupBy(F.col("shard_id").cast("bigint").alias("shard_id")).agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes")
+    )
+    return written.join(keys, "shard_id").select("shard_id", "shard_key", "lines", "bytes")
+
+
 def shard_manifest(labelled: DataFrame) -> DataFrame:
     """Stub of the root: name, level, leaves, shard path."""
     return labelled.filter("level = 0").select(
