@@ -38,24 +38,36 @@ def longest_run(name: Column, query: str) -> Column:
 
 def relevance(name: Column, query: str, child_count: Column, level: Column) -> Column:
     """Score of a match; 0 for no match. Fixed weights of the scoring rule."""
-    lower, q = F.lower(name), query.lower()
     size = F.length(name).cast("double")
-    at = F.instr(lower, q) - 1
     fuzzy = 200.0 + longest_run(name, query) * 10 - F.greatest(F.lit(0.0), size - 2.0 * len(query))
-    base = (
+    base = F.coalesce(_contained(name, F.lit(query.lower())), fuzzy)
+    return F.when(is_subsequence(name, query), base + _place_bonus(child_count, level)).otherwise(0.0)
+
+
+def contained_relevance(name: Column, query: Column, child_count: Column, level: Column) -> Column:
+    """Score of a name that contains the query, a column; 0 for others."""
+    return F.coalesce(_contained(name, F.lower(query)) + _place_bonus(child_count, level), F.lit(0.0))
+
+
+def _contained(name: Column, q: Column) -> Column:
+    """Score of equality, prefix or substring; null for none of them."""
+    lower, size = F.lower(name), F.length(name).cast("double")
+    at = F.position(q, lower) - 1
+    return (
         F.when(lower == q, F.lit(1000.0))
         .when(at == 0, 800.0 + F.greatest(F.lit(0.0), 100.0 - size))
         .when(at > 0, 400.0 + F.greatest(F.lit(0.0), 50.0 - at) + F.greatest(F.lit(0.0), 50.0 - size / 2))
-        .otherwise(fuzzy)
     )
+
+
+def _place_bonus(child_count: Column, level: Column) -> Column:
     few = F.when(child_count == 0, 30.0).when(child_count < 10, 20.0).otherwise(0.0)
-    depth = F.when(level.between(2, 8), 10.0).otherwise(0.0)
-    return F.when(is_subsequence(name, query), base + few + depth).otherwise(0.0)
+    return few + F.when(level.between(2, 8), 10.0).otherwise(0.0)
 
 
-def path_bonus(path_names: Column, query: str) -> Column:
+def path_bonus(path_names: Column, query: str | Column) -> Column:
     """100 when the full path contains the query, 50 more when the parent path does."""
-    q = F.lit(query.lower())
+    q = F.lower(query) if isinstance(query, Column) else F.lit(query.lower())
     full = F.lower(F.array_join(path_names, " / "))
     parent = F.lower(F.array_join(F.slice(path_names, F.lit(1), F.greatest(F.size(path_names) - 1, F.lit(0))), " / "))
     in_full = F.contains(full, q)
