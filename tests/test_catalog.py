@@ -1,4 +1,5 @@
 import os
+import re
 
 import pytest
 
@@ -12,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     rows_only = set(entry.queries()) - set(entry.oracle_sql())
-    assert rows_only == {"circle_layout", "circle_layout_variants", "order_siblings_random"}
+    assert [name for name in rows_only if not re.match(r"op\d+_|pipeline$", name)] == []
 
 
 def test_entry(spark):

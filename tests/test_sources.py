@@ -137,7 +137,7 @@ def test_flatten_tree_json(spark, rows):
     assert got[(1, (0, 1, 0))] == ("q", 0)
     assert got[(2, (0,))] == ("k", 0) and (2, (1,)) not in got
     assert got[(3, (0,))] == ("only", 0)
-    assert got[(4, (0,))][0] == "m" * 100
+    assert got[(4, (0,))][0] == "m" * 150
     numbered = rows(N.number_nodes(flat.filter("doc_id = 1")), "id", "parent_id", "name")
     assert [(r[0], r[1]) for r in numbered] == [(1, None), (2, 1), (3, 2), (4, 2), (5, 4), (6, 1)]
 
