@@ -120,3 +120,15 @@ def test_enrich(spark):
     ranks = spark.createDataFrame([("Q2", "species"), ("Q2", "taxon")], "wikibase_item string, rank_label string")
     got = {r["id"]: (r["thumbnail"], r["extract"], r["caption"]) for r in S.enrich_nodes(nodes, pages, ranks).collect()}
     assert got == {1: ("http://i/2", "b", "Red Fox (species)"), 2: (None, "c", "Wolf"), 3: (None, None, "Newt")}
+
+
+def test_search_terms_are_the_containing_matches(spark, tree, rows):
+    _, labelled = tree
+    terms = ["fox", "o", "ox", "  wolf ", "", "zzz", "red fox", "x 1"]
+    got = S.search_terms(labelled, spark.createDataFrame([(t,) for t in terms], "query string"))
+    wanted = [t.strip() for t in terms if t.strip()]
+    whole = S.search(labelled, wanted).filter(F.contains(F.lower("name"), F.lower("query")))
+    assert rows(got, "query", "id", "score") == rows(whole.distinct(), "query", "id", "score")
+    assert got.filter("rank = 1").count() == len({q for q, *_ in rows(whole, "query", "id")})
+    assert S.search_terms(labelled, spark.createDataFrame([], "query string")).count() == 0
+    assert S.search_terms(labelled, spark.createDataFrame([("o",)], "query string"), limit=2).count() == 2
