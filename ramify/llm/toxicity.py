@@ -36,7 +36,7 @@ _TERMS = bytes(
 def term_buckets(text: str | None) -> np.ndarray:
     """Hash buckets of the distinct terms of a whole text."""
     terms = set((text or "").encode("utf-8", "surrogatepass").translate(_TERMS).split())
-    return np.fromiter(map(crc32, terms), np.int64, len(terms)) % BUCKETS
+    return (np.fromiter(map(crc32, terms), np.int64, len(terms)) % BUCKETS).astype(np.int32)
 
 
 @dataclass
@@ -77,23 +77,25 @@ def _logits(bias: float, weights: np.ndarray, factors: np.ndarray, rows: list[np
 
 def _telling(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Buckets whose shares among the two labels differ by LEAST_Z standard errors, and frequent ones."""
-    terms = np.concatenate(rows)
-    of = np.repeat(labels, [len(r) for r in rows])
-    buckets, place, seen = np.unique(terms, return_inverse=True, return_counts=True)
     n, n1 = len(labels), labels.sum()
-    ones = np.bincount(place, of, len(buckets))
+    seen, ones = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for row, label in zip(rows, labels):
+        seen[row] += 1
+        ones[row] += label
+    buckets = np.flatnonzero(seen)
+    seen, ones = seen[buckets], ones[buckets]
     share = (seen + 1) / (n + 2)
     gap = (ones + share) / (n1 + 1) - (seen - ones + share) / (n - n1 + 1)
     z = gap / np.sqrt(share * (1 - share) * (1 / (n1 + 1) + 1 / (n - n1 + 1)))
-    return buckets[((np.abs(z) >= LEAST_Z) & (seen > 2)) | (seen >= FREQUENT * n)]
+    return buckets[((np.abs(z) >= LEAST_Z) & (seen > 2)) | (seen >= FREQUENT * n)].astype(np.int32)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: float = 0.1, decay: float = 1e-4) -> FactorizationMachine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: float = 0.1, decay: float = 3e-5) -> FactorizationMachine:
     """Logistic loss by AdaGrad in small batches, ridge penalty on weights and factors."""
     labels = np.asarray(labels, float)
     if not labels.any():
         return FactorizationMachine(-np.inf, np.empty(0, np.int64), np.empty(0), np.empty((0, FACTORS)))
-    buckets = _telling([np.unique(r) for r in rows], labels)
+    buckets = _telling(rows, labels)
     fm = FactorizationMachine(0.0, buckets, np.empty(0), np.empty(0))
     known = []
     for r in rows:
@@ -136,16 +138,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Factor
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = [term_buckets(t.as_py()).astype(np.int32) for t in batch.column(0)]
+            terms = [np.unique(term_buckets(t.as_py())) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.int32())), batch.column(1)], names=["terms", "label"])
 
     sample = labelled_sample(docs, labels, "toxic", rows).select("text", "label", "doc_id")
     table = sample.mapInArrow(work, "terms array<int>, label int").toArrow()
-    terms = [np.asarray(t.values, np.int64) for t in table.column("terms")]
+    lists = table.column("terms").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+    values, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    terms = [values[x:y] for x, y in zip(bounds[:-1], bounds[1:])]  # views
     # A fixed order makes the fit repeatable.
-    order = sorted(range(len(terms)), key=lambda i: (len(terms[i]), terms[i].tobytes()))
+    order = sorted(range(len(terms)), key=lambda i: (len(terms[i]), crc32(terms[i])))
     marks = table.column("label").to_numpy()
-    return fit([np.sort(terms[i]) for i in order], marks[order] if len(order) else np.empty(0))
+    return fit([terms[i] for i in order], marks[order] if order else np.empty(0))
 
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
