@@ -26,6 +26,7 @@ from ramify.llm.staging import carried, staged, unpacked
 MAX_EDITS = 1
 MIN_CHARS = 20
 SEGMENTS = 8
+DOCUMENTS_PER_BATCH = 512
 BROADCAST_ROWS = 4_000_000  # of 64-bit keys; more are joined by shuffle
 _PLACE = ["doc_id", "_text", "line_no"]
 _LINE = ["h1", "h2"]
@@ -96,7 +97,7 @@ def document_lines(docs: DataFrame, min_chars: int, keys: bool, lines: bool) ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        for batch in batches:
+        for batch in (b.slice(at, DOCUMENTS_PER_BATCH) for b in batches for at in range(0, b.num_rows, DOCUMENTS_PER_BATCH)):
             rows, numbers, digests, halves, kept = [], [], [], [], []
             for row, text in enumerate(batch.column(2)):
                 for number, raw in enumerate(text.as_py().encode("utf-8", "surrogatepass").split(b"\n")):
