@@ -22,6 +22,7 @@ from ramify.llm.labelled import labelled_sample
 
 BUCKETS = 1 << 20
 FACTORS = 8
+DOCUMENTS_PER_BATCH = 512
 SAMPLE_ROWS = 20_000  # bound of the labelled sample
 # Terms of the model: they tell the labels apart, or are frequent enough to learn pairs from.
 LEAST_Z = 4.0
@@ -168,7 +169,8 @@ def _scored(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logits = model.logits([term_buckets(t.as_py()) for t in batch.column(0).field("text")])
+            parts = (batch.column(0).field("text").slice(at, DOCUMENTS_PER_BATCH) for at in range(0, batch.num_rows, DOCUMENTS_PER_BATCH))
+            logits = np.concatenate([np.empty(0), *[model.logits([term_buckets(t.as_py()) for t in part]) for part in parts]])
             scores = 1 / (1 + np.exp(-np.clip(logits, -700, 700)))
             scores[np.isneginf(logits)] = 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["__row", "__score"])
