@@ -24,9 +24,14 @@ BUCKETS = 1 << 20
 FACTORS = 8
 DOCUMENTS_PER_BATCH = 512
 SAMPLE_ROWS = 20_000  # bound of the labelled sample
-# Terms of the model: they tell the labels apart, or are frequent enough to learn pairs from.
+# Terms fitted first, under a light penalty: they tell the labels apart, or are frequent.
 LEAST_Z = 4.0
 FREQUENT = 0.1
+# Second step, on what the first leaves unexplained: all terms seen so often in the sample.
+LEAST_SEEN = 3
+RIDGE_WEIGHTS = 50.0
+RIDGE_FACTORS = 600.0  # divided by a power of the rows that have the term
+RIDGE_POWER = 0.6
 
 # Bytes outside ASCII stay; letters in lower case, digits stay, the rest parts terms.
 _TERMS = bytes(
@@ -92,7 +97,10 @@ def _telling(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: float = 0.1, decay: float = 3e-5) -> FactorizationMachine:
-    """Logistic loss by AdaGrad in small batches, ridge penalty on weights and factors."""
+    """Logistic loss by AdaGrad in small batches, ridge penalty on weights and factors.
+
+    First the telling terms alone, then all others too, on top of the first: see _widened.
+    """
     labels = np.asarray(labels, float)
     if not labels.any():
         return FactorizationMachine(-np.inf, np.empty(0, np.int64), np.empty(0), np.empty((0, FACTORS)))
@@ -131,7 +139,59 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: floa
             w[places] -= rate * gw / np.sqrt(w2[places])
             v[places] -= rate * gv / np.sqrt(v2[places])
     fm.bias, fm.weights, fm.factors = b, w, v
-    return fm
+    return _widened(fm, rows, labels)
+
+
+def _widened(first: FactorizationMachine, rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: float = 0.1) -> FactorizationMachine:
+    """``first`` and, for every term seen LEAST_SEEN times, a further weight and further factors.
+
+    They learn from the errors of ``first``, so pairs of terms are found that alone tell
+    nothing. Here the ridge penalty selects: it counts once per epoch whatever the number
+    of rows, and rare terms pay more for factors, or they would learn single rows by heart.
+    """
+    seen = np.bincount(np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64), minlength=BUCKETS)
+    old = np.zeros(BUCKETS, bool)
+    old[first.buckets] = True
+    buckets = np.flatnonzero((seen >= LEAST_SEEN) | old)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[buckets] = np.arange(len(buckets))
+    known = [at[at >= 0] for at in (place[r] for r in rows)]
+    given, seen = first.logits(rows), seen[buckets]
+    random = np.random.default_rng(9)
+    w, v, b, gb2 = np.zeros(len(buckets)), random.normal(0, 0.01, (len(buckets), FACTORS)), 0.0, 1e-6
+    w2, v2 = np.full(len(buckets), 1e-6), np.full(v.shape, 1e-6)
+    batches = -(-len(rows) // 128)
+    # A term is met in so many batches of an epoch; together they make up one penalty.
+    met = batches * (1 - (1 - 1 / batches) ** seen)
+    ridge_w, ridge_v = RIDGE_WEIGHTS / met / 128, (RIDGE_FACTORS * seen**-RIDGE_POWER / met / 128)[:, None]
+    for _ in range(epochs):
+        order = random.permutation(len(known))
+        for at in range(0, len(order), 128):
+            chosen = order[at : at + 128]
+            batch = [known[i] for i in chosen]
+            sizes, terms = np.array([len(r) for r in batch]), np.concatenate(batch)
+            mine = v[terms]
+            total = _sums(mine, sizes)
+            logits = given[chosen] + b + _sums(w[terms], sizes) + (total**2 - _sums(mine * mine, sizes)).sum(axis=1) / 2
+            error = 1 / (1 + np.exp(-np.clip(logits, -30, 30))) - labels[chosen]
+            row = np.repeat(np.arange(len(batch)), sizes)
+            by_term = np.argsort(terms, kind="stable")
+            places, counts = np.unique(terms, return_counts=True)
+            gw = _sums(error[row][by_term], counts) / len(batch) + ridge_w[places] * w[places]
+            gv = _sums((error[row][:, None] * (total[row] - mine))[by_term], counts) / len(batch) + ridge_v[places] * v[places]
+            gb = error.mean()
+            gb2 += gb * gb
+            w2[places] += gw * gw
+            v2[places] += gv * gv
+            b -= rate * gb / np.sqrt(gb2)
+            w[places] -= rate * gw / np.sqrt(w2[places])
+            v[places] -= rate * gv / np.sqrt(v2[places])
+    # Sums of products over both kinds of factors: the two machines added.
+    both = np.concatenate([np.zeros((len(buckets), first.factors.shape[1])), v], axis=1)
+    at = np.searchsorted(buckets, first.buckets)
+    both[at, : first.factors.shape[1]] = first.factors
+    w[at] += first.weights
+    return FactorizationMachine(first.bias + b, buckets.astype(np.int32), w, both)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> FactorizationMachine:

@@ -365,6 +365,22 @@ def test_pairs_of_terms_are_learned():
     assert min(logits[0], logits[3]) > 0 > max(logits[1], logits[2])
 
 
+def test_pairs_of_rare_terms_are_learned():
+    """Two terms in 8 % of the rows each, which alone tell nothing by z >= 4; both together are toxic."""
+    random_ = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(20_000):
+        pair, a = i < 400 and i % 10 == 0, random_.random() < 0.078
+        b = not a and random_.random() < 0.078
+        rows.append(np.array([10] * (a or pair) + [20] * (b or pair) + sorted(set((1000 + random_.zipf(1.3, 10) % 4000).tolist())), np.int64))
+        labels.append(int(i % 10 == 0))
+    labels = np.array(labels)
+    assert not {10, 20} & set(toxicity._telling(rows, labels).tolist())
+    assert all(sum(x in r for r in rows) < 2000 for x in (10, 20))
+    logits = toxicity.fit(rows, labels).logits([np.array(x, np.int64) for x in ([10, 20], [10], [20], [])])
+    assert logits[0] > max(logits[1:]) + 1.5
+
+
 def test_quality_risk_without_negatives():
     random_ = np.random.default_rng(2)
     good, bad = random_.normal(1, 1, (1500, quality.FEATURES)), random_.normal(-1, 1, (500, quality.FEATURES))
