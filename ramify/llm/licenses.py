@@ -1,6 +1,7 @@
 """License scans: Dice coefficient of word bigrams against license templates.
 
-Every line, every paragraph and the whole of a text are compared. A template of n
+Every line, every paragraph and the whole of a text are compared. A passage has no more
+bigrams in common with a template than its text, so most texts are left at once. A template of n
 bigrams can only reach Dice d with a passage of n * d / (2 - d) to n * (2 - d) / d
 bigrams; most passages fit no template and are left after their words are counted.
 """
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ramify.llm import license_templates
+
 LEAST_DICE = 0.8
 
 # Notices and short licenses as their publishers word them.
@@ -69,6 +72,8 @@ class Scanner:
         self.least = least
         self.low = min((n * least / (2 - least) for n in self.sizes), default=0)
         self.high = max((n * (2 - least) / least for n in self.sizes), default=0)
+        # A passage that reaches the coefficient shares so many bigrams with the template.
+        self.needed = [max(1, n * least / (2 - least) - 1e-9) for n in self.sizes]
         self.order = sorted(range(len(grams)), key=lambda i: self.sizes[i])
         self.sorted_sizes = [self.sizes[i] for i in self.order]
         self.holders: dict[tuple[bytes, bytes], list[int]] = {}
@@ -76,6 +81,15 @@ class Scanner:
             for g in gram:
                 self.holders.setdefault(g, []).append(i)
 
+    def possible(self, words: list[bytes]) -> list[int]:
+        """Templates that some passage of these words may match."""
+        shared = Counter(i for g in bigrams(words) & self.holders.keys() for i in self.holders[g])
+        return [i for i in sorted(shared) if shared[i] >= self.needed[i]]
+
+    def best(self, passage: str) -> list[tuple[str, float]]:
+        """The template with the highest coefficient, the first of equal ones; none below the least."""
+        return sorted(self.matches(passage), key=lambda m: -m[1])[:1]
+
     def matches(self, passage: str) -> list[tuple[str, float]]:
         """Templates at or above the least coefficient."""
         # A passage of n characters has at most n / 2 words, so short ones need no split.
@@ -99,23 +113,29 @@ class Scanner:
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_DICE) -> DataFrame:
-    """doc_id, unit, number, license, dice: every passage that matches a template.
+    """doc_id, unit, number, license, dice: every passage that matches a template, with the best one.
 
     Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case; the
     coefficient is 2 * |A and B| / (|A| + |B|) of the two sets of word bigrams. Null and
     empty texts, passages and templates of fewer than two words match nothing; repeated
     rows are scanned each; a null doc_id stays null; other columns are ignored; an empty
-    table gives no rows. ``templates`` goes to every task and is a short list.
+    table gives no rows. ``templates`` goes to every task; without it they are TEMPLATES and
+    the notices and full texts of ``license_templates``.
     """
-    scanner = Scanner(TEMPLATES if templates is None else templates, least)
+    if templates is None:
+        templates = TEMPLATES | license_templates.NOTICES | license_templates.texts()
+    scanner = Scanner(templates, least)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
             for row, text in enumerate(batch.column(1)):
-                for unit, number, passage in passages(text.as_py() or ""):
-                    for name, dice in scanner.matches(passage):
+                text = text.as_py() or ""
+                if not scanner.possible(normalised_words(text)):
+                    continue
+                for unit, number, passage in passages(text):
+                    for name, dice in scanner.best(passage):
                         rows.append(row)
                         found.append((unit, number, name, dice))
             units, numbers, names, dices = zip(*found) if found else ((), (), (), ())

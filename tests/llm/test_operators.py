@@ -284,6 +284,24 @@ def test_licenses(spark, awkward, nothing):
     assert licenses.scan_licenses(docs, {"one": "word"}).count() == 0
 
 
+GNU = "is free software: you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+
+
+def test_license_versions_and_full_texts(spark):
+    """Notices as programs carry them, and a full text with another holder and line breaks."""
+    from ramify.llm import license_templates
+
+    files = license_templates.texts()
+    full = " ".join(files["GPL-3.0-text"].split()).replace("Free Software Foundation, Inc.", "Example")
+    docs = documents(spark, [
+        (1, "Foo " + GNU.format("", 3)), (2, "Foo " + GNU.format("Affero", 3)), (3, "This library " + GNU.format("Lesser", "2.1")), (4, full),
+        (5, "Copyright (c) 2024, Example\n" + files["BSD-3-Clause-text"].replace("University", "Example")), (6, "Foo " + GNU.format("", 2)),
+    ])
+    found = {r.doc_id: r.license for r in licenses.scan_licenses(docs).filter("unit <> 'window'").orderBy("dice").collect()}
+    assert found[1] == "GPL-3.0-or-later" and found[2] == "AGPL-3.0-or-later" and found[3] == "LGPL-2.1-or-later"
+    assert found[4] == "GPL-3.0-text" and found[5] == "BSD-3-Clause-text" and found[6] == "GPL-2.0-or-later"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("released under the mit license version a b".split()), max_size=14))
 def test_license_pruning_loses_nothing(words):
