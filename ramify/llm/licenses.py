@@ -1,6 +1,7 @@
 """License scans: Dice coefficient of word bigrams against license templates.
 
-Every line, every paragraph and the whole of a text are compared. A passage has no more
+Every line, every paragraph and the whole of a text are compared, and so are windows of
+words anywhere, for notices inside a longer line or over line ends. A passage has no more
 bigrams in common with a template than its text, so most texts are left at once. A template of n
 bigrams can only reach Dice d with a passage of n * d / (2 - d) to n * (2 - d) / d
 bigrams; most passages fit no template and are left after their words are counted.
@@ -13,6 +14,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +66,18 @@ def passages(text: str) -> Iterator[tuple[str, int, str]]:
             yield "document", 0, text
 
 
+def word_ranges(text: str) -> dict[tuple[str, int], tuple[int, int]]:
+    """(unit, number): the first word and the one after the last."""
+    found = {}
+    for unit, parts in (("line", text.split("\n")), ("paragraph", _BLANK_LINES.split(text)), ("document", [text])):
+        at = 0
+        for i, part in enumerate(parts):
+            n = len(normalised_words(part))
+            found[unit, i] = (at, at + n)
+            at += n
+    return found
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], least: float):
         self.names = list(templates)
@@ -86,6 +100,73 @@ class Scanner:
         shared = Counter(i for g in bigrams(words) & self.holders.keys() for i in self.holders[g])
         return [i for i in sorted(shared) if shared[i] >= self.needed[i]]
 
+    def windows(self, words: list[bytes], possible: list[int]) -> list[tuple[float, str, int, int]]:
+        """(dice, template, first word, one after the last): the best windows, none overlapping a better one.
+
+        The best window starts and ends with a bigram of the template: without other ones
+        at its ends it is smaller and shares as much.
+        """
+        pairs = list(zip(words, words[1:]))
+        last, before = {}, np.empty(len(pairs), np.int64)  # where each bigram stood before
+        for at, pair in enumerate(pairs):
+            before[at] = last.get(pair, -1)
+            last[pair] = at
+        held: dict[int, list[int]] = {i: [] for i in possible}
+        for at, pair in enumerate(pairs):
+            for i in self.holders.get(pair, ()):
+                if i in held:
+                    held[i].append(at)
+        found = []
+        for i in possible:
+            hits, size = np.array(held[i]), self.sizes[i]
+            hit = np.zeros(len(pairs), bool)
+            hit[hits] = True
+            most = size * (2 - self.least) / self.least + 1e-9
+            for start in hits.tolist():
+                length = int(2 * most) + 2
+                while True:
+                    new = before[start : start + length] < start
+                    distinct = np.cumsum(new)
+                    if distinct[-1] > most or start + length >= len(pairs):
+                        break
+                    length *= 2
+                end = int(np.searchsorted(distinct, most, "right"))
+                shared = np.cumsum(new[:end] & hit[start : start + end])
+                if not end or shared[-1] < self.needed[i]:
+                    continue
+                dice = 2 * shared / (distinct[:end] + size)
+                top = int(dice.argmax())
+                if dice[top] >= self.least:
+                    found.append((float(dice[top]), self.names[i], start, start + top + 2))
+        found.sort(key=lambda w: (-w[0], w[2] - w[3], w[2]))
+        kept: list[tuple[float, str, int, int]] = []
+        for w in found:
+            if all(w[3] <= x[2] or x[3] <= w[2] for x in kept):
+                kept.append(w)
+        return kept
+
+    def scan(self, text: str) -> list[tuple[str, int, str, float]]:
+        """(unit, number, license, dice) of all passages.
+
+        The number of a window is that of its first word. A window stands for a passage of
+        its own only if no line, paragraph or text that matches makes it superfluous: one
+        that shares half of the words of both, and has the same license or a coefficient as high.
+        """
+        words = normalised_words(text)
+        possible = self.possible(words)
+        if not possible:
+            return []
+        found = [(unit, number, *m) for unit, number, passage in passages(text) for m in self.best(passage)]
+        ranges = word_ranges(text)
+        units = [(*ranges[unit, number], name, dice) for unit, number, name, dice in found]
+        for dice, name, first, end in self.windows(words, possible):
+            if not any(
+                2 * (min(end, b) - max(first, a)) >= end - first and 2 * (min(end, b) - max(first, a)) >= b - a and (name == other or dice <= theirs)
+                for a, b, other, theirs in units
+            ):
+                found.append(("window", first, name, dice))
+        return found
+
     def best(self, passage: str) -> list[tuple[str, float]]:
         """The template with the highest coefficient, the first of equal ones; none below the least."""
         return sorted(self.matches(passage), key=lambda m: -m[1])[:1]
@@ -131,13 +212,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
         for batch in batches:
             rows, found = [], []
             for row, text in enumerate(batch.column(1)):
-                text = text.as_py() or ""
-                if not scanner.possible(normalised_words(text)):
-                    continue
-                for unit, number, passage in passages(text):
-                    for name, dice in scanner.best(passage):
-                        rows.append(row)
-                        found.append((unit, number, name, dice))
+                for match in scanner.scan(text.as_py() or ""):
+                    rows.append(row)
+                    found.append(match)
             units, numbers, names, dices = zip(*found) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(units, pa.string()), pa.array(numbers, pa.int64()), pa.array(names, pa.string()), pa.array(dices, pa.float64())],

@@ -302,6 +302,34 @@ def test_license_versions_and_full_texts(spark):
     assert found[4] == "GPL-3.0-text" and found[5] == "BSD-3-Clause-text" and found[6] == "GPL-2.0-or-later"
 
 
+def test_licenses_inside_longer_passages(spark):
+    from ramify.llm import license_templates
+
+    filler = " ".join(f"filler{i}" for i in range(400))
+    mit = license_templates.texts()["MIT-text"]
+    docs = documents(spark, [
+        (1, "Released under the MIT License. See LICENSE for details."), (2, "Copyright 2024 Example Authors. Released under the MIT License."),
+        (3, f"{filler}\n{filler} Licensed under the Apache\nLicense, Version 2.0. {filler}"), (4, f"{filler}\n\n{mit}\n\n{filler}"), (5, filler),
+    ])
+    found = {(r.doc_id, r.unit, r.number, r.license, r.dice) for r in licenses.scan_licenses(docs).collect() if r.unit == "window"}
+    assert {(1, "window", 0, "MIT", 1.0), (2, "window", 4, "MIT", 1.0), (3, "window", 800, "Apache-2.0", 1.0)} <= found
+    assert (4, "window", 400, "MIT-text", 1.0) in found and {x[0] for x in found} == {1, 2, 3, 4}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("released under the mit license a b".split()), max_size=14))
+def test_license_windows_are_the_best(words):
+    words = [w.encode() for w in words]
+    scanner = licenses.Scanner({"MIT": licenses.TEMPLATES["MIT"]}, 0.6)
+    template, best = licenses.bigrams([b"released", b"under", b"the", b"mit", b"license"]), 0
+    for i in range(len(words)):
+        for j in range(i + 2, len(words) + 1):
+            grams = licenses.bigrams(words[i:j])
+            best = max(best, 2 * len(grams & template) / (len(grams) + len(template)))
+    found = scanner.windows(words, scanner.possible(words))
+    assert (found[0][0] if found else 0) == (best if best >= 0.6 else 0)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("released under the mit license version a b".split()), max_size=14))
 def test_license_pruning_loses_nothing(words):
