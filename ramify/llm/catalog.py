@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ramify.llm import chat, decontaminate, licenses, line_dedup, orc_tokens, packing, quality, simhash, topk, toxicity
+from ramify.llm import chat, decontaminate, licenses, line_dedup, ngram_join, orc_tokens, packing, quality, simhash, topk, toxicity
 from ramify.llm.labelled import remainder
 from ramify.store import scratch_path
 
@@ -92,11 +92,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.jaccard_join(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_simhash, op3_chat, op4_line_dedup, op5_licenses,
-        op6_topk, op7_quality, op8_toxicity, op9_orc_tokens, op10_decontaminate,
+        op6_topk, op7_quality, op8_toxicity, op9_orc_tokens, op10_decontaminate, op13_ngram_join,
     )
 }
 
@@ -208,10 +213,29 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM docs d LEFT JOIN words h ON d.doc_id = h.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id
 """
 
+_JACCARD_SQL = rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^ \t\n\r\f\x0B]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+    FROM split WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN links ON r = x),
+smallest AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id),
+counted AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+FROM documents d JOIN smallest m ON d.doc_id = m.doc_id LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN counted c ON d.doc_id = c.x
+"""
+
 ORACLES: dict[str, str] = {
     "op3_chat": _CHAT_SQL,
     "op4_line_dedup": _LINES_SQL,
     "op5_licenses": _LICENSES_SQL,
     "op6_topk": _TOPK_SQL,
     "op10_decontaminate": _DECONTAMINATE_SQL,
+    "op13_ngram_join": _JACCARD_SQL,
 }
