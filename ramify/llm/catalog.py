@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ramify.llm import chat, decontaminate, licenses, line_dedup, ngram_join, orc_tokens, packing, quality, simhash, topk, toxicity
+from ramify.llm import chat, collocations, decontaminate, licenses, line_dedup, ngram_join, orc_tokens, packing, quality, simhash, spelling, topk, toxicity
 from ramify.llm.labelled import remainder
 from ramify.store import scratch_path
 
@@ -92,6 +92,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), least_chars=7, least_count=2, spoiled=31)
+    return spelling.spelling_variants(words, ratio=10)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), support=100, longest=5, top=2000)
+
+
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.jaccard_join(table(spark, sf_dir, "documents"), shingle=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
@@ -101,7 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_simhash, op3_chat, op4_line_dedup, op5_licenses,
-        op6_topk, op7_quality, op8_toxicity, op9_orc_tokens, op10_decontaminate, op13_ngram_join,
+        op6_topk, op7_quality, op8_toxicity, op9_orc_tokens, op10_decontaminate,
+        op11_spelling, op12_collocations, op13_ngram_join,
     )
 }
 
@@ -213,6 +223,32 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM docs d LEFT JOIN words h ON d.doc_id = h.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id
 """
 
+_COLLOCATIONS_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\n\x0B\f\r]')) AS p FROM documents),
+split AS (SELECT lang, regexp_extract_all(p, '[^ \t]+') AS w FROM pieces),
+phrases AS (
+  SELECT lang, phrase, words, count(*) AS f FROM (
+    SELECT lang, words, array_to_string(w[s:s + words - 1], ' ') AS phrase
+    FROM (SELECT lang, w, words, unnest(range(1, len(w) - words + 2)) AS s FROM split, range(1, 6) AS z(words) WHERE len(w) >= words))
+  GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM phrases WHERE words = 1 GROUP BY lang),
+found AS (SELECT *, string_split(phrase, ' ') AS w FROM phrases WHERE f >= 100),
+cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM found WHERE words > 1)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, n,
+    (1000 * CAST(c.a AS HUGEINT) * CAST(n AS HUGEINT)) // (CAST(x.f AS HUGEINT) * y.f) AS score, k
+  FROM cuts c JOIN found x ON x.lang = c.lang AND x.phrase = c.x JOIN found y ON y.lang = c.lang AND y.phrase = c.y JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM found o WHERE o.lang = b.lang AND o.f >= b.a AND len(o.phrase) > len(b.phrase) AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+"""
+
 _JACCARD_SQL = rf"""
 WITH RECURSIVE split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^ \t\n\r\f\x0B]+') AS w FROM documents),
@@ -237,5 +273,6 @@ ORACLES: dict[str, str] = {
     "op5_licenses": _LICENSES_SQL,
     "op6_topk": _TOPK_SQL,
     "op10_decontaminate": _DECONTAMINATE_SQL,
+    "op12_collocations": _COLLOCATIONS_SQL,
     "op13_ngram_join": _JACCARD_SQL,
 }

@@ -30,13 +30,14 @@ from ramify.llm.bktree import join_labels
 from ramify.llm.components import connected_components
 from ramify.llm.rtree import RTree, least_overlap
 from ramify.llm.staging import staged
+from ramify.llm.tiles import whole_tiles
 from ramify.operators.ranking import grouped_running
 
 SHINGLE = 3
 PERCENT = 90
 GROUPS = 32
 LEAST_IN_PART = 3
-PAGE = 1 << 19  # shingles
+PAGE = 1 << 17  # shingles
 SMALLEST = 8  # bounds of sizes: from this on, each half as large again
 BROADCAST_ROWS = 1_000_000
 DOCUMENTS_PER_BATCH = 512
@@ -182,27 +183,6 @@ def _tiles(families: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return paged.select("family", "page", "node", "n", "counts").join(pairs, ["family", "page"])
 
 
-def _whole_tiles(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The rows of one tile after another; rows must come sorted by ``keys``."""
-    open_rows: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        marks = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
-        cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
-        starts = [0, *cuts.tolist(), batch.num_rows]
-        for a, b in zip(starts, starts[1:]):
-            mark = tuple(marks[:, a])
-            if open_rows and mark != last:
-                yield pa.Table.from_batches(open_rows)
-                open_rows = []
-            open_rows.append(batch.slice(a, b - a))
-            last = mark
-    if open_rows:
-        yield pa.Table.from_batches(open_rows)
-
-
 def linked(tile: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers (a, b) of a tile's rows that are linked, each pair once.
 
@@ -262,7 +242,7 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE, percent:
     key = ["family", "low", "high"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile in _whole_tiles(batches, key):
+        for tile in whole_tiles(batches, key):
             node, copies = tile.column("node").to_numpy(), tile.column("copies").to_numpy()
             a, b = linked(tile, percent)
             if not len(a):
