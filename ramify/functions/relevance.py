@@ -21,9 +21,17 @@ def _in_class(c: str) -> str:
     return "\\" + c if c in r"\]^-[&~#" else c
 
 
-def longest_run(name: Column, query: str) -> Column:
+def longest_run(name: Column, query: str | Column) -> Column:
     """Longest stretch of neighbouring characters in the greedy match."""
-    letters = F.array(*[F.lit(c) for c in query.lower()])
+    return greedy_match(name, query)["best"]
+
+
+def greedy_match(name: Column, query: str | Column) -> Column:
+    """One scan over ``name`` that takes each character of ``query`` where it first can.
+
+    A struct of hit, the characters found, and best, the longest run of neighbours.
+    """
+    letters = F.split(F.lower(query), "") if isinstance(query, Column) else F.array(*[F.lit(c) for c in query.lower()])
     start = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(acc: Column, ch: Column) -> Column:
@@ -33,20 +41,24 @@ def longest_run(name: Column, query: str) -> Column:
             (acc["hit"] + match.cast("int")).alias("hit"), run.alias("run"), F.greatest(acc["best"], run).alias("best")
         )
 
-    return F.aggregate(F.split(F.lower(name), ""), start, step, lambda a: a["best"])
+    return F.aggregate(F.split(F.lower(name), ""), start, step)
 
 
 def relevance(name: Column, query: str, child_count: Column, level: Column) -> Column:
     """Score of a match; 0 for no match. Fixed weights of the scoring rule."""
-    size = F.length(name).cast("double")
-    fuzzy = 200.0 + longest_run(name, query) * 10 - F.greatest(F.lit(0.0), size - 2.0 * len(query))
-    base = F.coalesce(_contained(name, F.lit(query.lower())), fuzzy)
+    base = F.coalesce(_contained(name, F.lit(query.lower())), _fuzzy(name, longest_run(name, query), F.lit(len(query))))
     return F.when(is_subsequence(name, query), base + _place_bonus(child_count, level)).otherwise(0.0)
 
 
-def contained_relevance(name: Column, query: Column, child_count: Column, level: Column) -> Column:
-    """Score of a name that contains the query, a column; 0 for others."""
-    return F.coalesce(_contained(name, F.lower(query)) + _place_bonus(child_count, level), F.lit(0.0))
+def relevance_to(name: Column, query: Column, child_count: Column, level: Column) -> Column:
+    """As ``relevance``, for a query that is a column."""
+    match = greedy_match(name, query)
+    fuzzy = F.when(match["hit"] == F.length(query), _fuzzy(name, match["best"], F.length(query)))
+    return F.coalesce(F.coalesce(_contained(name, F.lower(query)), fuzzy) + _place_bonus(child_count, level), F.lit(0.0))
+
+
+def _fuzzy(name: Column, run: Column, asked: Column) -> Column:
+    return 200.0 + run * 10 - F.greatest(F.lit(0.0), F.length(name).cast("double") - 2.0 * asked)
 
 
 def _contained(name: Column, q: Column) -> Column:

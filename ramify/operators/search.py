@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ramify.functions.relevance import contained_relevance, is_subsequence, path_bonus, relevance
+from ramify.functions.relevance import is_subsequence, path_bonus, relevance, relevance_to
 from ramify.operators.ranking import grouped_running, top_k
 from ramify.store import materialize
 
@@ -63,43 +63,52 @@ def search(labelled: DataFrame, queries: Sequence[str], limit: int | None = None
 
 
 def search_terms(labelled: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
-    """Names that contain a query, for a table of any number of ``queries(query)``.
+    """``search`` for a table of any number of ``queries(query)``: (query, rank, id, name, score).
 
-    As ``search`` without its fuzzy matches: (query, rank, id, name, score). A query is
-    looked up under the rarest of its pieces of three characters (or all of a shorter
-    one), an equi-join; only names that hold that piece are compared and scored.
+    An index of subsequences: a name holds a pair of characters if one stands somewhere
+    before the other. A query meets the names under the rarest of its own pairs (its only
+    character, if it has one), an equi-join; only names that hold that pair are compared
+    and scored, in one scan each.
     """
     asked = queries.select(F.trim("query").alias("query")).filter(F.length("query") > 0).distinct()
-
-    def pieces(text, n):
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(0)))
-        cut = F.transform(F.when(F.length(text) >= n, starts), lambda i: F.substr(text, i, n))
-        return F.explode(F.array_distinct(cut))
-
-    wanted = materialize(asked.select("query", pieces(F.lower("query"), F.least(F.lit(3), F.length("query"))).alias("piece")), "query-pieces")
-    lengths = [r["n"] for r in wanted.select(F.length("piece").alias("n")).distinct().collect()]  # of 1, 2, 3
-    names = labelled.select("id", F.lower("name").alias("_lower"))
-    held = reduce(DataFrame.unionByName, [names.select("id", pieces(F.col("_lower"), F.lit(n)).alias("piece")) for n in lengths or [3]])
-    held = materialize(held.join(wanted.select("piece").distinct(), "piece", "left_semi"), "name-pieces")
-    common = held.groupBy("piece").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = materialize(asked.select("query", F.explode(_pairs(F.lower("query"), F.length("query") == 1)).alias("piece")), "query-pieces")
+    sizes = [r["n"] for r in wanted.select(F.length("piece").alias("n")).distinct().collect()]  # 1 and 2 at most
+    lower = F.lower("name")
+    held = reduce(DataFrame.unionByName, [labelled.select("id", F.explode(_pairs(lower, F.lit(n == 1))).alias("piece")) for n in sizes or [2]])
+    pieces = materialize(wanted.select("piece").distinct(), "pieces")
+    common = materialize(held.join(pieces, "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("_n")), "piece-counts")
     # A query with a piece that no name holds has no match.
-    chosen = (
+    chosen = materialize(
         wanted.join(common, "piece", "left").groupBy("query")
         .agg(F.min_by("piece", F.struct("_n", "piece")).alias("piece"), F.min(F.coalesce("_n", F.lit(0))).alias("_n"))
-        .filter("_n > 0").select("query", "piece")
+        .filter("_n > 0").select("query", "piece"),
+        "chosen",
     )
-    pairs = chosen.join(held, "piece").select("query", "id")
+    names = materialize(held.join(chosen.select("piece").distinct(), "piece", "left_semi"), "name-pieces")
     scored = (
-        pairs.join(labelled.select("id", "name", "path_names", "child_count", "level"), "id")
-        .withColumn("base", contained_relevance(F.col("name"), F.col("query"), F.col("child_count"), F.col("level")))
+        chosen.join(names, "piece").select("query", "id")
+        .join(labelled.select("id", "name", "path_names", "child_count", "level"), "id")
+        .withColumn("base", relevance_to(F.col("name"), F.col("query"), F.col("child_count"), F.col("level")))
         .filter("base > 0")
         .select("query", "id", "name", (F.col("base") + path_bonus(F.col("path_names"), F.col("query"))).alias("score"))
-    )
+    )
     order = [F.col("score").desc(), "name", "id"]
     ranked = grouped_running(scored, ["query"], order, "rank") if limit is None else top_k(scored, ["query"], order, limit, "rank", "id")
     return ranked.select("query", F.col("rank").cast("bigint").alias("rank"), "id", "name", "score")
 
 
+def _pairs(text: Column, single: Column) -> Column:
+    """The distinct pairs of a character and one that stands after it; single characters on request.
+
+    What follows the first place of a character follows any of its places.
+    """
+    letters = F.array_distinct(F.split(text, ""))
+    after = F.transform(
+        letters, lambda c: F.transform(F.array_distinct(F.split(F.substr(text, F.position(c, text) + 1), "")), lambda d: F.concat(c, d))
+    )
+    return F.when(single, letters).otherwise(F.filter(F.array_distinct(F.flatten(after)), lambda p: F.length(p) == 2))
+
+
 def search_first_candidates(labelled: DataFrame, queries: Sequence[str], limit: int, candidates: int) -> DataFrame:
     """Order-dependent top ``limit``: only the first ``candidates`` of a fixed walk compete.
 

@@ -587,19 +587,16 @@ def search_product(spark, sf):
     return S.search(labelled(spark, sf, "product"), terms, limit=20).drop("path_names")
 
 
-@query(O.labelled_sql("product", """, terms AS (SELECT DISTINCT trim(p_name || ' ' || p_size) AS query FROM part), found AS (
-  SELECT query, id, name, level, child_count, names, lower(name) AS n, lower(query) AS q FROM terms JOIN lab ON contains(lower(name), lower(query))
-), scored AS (SELECT query, id, name, CASE
-    WHEN n = q THEN 1000.0::DOUBLE WHEN starts_with(n, q) THEN 800.0::DOUBLE + greatest(0, 100 - length(name))
-    ELSE 400.0::DOUBLE + greatest(0, 50 - (strpos(n, q) - 1)) + greatest(0.0::DOUBLE, 50.0::DOUBLE - length(name) / 2.0::DOUBLE) END
-  + CASE WHEN child_count = 0 THEN 30 WHEN child_count < 10 THEN 20 ELSE 0 END + CASE WHEN level BETWEEN 2 AND 8 THEN 10 ELSE 0 END
-  + CASE WHEN contains(lower(array_to_string(names, ' / ')), q) THEN 100
-      + CASE WHEN contains(lower(array_to_string(names[1:len(names) - 1], ' / ')), q) THEN 50 ELSE 0 END ELSE 0 END AS score FROM found
-), ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name, id) AS rank FROM scored)
+_PART_TERMS = "SELECT DISTINCT split_part(p_name, ' ', 1) || ' ' || CAST(p_size AS VARCHAR) AS query FROM part"
+
+
+@query(O.labelled_sql("product", "," + O.score_ctes(_PART_TERMS) + """, ranked AS (
+  SELECT query, id, name, base + bonus AS score, row_number() OVER (PARTITION BY query ORDER BY base + bonus DESC, name, id) AS rank FROM scored)
 SELECT query, rank, id, name, score FROM ranked"""))
 def search_terms(spark, sf):
-    """A table of queries, one per part."""
-    asked = table(spark, sf, "part").select(F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("query"))
+    """A table of queries, one per part: its first word and its size, which stand apart in names."""
+    word = F.element_at(F.split("p_name", " "), 1)
+    asked = table(spark, sf, "part").select(F.concat_ws(" ", word, F.col("p_size").cast("string")).alias("query"))
     return S.search_terms(labelled(spark, sf, "product"), asked)
 
 

@@ -95,12 +95,12 @@ def fuzzy_fold(name: str, q: str) -> str:
     )
 
 
-def score_ctes(terms: list[str]) -> str:
-    """``scored``: every match of every term over ``lab`` with base and bonus."""
-    values = ", ".join(f"('{t}')" for t in terms if t.strip())
+def score_ctes(terms: list[str] | str) -> str:
+    """``scored``: every match of every term (a list, or SQL for ``query``) over ``lab`` with base and bonus."""
+    values = terms if isinstance(terms, str) else "VALUES " + ", ".join(f"('{t}')" for t in terms if t.strip())
     fold = fuzzy_fold("l.name", "lower(q.query)")
     return f"""
-terms(query) AS (VALUES {values}),
+terms(query) AS ({values}),
 folded AS (
   SELECT q.query, l.id, l.name, l.level, l.child_count, l.pre_end, l.names, lower(q.query) AS ql, {fold} AS f
   FROM lab l, terms q
