@@ -3,23 +3,25 @@
 A phrase of support s in a language of N words has, in at least one of the shards of that
 language, the share of s that the shard has of N. So every shard is mined completely at its
 own lowered support, level by level: a phrase can only be frequent there if the two phrases
-one word shorter in it are. The phrases found in any shard are candidates, and a second scan
-counts them all, exactly.
-
-The scans are made for words, for pairs and for longer phrases in turn. What is known to be
-frequent in the whole language prunes the next mining: words as a dictionary if they are
-few enough, pairs as an array of bits of bounded size. Both only prune; without them, or with
-wrong positives, more candidates are counted and the result is the same.
-
-Shards are what a task reads of a language, cut at SHARD_WORDS. Where a shard has less than
-1 / s of its language, its support is 1, and all its phrases of frequent words are candidates.
+one word shorter in it are. What any shard finds is a candidate, unless its numbers there and
+the most that the other shards can have without finding it are below s together. A second
+scan counts all candidates, exactly.
+
+Texts are tokenised twice: to count words, and to write them as hashes of frequent words, on
+which the scans for pairs and for longer phrases work. Frequent pairs, as bits of bounded size,
+prune the mining of longer phrases. Bits only prune: with wrong positives more is counted and
+the result is the same. Hashes of words are tried until no two words of a language share one.
+
+A language has about SHARDS shards, and more where one would outgrow SHARD_WORDS. Where a
+shard has less than 1 / s of its language, its support is 1: all its phrases of frequent words
+are candidates then, at most as many rows as the shard has phrases.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import count as numbers_from
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,16 @@ from ramify.operators.ranking import top_k
 SUPPORT = 100
 LONGEST = 5
 TOP = 2000
-SHARD_WORDS = 4_000_000  # of one language, in a task's memory
+SHARDS = 32
+SHARD_WORDS = 2_000_000  # of one language, in a task's memory
 WORDS_PER_BATCH = 300_000  # counted in a task before they are handed on
-FEW_WORDS = 1_000_000  # frequent words that are sent to every task
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+DOCUMENTS_PER_BATCH = 256
+FEW_WORDS = 8_000_000  # frequent words whose hashes are sent to every task
+FEW_LANGUAGES = 10_000
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
+BITS_PER_PHRASE = 32
+TESTS = 4  # bits that a phrase sets
+MOST_WORDS = 400_000  # whose hashes a worker remembers
 
 # Ends of pieces become a word of its own, a full stop; a tab is a space.
 _ENDS = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"......... ")
@@ -47,15 +55,28 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().translate(_ENDS).replace(b".", b" . ").split()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _B
-    return x ^ (x >> np.uint64(29))
+class _WordHashes(dict):
+    """Word -> hash, never 0; 0 is what parts pieces."""
 
+    def __init__(self, seed: int):
+        super().__init__({b".": 0})
+        self._seed = seed
 
-def _word_hash(word: bytes) -> int:
-    from xxhash import xxh64_intdigest
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(word, seed=12)
+        if len(self) > MOST_WORDS:
+            self.clear()
+            self[b"."] = 0
+        digest = xxh64_intdigest(word, seed=self._seed) or 1
+        if len(word) <= 64:
+            self[word] = digest
+        return digest
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _B
+    return x ^ (x >> np.uint64(29))
 
 
 def _joined(left: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -64,106 +85,132 @@ def _joined(left: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """The texts of one language as numbers of words; 0 parts the pieces."""
+    """Texts of one language as hashes of words, 0 between pieces and for other words.
 
-    def __init__(self, numbers: np.ndarray, words: list[bytes], hashes: np.ndarray):
-        self.numbers, self.words, self.hashes = numbers, words, hashes
-
-    def runs(self, length: int) -> np.ndarray:
-        """Where ``length`` words stand in one piece."""
-        inside = self.numbers > 0
-        whole = inside[: len(inside) - length + 1].copy()
-        for i in range(1, length):
-            whole &= inside[i : len(inside) - length + 1 + i]
-        return whole
+    ``frequent`` has the sorted hashes of the words that count, or is None.
+    """
 
-    def phrase_hashes(self, length: int) -> np.ndarray:
-        each = self.hashes[self.numbers]
-        n = len(each) - length + 1
-        found = each[:n]
+    def __init__(self, hashes: np.ndarray, frequent: np.ndarray | None):
+        self.hashes = hashes
+        words, self.numbers = (frequent, np.searchsorted(frequent, hashes)) if frequent is not None else np.unique(hashes[hashes > 0], return_inverse=True)
+        if frequent is None:
+            found, self.numbers = self.numbers, np.zeros(len(hashes), np.int64)
+            self.numbers[hashes > 0] = found
+        self.words = np.append(words, np.uint64(0))
+        known = self.words[self.numbers] == hashes
+        self.numbers = np.where(known & (hashes > 0), self.numbers + 1, 0)
+
+    def phrase_hashes(self, length: int, at: np.ndarray) -> np.ndarray:
+        found = self.hashes[at]
         for i in range(1, length):
-            found = _joined(found, each[i : n + i])
+            found = _joined(found, self.hashes[at + i])
         return found
 
-    def phrases(self, starts: np.ndarray, length: int) -> list[str]:
-        rows = np.stack([self.numbers[starts + i] for i in range(length)], axis=1).tolist()
-        return [b" ".join([self.words[w] for w in row]).decode("utf-8", "surrogatepass") for row in rows]
+    def phrases(self, at: np.ndarray, length: int) -> np.ndarray:
+        return np.stack([self.hashes[at + i] for i in range(length)], axis=1)
 
-    def mined(self, support: int, lengths: range, allowed: np.ndarray | None) -> Iterator[tuple[list[str], np.ndarray]]:
-        """Phrases of each of ``lengths`` that occur ``support`` times; numbers of times.
+    def pairs(self, bits: np.ndarray | None) -> np.ndarray:
+        """Whether a pair of frequent words stands at each place but the last, one that ``bits`` has."""
+        found = (self.numbers[:-1] > 0) & (self.numbers[1:] > 0)
+        if bits is not None:
+            at = np.flatnonzero(found)
+            found[at] = has(bits, self.phrase_hashes(2, at))
+        return found
 
-        ``allowed`` marks the places of pairs that longer phrases may be made of.
-        """
+    def mined(self, support: int, lengths: range, pairs: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Phrases of each of ``lengths`` that occur ``support`` times, as rows of hashes; numbers of times."""
         seen = np.bincount(self.numbers, minlength=1)
-        kept = (seen >= support)[self.numbers] & (self.numbers > 0)
-        level = np.where(kept, self.numbers, 0).astype(np.int64)  # class of the phrase at each place
+        level = np.where((seen >= support)[self.numbers], self.numbers, 0)  # class of the phrase at each place
         for length in range(2, lengths.stop):
-            level, after = level[:-1], level[1:]
-            at = np.flatnonzero((level > 0) & (after > 0) & (allowed[: len(level)] if length == 2 and allowed is not None else True))
-            _, first, inverse, counts = np.unique(level[at] << 32 | after[at], return_index=True, return_inverse=True, return_counts=True)
-            number = np.where(counts >= support, np.cumsum(counts >= support), 0)
+            if len(level) < 2:
+                return
+            together = (level[:-1] > 0) & (level[1:] > 0)
+            at = np.flatnonzero(together & self.pairs(pairs) if length == 2 else together)
+            kinds, inverse, counts = np.unique(level[at] << 32 | level[at + 1], return_inverse=True, return_counts=True)
+            frequent = counts >= support
             if length in lengths:
-                frequent = counts >= support
-                yield self.phrases(at[first[frequent]], length), counts[frequent]
-            level = np.zeros(len(level), np.int64)
+                first = np.empty(len(kinds), np.int64)
+                first[inverse] = at
+                yield self.phrases(first[frequent], length), counts[frequent]
+            number = np.where(frequent, np.cumsum(frequent), 0)
+            level = np.zeros(len(level) - 1, np.int64)
             level[at] = number[inverse]
 
-    def counted(self, lengths: range, bits: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
+    def counted(self, lengths: range, bits: np.ndarray, pairs: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Phrases of ``lengths`` that ``bits`` has, exactly counted."""
-        for length in lengths:
+        fits = self.pairs(pairs)
+        whole = np.ones(len(self.numbers), bool)
+        for length in range(2, lengths.stop):
             if len(self.numbers) < length:
                 return
-            at = np.flatnonzero(self.runs(length))
-            at = at[has(bits, self.phrase_hashes(length)[at])]
-            kind = self.numbers[at].astype(np.int64)
+            whole = whole[:-1] & fits[length - 2 :]
+            if length not in lengths:
+                continue
+            at = np.flatnonzero(whole)
+            at = at[has(bits, self.phrase_hashes(length, at))]
+            kind = self.numbers[at]
             for i in range(1, length):
                 _, kind = np.unique(kind << 32 | self.numbers[at + i], return_inverse=True)
             _, first, counts = np.unique(kind, return_index=True, return_counts=True)
             yield self.phrases(at[first], length), counts
 
 
+def _places(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The bits of each hash among ``size``, one of them at a time."""
+    for _ in range(TESTS):
+        hashes = _mixed(hashes * _A)
+        yield hashes & np.uint64(size - 1)
+
+
 def has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes & np.uint64(8 * len(bits) - 1)
-    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    found = np.arange(len(hashes))
+    for place in _places(hashes, 8 * len(bits)):
+        place = place[found]
+        found = found[(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    out = np.zeros(len(hashes), bool)
+    out[found] = True
+    return out
 
 
 def phrase_bits(phrases: DataFrame) -> np.ndarray:
-    """Bits that mark the hashes of ``phrases.phrase``: at least 16 a phrase, up to MOST_BITS."""
+    """Bits that mark ``phrases.hashes``: BITS_PER_PHRASE for each at least, up to MOST_BITS."""
     size = LEAST_BITS
-    while size < 16 * phrases.count() and size < MOST_BITS:
+    while size < BITS_PER_PHRASE * phrases.count() and size < MOST_BITS:
         size *= 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = []
-            for phrase in batch.column(0):
-                each = [np.array([_word_hash(w)], np.uint64) for w in phrase.as_py().encode("utf-8", "surrogatepass").split(b" ")]
-                found = each[0]
-                for word in each[1:]:
-                    found = _joined(found, word)
-                places.append(int(found[0]) & (size - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64())], names=["place"])
-
-    places = phrases.select("phrase").mapInArrow(work, "place bigint")
-    block = F.shiftright("place", 5)
+            values, ends = batch.column(0).values.to_numpy().view(np.uint64), batch.column(0).offsets.to_numpy()
+            lengths = np.diff(ends)
+            for length in np.unique(lengths):
+                first = ends[:-1][lengths == length]
+                found = values[first]
+                for i in range(1, length):
+                    found = _joined(found, values[first + i])
+                for place in _places(found, size):
+                    yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64))], names=["place"])
+
+    places = phrases.select("hashes").mapInArrow(work, "place bigint")
     bit = F.expr("shiftleft(1L, cast(place & 31 as int))")
-    found = places.groupBy(block.alias("block")).agg(F.bit_or(bit).alias("bits")).toArrow()  # size / 32 rows at most
+    found = places.groupBy(F.shiftright("place", 5).alias("block")).agg(F.bit_or(bit).alias("bits")).toArrow()  # size / 32 rows at most
     bits = np.zeros(size // 32, "<u4")
     bits[found.column("block").to_numpy()] = found.column("bits").to_numpy()
     return bits.view(np.uint8)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, phrase, f) of every word of ``texts`` (lang, text)."""
+def word_counts(texts: DataFrame, seed: int) -> DataFrame:
+    """(lang, word, hash, f) of every word of ``texts`` (lang, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, Counter] = defaultdict(Counter)
+        hashes = _WordHashes(seed)
 
         def handed_on() -> Iterator[pa.RecordBatch]:
             for lang, counts in total.items():
                 counts.pop(b".", None)
                 words = [w.decode("utf-8", "surrogatepass") for w in counts]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "phrase", "f"])
+                each = np.fromiter(map(hashes.__getitem__, counts), np.uint64, len(counts)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(each), pa.array(counts.values(), pa.int64())], names=["lang", "word", "hash", "f"])
             total.clear()
 
         for batch in batches:
@@ -173,95 +220,136 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     yield from handed_on()
         yield from handed_on()
 
-    return texts.mapInArrow(work, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    rows = texts.mapInArrow(work, "lang string, word string, hash bigint, f bigint")
+    return rows.groupBy("lang", "word").agg(F.any_value("hash").alias("hash"), F.sum("f").alias("f"))
+
 
+def _hashed(texts: DataFrame, frequent, seed: int) -> DataFrame:
+    """(lang, total, n, hashes): each text of ``texts`` (lang, total, text) as hashes of frequent words.
 
-def _by_shard(texts: DataFrame, frequent, job: Callable[[Shard, int], Iterator[tuple[list[str], np.ndarray]]]) -> DataFrame:
-    """(lang, phrase, f): what ``job`` returns for each shard of ``texts`` (lang, text, total) and
-    the number of its words. ``frequent`` is None or a broadcast of the words not to be left out."""
+    0 stands for an end of a piece or for one or more other words, and at the end; n counts all words.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if frequent is not None:
-            known = frequent.value
-        open_shards: dict[str, list] = {}
+        known, hashes = frequent.value if frequent else None, _WordHashes(seed)
+        for batch in (b.slice(at, DOCUMENTS_PER_BATCH) for b in batches for at in range(0, b.num_rows, DOCUMENTS_PER_BATCH)):
+            words = [tokens(t.as_py()) for t in batch.column(2)]
+            sizes = np.array([len(w) + 1 for w in words])
+            each = np.fromiter((h for w in words for h in (*map(hashes.__getitem__, w), 0)), np.uint64, int(sizes.sum()))
+            row = np.repeat(np.arange(len(words)), sizes)
+            ends = np.array([w.count(b".") + 1 for w in words])
+            if known is not None:
+                at = np.searchsorted(known, each)
+                at[at == len(known)] = 0
+                each[(known[at] != each) if len(known) else slice(None)] = 0
+            kept = (each > 0) | (np.append(1, each[:-1]) > 0) | (np.diff(row, prepend=-1) > 0)
+            offsets = np.append(0, np.cumsum(np.bincount(row[kept], minlength=len(words)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(each[kept].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((sizes - ends).astype(np.int64)), lists], names=["lang", "total", "n", "hashes"])
+
+    return texts.select("lang", "total", "text").mapInArrow(work, "lang string, total bigint, n bigint, hashes array<bigint>")
+
+
+def _by_shard(rows: DataFrame, frequent, job: Callable[[Shard, int, int], Iterator[tuple[np.ndarray, np.ndarray, int]]]) -> DataFrame:
+    """(lang, hashes, f, slack): what ``job`` makes of every shard, the number of its words and that of its language."""
 
-        def done(lang: str) -> Iterator[pa.RecordBatch]:
-            parts, number, n, total = open_shards.pop(lang)
-            words = [b"", *number]
-            hashes = np.fromiter(map(_word_hash, words), np.uint64, len(words))
-            for phrases, counts in job(Shard(np.concatenate(parts), words, hashes), n, total):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "f"])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frequent.value if frequent else None
+        waiting: dict[str, list] = {}  # texts with their words, words of them all, words of the language
+
+        def done(lang: str, texts: list, total: int) -> Iterator[pa.RecordBatch]:
+            shard = Shard(np.concatenate([t for t, _ in texts]), known)
+            for phrases, counts, slack in job(shard, sum(n for _, n in texts), total):
+                offsets = np.arange(len(phrases) + 1, dtype=np.int32) * phrases.shape[1]
+                lists = pa.ListArray.from_arrays(offsets, pa.array(phrases.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(phrases), pa.string()), lists, pa.array(counts.astype(np.int64)), pa.array(np.full(len(phrases), slack, np.int64))],
+                    names=["lang", "hashes", "f", "slack"],
+                )
+
+        def cut(lang: str, most: int) -> Iterator[pa.RecordBatch]:
+            """Shards of half of what waits, so that no small rest is left."""
+            texts, n, total = waiting[lang]
+            first, size = [], 0
+            while texts and size < most:
+                first.append(texts.pop(0))
+                size += first[-1][1]
+            waiting[lang][1] = n - size
+            yield from done(lang, first, total)
 
         for batch in batches:
-            for lang, text, total in zip(*batch.columns):
-                lang = lang.as_py()
-                words = tokens(text.as_py())
-                parts, number, n, total = open_shards.setdefault(lang, [[], {}, 0, total.as_py()])
-                if frequent is not None:
-                    chosen = known.get(lang, ())
-                    for w in set(words):
-                        if w in chosen and w not in number:
-                            number[w] = len(number) + 1
-                else:
-                    for w in set(words):
-                        if w != b"." and w not in number:
-                            number[w] = len(number) + 1
-                found = np.fromiter(map(number.get, words, repeat(0)), np.int32, len(words))
-                # Of several breaks one after another, one is enough.
-                found = found[(found > 0) | (np.append(0, found[:-1]) > 0)]
-                parts += [found, np.zeros(1, np.int32)]
-                open_shards[lang][2] = n + len(words) - words.count(b".")
-                if open_shards[lang][2] > SHARD_WORDS:
-                    yield from done(lang)
-            if sum(x[2] for x in open_shards.values()) > 2 * SHARD_WORDS:
-                yield from done(max(open_shards, key=lambda x: open_shards[x][2]))
-        for lang in list(open_shards):
-            yield from done(lang)
-
-    return texts.mapInArrow(work, "lang string, phrase string, f bigint")
+            values, ends = batch.column(3).values.to_numpy().view(np.uint64), batch.column(3).offsets.to_numpy()
+            for lang, total, n, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), ends, ends[1:]):
+                mine = waiting.setdefault(lang, [[], 0, total])
+                mine[0].append((values[a:b].copy(), n))
+                mine[1] += n
+                most = min(SHARD_WORDS, -(-total // SHARDS))
+                if mine[1] >= 2 * most and len(mine[0]) > 1:
+                    yield from cut(lang, most)
+            if sum(x[1] for x in waiting.values()) > 4 * SHARD_WORDS:
+                largest = max(waiting, key=lambda x: waiting[x][1])
+                yield from cut(largest, waiting[largest][1])
+        for lang, (texts, _, total) in waiting.items():
+            if texts:
+                yield from done(lang, texts, total)
+
+    return rows.select("lang", "total", "n", "hashes").mapInArrow(work, "lang string, hashes array<bigint>, f bigint, slack bigint")
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of words and phrases that occur ``support`` times; (lang, n) of all words."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty(F.col("text")).alias("text"))
-    words = staged(word_counts(texts), "words")
+    for seed in numbers_from():
+        words = staged(word_counts(texts, seed), "words")
+        if words.groupBy("lang", "hash").count().filter("count > 1").isEmpty():
+            break
     totals = staged(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    single = words.filter(F.col("f") >= support)
+    single = staged(words.filter(F.col("f") >= support), "single")
     sc = docs.sparkSession.sparkContext
-    known = None
+    # One list for all languages: a word that is frequent in another one is mined in vain.
+    frequent = None
     if single.count() <= FEW_WORDS:
-        chosen: dict[str, set[bytes]] = defaultdict(set)
-        for lang, word in single.select("lang", "phrase").toLocalIterator():
-            chosen[lang].add(word.encode("utf-8", "surrogatepass"))
-        known = sc.broadcast(dict(chosen))
-    # Only languages with frequent words; n comes along, whatever the number of languages.
-    some = totals.join(single.select("lang").distinct(), "lang", "left_semi")
-    few = F.broadcast(some) if some.count() <= 10_000 else some
-    texts = texts.join(few, "lang").select("lang", "text", F.col("n").alias("total"))
-    found = [single.withColumn("words", F.lit(1))]
-    pairs = None
+        frequent = sc.broadcast(np.unique(single.select("hash").toArrow().column(0).to_numpy().view(np.uint64)))
+    # Languages without frequent words have no phrases. The total comes along, whatever the number of languages.
+    some = staged(totals.join(single.select("lang").distinct(), "lang", "left_semi"), "some")
+    some = F.broadcast(some) if some.count() <= FEW_LANGUAGES else some
+    hashed = staged(_hashed(texts.join(some, "lang").withColumnRenamed("n", "total"), frequent, seed), "hashed")
+    found, bits = [], None
     for lengths in (range(2, 3), range(3, longest + 1)):
         if not len(lengths):
             continue
 
-        def mine(shard: Shard, n: int, total: int, lengths=lengths, pairs=pairs) -> Iterator[tuple[list[str], np.ndarray]]:
-            allowed = None if pairs is None or len(shard.numbers) < 2 else has(pairs.value, shard.phrase_hashes(2))
-            return shard.mined(max(1, -(-support * n // total)), lengths, allowed)
-
-        local = staged(_by_shard(texts, known, mine).select("lang", "phrase").distinct(), "candidates")
-        bits = sc.broadcast(phrase_bits(local))
-
-        def count(shard: Shard, n: int, total: int, lengths=lengths, bits=bits) -> Iterator[tuple[list[str], np.ndarray]]:
-            return shard.counted(lengths, bits.value)
-
-        exact = _by_shard(texts, known, count).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= support)
-        exact = staged(exact.join(local, ["lang", "phrase"], "left_semi").withColumn("words", F.size(F.split("phrase", " "))), "frequent")
+        def mine(shard: Shard, n: int, total: int, lengths=lengths, pairs=bits) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+            local = max(1, -(-support * n // total))
+            yield np.zeros((1, 0), np.uint64), np.zeros(1), local - 1  # a shard without findings has its slack too
+            for phrases, counts in shard.mined(local, lengths, pairs.value if pairs else None):
+                yield phrases, counts, local - 1
+
+        local = staged(_by_shard(hashed, frequent, mine).groupBy("lang", "hashes").agg(F.sum("f").alias("f"), F.sum("slack").alias("slack")), "local")
+        slack = staged(local.filter(F.size("hashes") == 0).select("lang", F.col("slack").alias("most")), "slack")
+        slack = F.broadcast(slack) if slack.count() <= FEW_LANGUAGES else slack
+        possible = local.filter(F.size("hashes") > 0).join(slack, "lang").filter(F.col("f") + F.col("most") - F.col("slack") >= support)
+        possible = staged(possible.select("lang", "hashes"), "candidates")
+        chosen = sc.broadcast(phrase_bits(possible))
+
+        def counted(shard: Shard, n: int, total: int, lengths=lengths, chosen=chosen, pairs=bits) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+            for phrases, counts in shard.counted(lengths, chosen.value, pairs.value if pairs else None):
+                yield phrases, counts, 0
+
+        exact = _by_shard(hashed, frequent, counted).groupBy("lang", "hashes").agg(F.sum("f").alias("f")).filter(F.col("f") >= support)
+        exact = staged(exact.join(possible, ["lang", "hashes"], "left_semi"), "frequent")
         found.append(exact)
-        pairs = sc.broadcast(phrase_bits(exact))
-    phrases = found[0].select("lang", "phrase", "words", "f")
-    for more in found[1:]:
-        phrases = phrases.unionByName(more.select("lang", "phrase", "words", "f"))
-    return staged(phrases, "phrases"), totals
+        bits = sc.broadcast(phrase_bits(exact))
+    phrases = single.select("lang", F.array("hash").alias("hashes"), "f")
+    for more in found:
+        phrases = phrases.unionByName(more)
+    named = (
+        phrases.select("lang", "hashes", "f", F.posexplode("hashes").alias("pos", "hash"))
+        .join(single.select("lang", "hash", "word"), ["lang", "hash"])
+        .groupBy("lang", "hashes").agg(F.any_value("f").alias("f"), F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
+        .select("lang", F.array_join("w.word", " ").alias("phrase"), F.size("w").alias("words"), "f")
+    )
+    return staged(named, "phrases"), totals
 
 
 def _whole(number: Column) -> Column:

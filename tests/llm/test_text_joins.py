@@ -205,8 +205,10 @@ def brute_collocations(rows, support, longest=5, top=2000):
 def test_collocations_equal_brute_force(spark, awkward, monkeypatch, few, shard):
     monkeypatch.setattr(collocations, "FEW_WORDS", few)
     monkeypatch.setattr(collocations, "SHARD_WORDS", shard)
-    monkeypatch.setattr(collocations, "MOST_BITS", 1 << 16 if few else 1 << 5)  # many wrong positives
-    monkeypatch.setattr(collocations, "LEAST_BITS", 1 << 5)
+    monkeypatch.setattr(collocations, "MOST_BITS", 1 << 16 if few else 1 << 7)  # many wrong positives
+    monkeypatch.setattr(collocations, "LEAST_BITS", 1 << 7)
+    if not few:
+        monkeypatch.setattr(collocations, "FEW_LANGUAGES", 0)
     rows = [r for r in awkward if r[0] is None or r[0] < 90]
     rows += [(i, "the end of it. The End of it, a new york\tcity x " + "so so " * (i % 4), ["en", None, "fr"][i % 3]) for i in range(200, 230)]
     found = collocations.collocations(documents(spark, rows), support=6, top=25)
