@@ -19,9 +19,16 @@ PAIRS_AT_ONCE = 50_000
 WIDE = 48  # longer words are compared one by one
 
 
+# Letters from the most to the least frequent in English.
+_FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
+
+
 def letter_groups() -> np.ndarray:
-    """The group of each code point up to U+00FF."""
-    return np.arange(256) * 7 % 13 % GROUPS
+    """The group of each code point up to U+00FF: the frequent letters have the first ones to themselves."""
+    groups = np.arange(256) % GROUPS
+    for i, letter in enumerate(_FREQUENT):
+        groups[ord(letter)] = i if i < GROUPS else GROUPS - 1 - i % GROUPS
+    return groups
 
 
 _GROUP = letter_groups()
@@ -90,7 +97,15 @@ class Words:
         self.words = words
         self.sizes = np.fromiter(map(len, words), np.int64, len(words))
         width = int(min(self.sizes.max(initial=0), WIDE)) + 1
+        width = max(width, 4)
         self.codes = np.frombuffer(b"".join(w[:width].encode("latin-1").ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        weight = 1 << np.arange(0, 32, 8)
+        self.head = self.codes[:, :4] @ weight
+        self.tail = np.array([int.from_bytes(w[-3:].encode("latin-1")) for w in words], np.int64)
+
+    def may_be_near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """An edit leaves the first four letters or, of seven, the last three."""
+        return (self.head[a] == self.head[b]) | (self.tail[a] == self.tail[b]) | (np.minimum(self.sizes[a], self.sizes[b]) < 7)
 
     def one_edit_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         swap = self.sizes[a] < self.sizes[b]

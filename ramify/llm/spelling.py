@@ -29,8 +29,8 @@ LEAST_CHARS = 7
 LEAST_COUNT = 2
 SPOILED = 31
 RATIO = 10  # of a form's number to the word's
-USUAL_SHARD = 4000  # words
-SHARD_WORDS = 16_000
+USUAL_SHARD = 6000  # words
+SHARD_WORDS = 8_000
 WORDS_PER_BATCH = 300_000  # counted in a task before they are handed on
 
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -144,7 +144,7 @@ def near_words(words: DataFrame) -> DataFrame:
                 yield _searched(tile.column("word").to_pylist(), tile.column("n").to_numpy(), lives, levels)
 
     key = ["shard", "part"]
-    found = rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(work, "word string, near bigint, best_n bigint, best string")
+    found = rows.repartition(*key).sortWithinPartitions(*key, "word").mapInArrow(work, "word string, near bigint, best_n bigint, best string")
     return (
         found.groupBy("word").agg(F.sum("near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("n"), "best")).alias("b"))
         .select("word", "n_near", (-F.col("b.n")).alias("best_n"), "b.best")
@@ -152,7 +152,10 @@ def near_words(words: DataFrame) -> DataFrame:
 
 
 def _searched(words: list[str], n: np.ndarray, lives: np.ndarray, levels: int) -> pa.RecordBatch:
-    """The near words inside one shard: of those that live there and of those that search it."""
+    """The near words inside one shard: of those that live there and of those that search it.
+
+    ``words`` are in code-point order.
+    """
     counts = letter_counts(words)
     members = np.flatnonzero(lives)
     trie = FrequencyTrie(counts[members][:, levels:])
@@ -163,14 +166,14 @@ def _searched(words: list[str], n: np.ndarray, lives: np.ndarray, levels: int) -
         item = members[item]
         once = ~lives[query] | (query < item)
         query, item = query[once], item[once]
+        near = texts.may_be_near(query, item)
+        query, item = query[near], item[near]
         near = texts.one_edit_apart(query, item)
         near_a.append(query[near])
         near_b.append(item[near])
     a, b = np.concatenate([*near_a, *near_b]), np.concatenate([*near_b, *near_a])
-    # Largest n first, then the smallest word: ranks replace the words.
-    rank = np.empty(len(words), np.int64)
-    rank[sorted(range(len(words)), key=lambda i: (-n[i], words[i]))] = np.arange(len(words))
-    order = np.lexsort((rank[b], a))
+    # Largest n first, then the smallest word: words come in their order.
+    order = np.lexsort((b, -n[b], a))
     a, b = a[order], b[order]
     first = np.flatnonzero(np.diff(a, prepend=-1))
     total = np.diff(np.append(first, len(a)))
