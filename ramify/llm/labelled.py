@@ -12,14 +12,22 @@ def remainder(doc_id: Column, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``rows`` labelled documents, first by hash of the id.
+    """(doc_id, _text, text, label) of the documents of at most ``rows`` labelled ids, first by hash.
 
-    The sample has a fixed bound, so it is broadcast; the texts are met in one scan.
+    An id counts once, with its largest label. The sample has a fixed bound, so it is
+    broadcast; the texts are met in one scan. ``_text`` is a hash of the text. Ids that
+    repeat in ``docs`` bring all their rows: see ``one_each``.
     """
     some = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-        .select("doc_id", F.col(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
+        .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
-    )
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    )
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", F.xxhash64("text").alias("_text"), "text", "label")
+
+
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row per doc_id, that of the smallest ``_text``; partial minima in the tasks first."""
+    rest = [c for c in rows.columns if c not in ("doc_id", "_text")]
+    return rows.groupBy("doc_id").agg(F.min(F.struct("_text", *rest)).alias("r")).select("doc_id", *[f"r.{c}" for c in rest])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ramify.llm.labelled import labelled_sample
+from ramify.llm.labelled import labelled_sample, one_each
 
 SAMPLE_ROWS = 20_000  # bound of the labelled and of the unlabelled sample
 HIDDEN = 24
@@ -127,16 +127,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Qualit
     """The classifier for ``labels.quality``; None without positives to learn from.
 
     At most ``rows`` labelled and ``rows`` unlabelled documents give their figures to
-    the driver. The unlabelled ones are drawn from all documents, by hash of the id.
+    the driver. The unlabelled ones are drawn from all documents, by hash of the id. A
+    doc_id counts once, with its largest label and one of its texts.
     """
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
+            x = [features(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.list_(pa.float64())), batch.column(3)], names=["doc_id", "_text", "x", "label"])
 
     def figures(sample: DataFrame):
-        table = sample.select("text", "label").mapInArrow(work, "x array<double>, label int").toArrow()
+        table = one_each(sample.mapInArrow(work, f"doc_id {kind}, _text bigint, x array<double>, label int")).toArrow()
         x = table.column("x").combine_chunks().values.to_numpy(zero_copy_only=False) if table.num_rows else np.empty(0)
         x, label = x.reshape(-1, FEATURES), table.column("label").to_numpy()
         order = np.lexsort(x.T)  # a fixed order makes the fit repeatable

@@ -33,6 +33,7 @@ RADIUS = 4
 SHINGLE = 4
 SEED = 42
 SHARD_ROWS = 2048
+BROADCAST_ROWS = 1_000_000  # of ids and hashes; more are joined by shuffle
 USUAL_SHARD = 64  # classes per shard on average, at most
 
 _BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], np.int64)
@@ -166,15 +167,20 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Where rows repeat that doc_id, the one with the smallest text hash stays, once. Nulls
     and empty tables as in ``near_duplicates``.
     """
-    found = near_duplicates(docs, radius)
-    first = (
-        found.filter("doc_id <=> component_id")
-        .groupBy("root", "doc_id", "_text").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("root").agg(F.min(F.struct("_text", "doc_id", "n")).alias("f"))
-        .select(F.col("f.doc_id").alias("__first"), F.col("f._text").alias("__first_text"), F.col("f.n").alias("__n"))
-    )
-    same_row = F.col("__id").eqNullSafe(F.col("__first")) & (F.col("__text") == F.col("__first_text"))
-    kept = carried(docs).join(first, same_row)
-    # Only rows that repeat both are compared.
-    best = kept.filter("__n > 1").groupBy("__id", "__text").agg(F.any_value("__row").alias("__row"))
-    return unpacked(kept.filter("__n = 1").select("__row").unionByName(best.select("__row")), docs)
+    found = staged(near_duplicates(docs, radius).select("doc_id", "_text", "root", "component_id"), "found")
+    smallest = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = staged(found.filter(smallest).groupBy("root").agg(F.min("_text").alias("_first")), "first")
+    judged = found.join(first, "root").select("doc_id", "_text", (smallest & (F.col("_text") == F.col("_first"))).alias("stays"))
+    pairs = judged.groupBy(F.col("doc_id").alias("__id"), F.col("_text").alias("__text")).agg(F.any_value("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    # Ids and hashes only: the texts themselves are not shuffled while these are few.
+    others = staged(pairs.filter("not stays or n > 1"), "others")
+    few = others.count() <= BROADCAST_ROWS
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text"))
+    kept = docs.join(F.broadcast(others) if few else others, same, "left_anti")
+    repeated = others.filter("stays")
+    if repeated.isEmpty():
+        return kept
+    row = F.col("__row")
+    best = carried(docs).join(repeated.drop("stays", "n").withColumnsRenamed({"__id": "__a", "__text": "__b"}), F.col("__id").eqNullSafe(F.col("__a")) & (F.col("__text") == F.col("__b")))
+    best = best.groupBy("__id", "__text").agg(F.any_value(row).alias("__row"))
+    return kept.unionByName(unpacked(best, docs))

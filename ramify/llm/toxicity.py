@@ -8,21 +8,20 @@ every whole text inside tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ramify.llm.labelled import labelled_sample
+from ramify.llm.labelled import labelled_sample, one_each
 
 BUCKETS = 1 << 20
 FACTORS = 8
-DOCUMENTS_PER_BATCH = 512
+TERMS_AT_ONCE = 100_000
 SAMPLE_ROWS = 20_000  # bound of the labelled sample
 # Terms fitted first, under a light penalty: they tell the labels apart, or are frequent.
 LEAST_Z = 4.0
@@ -195,15 +194,20 @@ def _widened(first: FactorizationMachine, rows: list[np.ndarray], labels: np.nda
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> FactorizationMachine:
-    """The machine for ``labels.toxic``; what reaches the driver is bounded by ``rows``."""
+    """The machine for ``labels.toxic``; at most ``rows`` documents reach the driver.
+
+    A doc_id with several labels counts once, as toxic if any label is; of several texts
+    it has one, chosen by hash.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = [np.unique(term_buckets(t.as_py())) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.int32())), batch.column(1)], names=["terms", "label"])
+            terms = [np.unique(term_buckets(t.as_py())) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(terms, pa.list_(pa.int32())), batch.column(3)], names=["doc_id", "_text", "terms", "label"])
 
-    sample = labelled_sample(docs, labels, "toxic", rows).select("text", "label", "doc_id")
-    table = sample.mapInArrow(work, "terms array<int>, label int").toArrow()
+    sample = labelled_sample(docs, labels, "toxic", rows)
+    table = one_each(sample.mapInArrow(work, f"doc_id {kind}, _text bigint, terms array<int>, label int")).toArrow()
     lists = table.column("terms").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
     values, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     terms = [values[x:y] for x, y in zip(bounds[:-1], bounds[1:])]  # views
@@ -213,33 +217,40 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Factor
     return fit([terms[i] for i in order], marks[order] if order else np.empty(0))
 
 
-def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """``docs`` with toxicity (0 to 1), over whole texts.
+def scores(model: FactorizationMachine, texts: Iterable[str | None]) -> np.ndarray:
+    """Toxicity of whole texts, TERMS_AT_ONCE at a time, however long they are."""
+    logits, waiting, size = [np.empty(0)], [], 0
+    for text in texts:
+        waiting.append(term_buckets(text))
+        size += len(waiting[-1])
+        if size >= TERMS_AT_ONCE:
+            logits.append(model.logits(waiting))
+            waiting, size = [], 0
+    if waiting:
+        logits.append(model.logits(waiting))
+    found = np.concatenate(logits)
+    return np.where(np.isneginf(found), 0.0, 1 / (1 + np.exp(-np.clip(found, -700, 700))))
 
-    Null and empty texts get the score of a text without terms; repeated rows each get
-    theirs; an empty table stays empty. Without toxic rows to learn from the score is 0.
-    """
 
-    scored = _scored(docs.drop("toxicity"), model)
-    return scored.select(*[F.col(f"__row.`{c}`") for c in docs.drop("toxicity").columns], F.col("__score").alias("toxicity"))
+def toxicity(model: FactorizationMachine, text: Column) -> Column:
+    """Score of a column of whole texts. Only the texts go to Python, and only scores come back."""
 
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(scores(model, (t.as_py() for t in texts)))
 
-def _scored(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """__row, the whole row, and __score."""
+    return scored(text)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = (batch.column(0).field("text").slice(at, DOCUMENTS_PER_BATCH) for at in range(0, batch.num_rows, DOCUMENTS_PER_BATCH))
-            logits = np.concatenate([np.empty(0), *[model.logits([term_buckets(t.as_py()) for t in part]) for part in parts]])
-            scores = 1 / (1 + np.exp(-np.clip(logits, -700, 700)))
-            scores[np.isneginf(logits)] = 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["__row", "__score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    return rows.mapInArrow(work, StructType([*rows.schema, StructField("__score", DoubleType())]))
+def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
+    """``docs`` with toxicity (0 to 1), over whole texts.
+
+    Null and empty texts get the score of a text without terms; repeated rows each get
+    theirs; an empty table stays empty. Without toxic rows to learn from the score is 0.
+    """
+    return docs.drop("toxicity").withColumn("toxicity", toxicity(model, F.col("text")))
 
 
 def drop_toxic(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5) -> DataFrame:
     """``docs`` without those that score at or above ``threshold``; same columns; edges as in ``score``."""
-    kept = _scored(docs, model).filter(F.col("__score") < threshold)
-    return kept.select(*[F.col(f"__row.`{c}`") for c in docs.columns])
+    return docs.filter(toxicity(model, F.col("text")) < threshold)

@@ -524,3 +524,33 @@ def test_remainder(spark):
 
     frame = spark.createDataFrame([(i,) for i in range(50)], "doc_id bigint").select("doc_id", remainder(F.col("doc_id"), 5).alias("r"))
     assert all(r.r == zlib.crc32(str(r.doc_id).encode()) % 5 for r in frame.collect())
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    """10,000 rows of one id on both sides do not multiply, and the bound holds."""
+    many = documents(spark, [(7, f"same words {i % 5}") for i in range(10_000)] + [(i, "others here") for i in range(100, 160)])
+    marks = spark.createDataFrame([(7, i % 2, 1) for i in range(10_000)] + [(i, 0, 0) for i in range(100, 160)], "doc_id bigint, toxic int, quality int")
+    from ramify.llm.labelled import labelled_sample, one_each
+
+    found = one_each(labelled_sample(many, marks, "toxic", 40)).collect()
+    assert len(found) == 40 and len({r.doc_id for r in found}) == 40
+    whole = {r.doc_id: r.label for r in one_each(labelled_sample(many, marks, "toxic", 1000)).collect()}
+    assert len(whole) == 61 and whole[7] == 1
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    random.seed(2)
+    texts = [" ".join(f"w{random.randrange(5000)}" for _ in range(n)) for n in (0, 1, 3000, 50, 700)] + [None]
+    buckets = np.unique(np.concatenate([toxicity.term_buckets(t) for t in texts]))
+    draw = np.random.default_rng(1)
+    model = toxicity.FactorizationMachine(-0.3, buckets, draw.normal(0, 0.1, len(buckets)), draw.normal(0, 0.01, (len(buckets), 16)))
+    whole = toxicity.scores(model, texts)
+    monkeypatch.setattr(toxicity, "TERMS_AT_ONCE", 10)
+    assert np.allclose(toxicity.scores(model, texts), whole) and len(whole) == len(texts)
+
+
+def test_drop_near_duplicates_by_shuffle(spark, awkward, monkeypatch):
+    few = sorted(map(str, simhash.drop_near_duplicates(awkward).collect()))
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, simhash.drop_near_duplicates(awkward).collect())) == few
+    assert len(few) == len(set(few))

@@ -1,11 +1,11 @@
 """The queries against their SQL, and every stage against its own input."""
 
 import re
-import zlib
 from collections import defaultdict
 
 import pytest
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ramify.llm import catalog, packing, simhash
@@ -27,8 +27,8 @@ def test_stages(spark):
         steps.append({r.doc_id: r for r in docs.collect()})
     raw, mild, lines, distinct, clean = steps
     assert all(mild[k] == raw[k] for k in mild)
-    labels = {r.doc_id: r.toxic for r in catalog.table(spark, SMALL, "labels").collect()}
-    assert all(labels.get(k, 0) == 0 or zlib.crc32(str(k).encode()) % 5 == 0 for k in mild if k in labels and labels[k] == 0)
+    toxic, fine = ({r.doc_id for r in catalog.table(spark, SMALL, "labels").collect() if r.toxic == x} & set(raw) for x in (1, 0))
+    assert toxic and len(toxic & set(mild)) <= len(toxic) / 2 and len(fine - set(mild)) <= len(fine) / 50
 
     assert set(lines) == set(mild)
     seen = set()
@@ -60,6 +60,19 @@ def test_stages(spark):
     assert set(pieces) == set(clean)
 
 
+def test_planted_toxic_documents_go(spark):
+    """Rows beside toxic and clean ones as the labels know them, without labels of their own."""
+    folder = "/root/testdata/sf0.01"
+    docs = catalog.table(spark, folder, "documents")
+    marks = catalog.table(spark, folder, "labels").join(docs, "doc_id").select("toxic", "text", "lang", "source", "n_chars")
+    planted = marks.orderBy("text").withColumn("doc_id", F.lit(10**9) + F.monotonically_increasing_id())
+    kept = corpus_pipeline.drop_toxic(spark, docs.unionByName(planted.select(docs.columns)), folder)
+    left = {r.doc_id for r in kept.filter("doc_id >= 1000000000").collect()}
+    found = {r.doc_id: r.toxic for r in planted.collect()}
+    assert sum(found[i] == 1 for i in left) <= 0.3 * sum(t == 1 for t in found.values())
+    assert sum(i not in left for i, t in found.items() if t == 0) <= 0.02 * sum(t == 0 for t in found.values())
+
+
 def test_run(spark):
     found = corpus_pipeline.run(spark, SMALL)
     assert found.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(found.columns)
