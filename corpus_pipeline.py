@@ -17,8 +17,20 @@ from ramify.llm.labelled import remainder
 from ramify.store import scratch_path
 
 
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in small batches, unless the application was started with its own sizes."""
+    own = spark.sparkContext.getConf()
+    for name, size in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if not own.contains(f"spark.sql.execution.arrow.{name}"):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", size)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; learned from the labels outside the held-out fold."""
+    _small_batches(spark)
     labels = table(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), 5) != 0)
     return toxicity.drop_toxic(docs, toxicity.train(docs, labels))
 
@@ -28,6 +40,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     n_chars follows the text. A document whose lines all go stays, with an empty text.
     """
+    _small_batches(spark)
     cleaned = line_dedup.dedup_lines(docs)
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", changed.alias("n_chars")).select(*docs.columns)
@@ -35,6 +48,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest doc_id."""
+    _small_batches(spark)
     return simhash.drop_near_duplicates(docs, radius=4)
 
 
@@ -45,6 +59,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 ids."""
+    _small_batches(spark)
     packed = packing.pack(docs, tokenizer_path(), capacity=4096, end_id=2)
     return packed.withColumn("ids_crc32", F.crc32("ids"))
 
