@@ -21,6 +21,7 @@ from ramify.store import release  # noqa: E402
 HEADLINE = [
     "leaf_counts_and_paths",
     "build_hierarchy",
+    "build_hierarchy_paths",
     "build_hierarchy_deep",
     "label_without_paths",
     "interval_labels",
@@ -36,6 +37,7 @@ HEADLINE = [
     "apply_common_names",
     "search",
     "search_first_candidates",
+    "search_terms",
     "resolve_path",
     "cull_viewports",
     "pick",
@@ -46,9 +48,11 @@ HEADLINE = [
     "shard_by_budget",
     "read_opentree_taxonomy",
     "flatten_tree_json",
+    "read_tree_json",
     "merge_key_maps",
     "ewma_lag",
     "event_rate",
+    "event_rate_closing",
 ]
 
 

@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 from ramify.store import materialize
 
 
+PATH_HASH = ["path_h1", "path_h2", "path_h3"]  # 120 bits
+
+
+def path_term(part: int) -> Column:
+    """What a node (level, name) adds to a part of the hash of its path of names.
+
+    The level is in it, so that the order of names counts although terms are only added,
+    and hashes of two stretches of a path make up that of both. 2^22 levels fit.
+    """
+    return F.xxhash64(F.lit(part), "level", "name").bitwiseAND(F.lit((1 << 40) - 1))
+
+
 def normalise_parents(nodes: DataFrame) -> DataFrame:
     """A node that is its own parent is a root: its parent becomes null."""
     return nodes.withColumn(
@@ -54,7 +66,7 @@ def leaf_ids(nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(parents, "id", "left_anti")
 
 
-def _rooted(nodes: DataFrame, root_id: int | None) -> DataFrame:
+def rooted(nodes: DataFrame, root_id: int | None) -> DataFrame:
     """Rows with a null parent for roots; with ``root_id`` that is the only root."""
     rows = normalise_parents(nodes)
     if root_id is None:
@@ -64,7 +76,7 @@ def _rooted(nodes: DataFrame, root_id: int | None) -> DataFrame:
     )
 
 
-def _check_roots(found: int, roots: str) -> None:
+def check_roots(found: int, roots: str) -> None:
     if found == 0:
         raise ValueError("no root: every row has another row as its parent")
     if roots == "one" and found > 1:
@@ -91,7 +103,7 @@ def build_hierarchy(
     from the root down), ready for a preorder sort on ``path``. Without ``paths`` it is
     input columns, ``level`` and ``root_id``, and no row grows with its depth.
     """
-    rows = _rooted(nodes, root_id)
+    rows = rooted(nodes, root_id)
     if not paths:
         levels = rooted_levels(nodes, roots, root_id, max_depth)
         return nodes.join(levels.withColumnRenamed("root_id", "_root"), "id").select(*nodes.columns, "level", F.col("_root").alias("root_id"))
@@ -104,7 +116,7 @@ def build_hierarchy(
         "roots": F.count_if(F.col("_up").isNull()),
     }
     table, seen = materialize(start, "paths-0", counts)
-    _check_roots(seen["roots"], roots)
+    check_roots(seen["roots"], roots)
 
     closed = [table.filter(F.col("_up").isNull())]
     step = 0
@@ -139,13 +151,13 @@ def rooted_levels(nodes: DataFrame, roots: str = "one", root_id: int | None = No
     itself once it is a root. Depths close in order, so a round that closes no row leaves
     only rows on cycles or below lost ones, which drop out.
     """
-    rows = _rooted(nodes, root_id).select("id", F.col("parent_id").alias("up"))
+    rows = rooted(nodes, root_id).select("id", F.col("parent_id").alias("up"))
     known = rows.select(
         "id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("int").alias("hops"), F.coalesce("up", "id").alias("top")
     )
     counts = {"open": F.count_if(F.col("up").isNotNull()), "closed": F.count_if(F.col("up").isNull()), "root": F.min(F.when(F.col("up").isNull(), F.col("id")))}
     table, seen = materialize(known, "levels-0", counts)
-    _check_roots(seen["closed"], roots)
+    check_roots(seen["closed"], roots)
     # A single root is known by its id: what points at it is done.
     only = seen["root"] if seen["closed"] == 1 else None
     done = [table.filter("up is null")]

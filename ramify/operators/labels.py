@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ramify.operators.hierarchy import build_hierarchy, normalise_parents, rooted_levels
+from ramify.operators.hierarchy import PATH_HASH, check_roots, normalise_parents, path_term, rooted, rooted_levels
 from ramify.operators.ranking import global_rank, grouped_running, slice_offsets, sorted_slices
 from ramify.store import materialize, transient
 
@@ -29,123 +29,91 @@ def label_hierarchy(
 ) -> DataFrame:
     """Labelled node table.
 
-    Adds ``level, path_ids, path_names, pre, pre_end, leaf_lo, leaf_count,
-    subtree_size, child_count``. ``pre`` numbers nodes in preorder from 1 and a
-    subtree is ``[pre, pre_end]``; leaves are numbered from 0 in the same order
-    and those of a subtree are ``[leaf_lo, leaf_lo + leaf_count)``.
+    Adds ``level, path_ids, path_names, pre, pre_end, leaf_lo, leaf_count, subtree_size,
+    child_count`` and the hash of the path of names (PATH_HASH). ``pre`` numbers nodes in
+    preorder from 1 and a subtree is ``[pre, pre_end]``; leaves are numbered from 0 in the
+    same order and those of a subtree are ``[leaf_lo, leaf_lo + leaf_count)``. Rows that
+    no root reaches drop out.
 
     The table is written sorted by ``pre``: range filters on it prune row groups.
     Without ``paths`` it lacks path_ids and path_names, and the work is that of a few
     numbers per node and doubling round, however deep the tree.
-    """
-    if not paths:
-        return _label_without_paths(nodes, order, roots, root_id, max_depth)
-    with transient(nodes.sparkSession):
-        paths = build_hierarchy(nodes, order=order, roots=roots, root_id=root_id, max_depth=max_depth)
-        counts = (
-            normalise_parents(nodes)
-            .filter(F.col("parent_id").isNotNull())
-            .groupBy(F.col("parent_id").alias("id"))
-            .agg(F.count(F.lit(1)).alias("child_count"))
-        )
-        with_children = paths.join(counts, "id", "left").withColumn(
-            "child_count", F.coalesce("child_count", F.lit(0)).cast("bigint")
-        )
-        if max_depth is not None:
-            with_children = with_children.withColumn(
-                "child_count", F.when(F.col("level") < max_depth, F.col("child_count")).otherwise(F.lit(0))
-            )
-        slices = sorted_slices(with_children, ["path"], "preorder")
-        is_leaf = (F.col("child_count") == 0).cast("bigint")
-        offsets = slice_offsets(slices, {"_rows": F.count(F.lit(1)), "_leaves": F.sum(is_leaf)})
-
-        # The slices are in preorder, so whole subtrees sit together and the map-side
-        # aggregation shrinks the exploded rows to about one per node and slice.
-        totals = (
-            slices.select(F.explode("path.id").alias("id"), is_leaf.alias("leaf"))
-            .groupBy("id")
-            .agg(F.count(F.lit(1)).alias("subtree_size"), F.sum("leaf").alias("leaf_count"))
-        )
-        before = Window.partitionBy("_slice").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-        labelled = (
-            slices.join(totals, "id")
-            .withColumn("_leaves_here", F.coalesce(F.sum(is_leaf).over(before), F.lit(0)))
-            .join(F.broadcast(offsets), "_slice")
-            .withColumn("pre", F.col("_rows") + F.col("_pos") + 1)
-            .withColumn("pre_end", F.col("pre") + F.col("subtree_size") - 1)
-            .withColumn("leaf_lo", F.col("_leaves") + F.col("_leaves_here"))
-            .withColumn("path_ids", F.col("path.id"))
-            .withColumn("path_names", F.col("path.name"))
-            .select(
-                *nodes.columns, "level", "path_ids", "path_names", "pre", "pre_end",
-                "leaf_lo", "leaf_count", "subtree_size", "child_count",
-            )
-        )
-        return materialize(labelled, "labelled", keep=True)
 
-
-def _label_without_paths(nodes: DataFrame, order: Sequence[Column] | None, roots: str, root_id: int | None, max_depth: int | None) -> DataFrame:
-    """Labels from sums alone, in rounds that double the distance.
-
-    Sizes: after k rounds a node has the sum over its descendants less than 2^k levels
-    below, and knows its ancestor 2^k levels up; the next round adds its sum to that
-    ancestor's. Numbers: inside a family each node starts after its earlier siblings,
-    and starts add up along the way to the root.
+    Inside a family each node starts after its earlier siblings, and starts add up along
+    the way to the root, in rounds that double the distance; so do path hashes, and paths
+    grow in the same rounds.
     """
     with transient(nodes.sparkSession):
-        levels = rooted_levels(nodes, roots, root_id, max_depth).drop("root_id")
+        rows = rooted(nodes, root_id)
+        if max_depth is not None:
+            rows = rows.join(rooted_levels(nodes, roots, root_id, max_depth).select("id"), "id", "left_semi")
         keys = [c.alias(f"_k{i}") for i, c in enumerate(order or [])]
-        parent = F.when((F.col("level") > 0), F.col("parent_id")).alias("parent_id")
-        tree = nodes.join(levels, "id").select("id", parent, "level", "name", *keys)
-        kids = tree.filter("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("child_count"))
-        tree = materialize(tree.join(kids, "id", "left").na.fill(0, ["child_count"]), "tree")
-        leaf = (F.col("child_count") == 0).cast("bigint")
-        sums = materialize(tree.select("id", F.col("parent_id").alias("up"), F.lit(1).cast("bigint").alias("size"), leaf.alias("leaves")), "sums")
-        more = True
-        while more:
-            below = sums.filter("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("_size"), F.sum("leaves").alias("_leaves"))
-            jump = sums.select(F.col("id").alias("up"), F.col("up").alias("_up"))
-            sums, seen = materialize(
-                sums.join(below, "id", "left").join(jump, "up", "left").select(
-                    "id", F.col("_up").alias("up"),
-                    (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"),
-                    (F.col("leaves") + F.coalesce("_leaves", F.lit(0))).alias("leaves"),
-                ),
-                "sums", {"open": F.count_if(F.col("up").isNotNull())},
-            )
-            more = seen["open"] > 0
-        sized = tree.join(sums.drop("up"), "id")
-        names = [f"_k{i}" for i in range(len(keys))]
+        sized = _sized(rows.select("id", "parent_id", "name", *keys), roots)
         placed = grouped_running(
-            sized, ["parent_id"], [*names, "name", "id"], "_ord", {"_before": F.col("size"), "_leaves_before": F.col("leaves")}
-        )
-        starts, seen = materialize(
-            placed.select(
-                "id", F.col("parent_id").alias("up"), (F.col("_before") - F.col("size") + 1).alias("pre"),
-                (F.col("_leaves_before") - F.col("leaves")).alias("leaf_lo"),
-            ),
-            "starts", {"open": F.count_if(F.col("up").isNotNull())},
+            sized, ["parent_id"], [*[f"_k{i}" for i in range(len(keys))], "name", "id"], "_ord",
+            {"_before": F.col("size"), "_leaves_before": F.col("leaves")},
         )
+        summed = {"pre": F.col("_before") - F.col("size") + 1, "leaf_lo": F.col("_leaves_before") - F.col("leaves")}
+        summed |= {c: path_term(i) for i, c in enumerate(PATH_HASH)}
+        joined = {"path_ids": F.array("id"), "path_names": F.array("name")} if paths else {}
+        both = [*summed, *joined]
+        is_open = {"open": F.count_if(F.col("up").isNotNull())}
+        starts, seen = materialize(
+            placed.select("id", F.col("parent_id").alias("up"), *[c.alias(n) for n, c in (summed | joined).items()]), "starts", is_open
+        )
         while seen["open"]:
-            above = starts.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("pre").alias("_pre"), F.col("leaf_lo").alias("_lo"))
-            starts, seen = materialize(
-                starts.join(above, "up", "left").select(
-                    "id", F.col("_up").alias("up"), (F.col("pre") + F.coalesce("_pre", F.lit(0))).alias("pre"),
-                    (F.col("leaf_lo") + F.coalesce("_lo", F.lit(0))).alias("leaf_lo"),
-                ),
-                "starts", {"open": F.count_if(F.col("up").isNotNull())},
-            )
+            above = starts.select(F.col("id").alias("up"), F.col("up").alias("_up"), *[F.col(c).alias(f"_{c}") for c in both])
+            longer = [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in summed]
+            longer += [F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.concat(f"_{c}", c)).alias(c) for c in joined]
+            starts, seen = materialize(starts.join(above, "up", "left").select("id", F.col("_up").alias("up"), *longer), "starts", is_open)
         labels = (
             sized.select("id", "level", "child_count", F.col("size").alias("subtree_size"), F.col("leaves").alias("leaf_count"))
             .join(starts.drop("up"), "id")
             .withColumn("pre_end", F.col("pre") + F.col("subtree_size") - 1)
         )
-        labelled = nodes.join(labels, "id").select(
-            *nodes.columns, "level", "pre", "pre_end", "leaf_lo", "leaf_count", "subtree_size", "child_count"
+        labelled = rows.join(labels, "id").select(
+            *nodes.columns, "level", *joined, "pre", "pre_end", "leaf_lo", "leaf_count", "subtree_size", "child_count", *PATH_HASH
         )
         return materialize(labelled.repartitionByRange("pre").sortWithinPartitions("pre"), "labelled", keep=True)
 
 
+def _sized(rows: DataFrame, roots: str) -> DataFrame:
+    """``rows`` that a root reaches, with level, child_count, size and leaves of their subtrees.
+
+    After k rounds a node has the sum over its descendants less than 2^k levels below, and
+    knows its ancestor 2^k levels up; the next round adds its sum to that ancestor's. A
+    round in which no row comes to its end leaves only cycles and what hangs on them.
+    """
+    kids = rows.filter("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("child_count"))
+    tree = materialize(rows.join(kids, "id", "left").na.fill(0, ["child_count"]), "tree")
+    one = F.lit(1).cast("bigint")
+    counts = {"open": F.count_if(F.col("up").isNotNull()), "ended": F.count_if(F.col("up").isNull())}
+    sums, seen = materialize(
+        tree.select(
+            "id", F.col("parent_id").alias("up"), F.col("parent_id").isNotNull().cast("int").alias("level"), one.alias("size"),
+            (F.col("child_count") == 0).cast("bigint").alias("leaves"), F.lit(False).alias("lost"),
+        ),
+        "sums", counts,
+    )
+    check_roots(seen["ended"], roots)
+    ended = None
+    while seen["open"] and seen["ended"] != ended:
+        ended = seen["ended"]
+        below = sums.filter("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("_size"), F.sum("leaves").alias("_leaves"))
+        above = sums.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("level").alias("_level"), F.col("lost").alias("_lost"))
+        # Without a row above, a row that points upward is lost, and all below it.
+        lost = F.col("lost") | F.coalesce("_lost", F.col("up").isNotNull())
+        sums, seen = materialize(
+            sums.join(below, "id", "left").join(above, "up", "left").select(
+                "id", F.col("_up").alias("up"), (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level"),
+                (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"),
+                (F.col("leaves") + F.coalesce("_leaves", F.lit(0))).alias("leaves"), lost.alias("lost"),
+            ),
+            "sums", counts,
+        )
+    return tree.join(sums.filter("up is null and not lost").drop("up", "lost"), "id")
+
+
 # --- orders -----------------------------------------------------------------
 
 
@@ -254,34 +222,42 @@ def leaf_counts(labelled: DataFrame, preset: str | None = None) -> DataFrame:
 
     With ``preset`` a non-zero value of that column stands for the node, and
     its ancestors add that value instead of what lies below it.
+
+    What lies below a preset node, down to the next ones, is taken off again there, so
+    that a roll-up over preorder numbers gives the sums. No path is needed.
     """
     if preset is None:
         return labelled.withColumn("leaves", F.col("leaf_count"))
-    given = labelled.filter(F.coalesce(F.col(preset), F.lit(0)) != 0)
-    # Values enter the sums at preset nodes and at leaves.
-    sources = labelled.filter((F.coalesce(F.col(preset), F.lit(0)) != 0) | (F.col("child_count") == 0)).select(
-        F.col("id").alias("src"),
-        "level",
-        F.coalesce(F.nullif(F.col(preset), F.lit(0)), F.lit(1)).cast("bigint").alias("value"),
-        F.posexplode("path_ids").alias("pos", "anc"),
-    ).filter(F.col("pos") < F.col("level"))
-    marks = given.select(F.col("id").alias("anc"), F.lit(True).alias("stop"))
-    marked = sources.join(marks, "anc", "left")
-    nearest = marked.filter("stop").groupBy("src").agg(F.max("pos").alias("stop_pos"))
-    summed = (
-        marked.join(nearest, "src", "left")
-        .filter(F.col("pos") > F.coalesce("stop_pos", F.lit(-1)))
-        .groupBy(F.col("anc").alias("id"))
-        .agg(F.sum("value").alias("below"))
-    )
-    return (
-        labelled.join(summed, "id", "left")
-        .withColumn(
-            "leaves",
-            F.coalesce(F.nullif(F.col(preset), F.lit(0)).cast("bigint"), F.col("below"), F.lit(1)),
-        )
-        .drop("below")
+    given = F.nullif(F.col(preset), F.lit(0)).cast("bigint")
+    value = F.coalesce(given, (F.col("child_count") == 0).cast("bigint"))
+    below = _below_marked(labelled, given.isNotNull(), value)
+    sums = rollup_values(
+        labelled.select("id", "pre", "pre_end", value.alias("_value")).join(below, "id", "left"),
+        {"_leaves": F.col("_value") - F.coalesce("_below", F.lit(0))},
     )
+    return labelled.join(sums, "id").withColumn("leaves", F.coalesce(given, "_leaves")).drop("_leaves")
+
+
+def _below_marked(labelled: DataFrame, marked: Column, value: Column) -> DataFrame:
+    """(id, _below): per marked node, ``value`` of the nodes below it that no other marked node parts from it.
+
+    How many marked nodes lie above a node is the number of their ranges that have begun
+    before it, less those that have ended. Of the ranges of one such depth, the last to
+    begin is the one that a node stands in: a count inside the depth names it.
+    """
+    rows = materialize(labelled.select("id", "pre", "pre_end", marked.alias("_marked"), value.alias("_value")), "cover-rows")
+    ended = rows.filter("_marked").groupBy((F.col("pre_end") + 1).alias("pre")).agg(F.count(F.lit(1)).alias("_ended"))
+    begun = F.col("_marked").cast("bigint")
+    change = begun - F.coalesce("_ended", F.lit(0))
+    slices = sorted_slices(rows.join(ended, "pre", "left"), ["pre"], "cover")
+    offsets = slice_offsets(slices, {"_before": F.sum(change)})
+    upto = Window.partitionBy("_slice").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    covered = slices.join(F.broadcast(offsets), "_slice").withColumn("_depth", F.col("_before") + F.sum(change).over(upto) - begun)
+    stands = covered.filter("_depth > 0").select("id", "pre", "_depth", F.lit(0).alias("_begins"), "_value")
+    begins = covered.filter("_marked").select("id", "pre", (F.col("_depth") + 1).alias("_depth"), F.lit(1).alias("_begins"), F.lit(0).cast("bigint").alias("_value"))
+    named = materialize(grouped_running(stands.unionByName(begins), ["_depth"], ["pre", "_begins"], "_nr", {"_range": F.col("_begins")}), "cover-ranges")
+    sums = named.filter("_begins = 0").groupBy("_depth", "_range").agg(F.sum("_value").alias("_below"))
+    return named.filter("_begins = 1").join(sums, ["_depth", "_range"]).select("id", "_below")
 
 
 def rollup_values(labelled: DataFrame, values: dict[str, Column]) -> DataFrame:

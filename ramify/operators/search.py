@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ramify.functions.relevance import is_subsequence, path_bonus, relevance, relevance_to
+from ramify.operators.hierarchy import PATH_HASH, path_term
 from ramify.operators.ranking import grouped_running, top_k
 from ramify.store import materialize
 
@@ -146,54 +147,36 @@ def resolve_paths(labelled: DataFrame, requests: DataFrame) -> DataFrame:
     name, takes the first child of several with that name and stops at the
     first miss; an empty path gives the root. Expects a tree with one root.
 
-    One equi-join finds the nodes at every prefix of the requested paths. Among
-    siblings of one name only the first is walkable, and a node is reached when
-    every step above it is.
+    The hash of a path is a sum over its steps, on both sides. One equi-join on level and
+    hash finds the first node in preorder at every prefix of a request; a walk goes
+    through these nodes or ends. Names and parents of the hits are compared, so that a
+    hash decides nothing by itself.
     """
     root = labelled.filter(F.col("level") == 0).select("id", "name").first()
     root_name = root["name"]
     parts = F.filter(F.split("path", "/"), lambda p: p != "")
     parts = F.when(F.get(parts, F.lit(0)) == root_name, F.slice(parts, F.lit(2), F.size(parts))).otherwise(parts)
-    asked = requests.select("path_no", F.coalesce(parts, F.array().cast("array<string>")).alias("_parts"))
-    steps = asked.filter(F.size("_parts") > 0).select(
-        F.explode(F.transform(F.sequence(F.lit(1), F.size("_parts")), lambda i: F.slice("_parts", F.lit(1), i))).alias("_key"),
-    ).distinct()
+    whole = F.concat(F.array(F.lit(root_name).cast("string")), F.coalesce(parts, F.array().cast("array<string>")))
+    # One request is one walk: its steps stand together.
+    walk = Window.partitionBy("path_no").orderBy("level")
+    steps = requests.select("path_no", F.posexplode(whole).alias("level", "name"))
+    steps = materialize(steps.select("*", *[F.sum(path_term(i)).over(walk).alias(c) for i, c in enumerate(PATH_HASH)]), "path-steps")
+    key = ["level", *PATH_HASH]
     # A copy, so that adaptive execution can split a path shared by many nodes.
-    steps = materialize(steps, "path-steps")
-    below = labelled.filter(F.col("level") > 0).select(
-        "id", "parent_id", "name", "level", "pre", "path_ids",
-        F.slice("path_names", F.lit(2), F.size("path_names")).alias("_key"),
-    )
-    reached = below.join(steps, "_key", "left_semi")
-    winners = reached.groupBy("parent_id", "name").agg(F.min_by("id", "pre").alias("step"))
-    walked = (
-        reached.select("id", "name", "level", "_key", F.explode(F.slice("path_ids", F.lit(2), F.size("path_ids"))).alias("step"))
-        .join(winners.select("step"), "step")
-        .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("_ok"), F.any_value("name").alias("name"), F.any_value("level").alias("level"), F.any_value("_key").alias("_key"))
-        .filter("_ok = level")
-        .select(F.col("id").alias("_id"), F.col("name").alias("_name"), F.col("level").alias("_level"), "_key")
-    )
-    tried = asked.select(
-        "path_no",
-        F.explode_outer(
-            F.when(
-                F.size("_parts") > 0,
-                F.transform(F.sequence(F.lit(1), F.size("_parts")), lambda i: F.slice("_parts", F.lit(1), i)),
-            )
-        ).alias("_key"),
-    )
-    best = (
-        tried.join(walked, "_key", "left")
-        .groupBy("path_no")
-        .agg(F.max_by(F.struct("_id", "_name", "_level"), F.col("_level")).alias("hit"))
-    )
-    return best.select(
-        "path_no",
-        F.coalesce("hit._id", F.lit(root["id"])).alias("id"),
-        F.coalesce("hit._name", F.lit(root_name)).alias("name"),
-        F.coalesce("hit._level", F.lit(0)).alias("matched"),
-    )
+    wanted = materialize(steps.select(*key).distinct(), "path-keys")
+    first = (
+        labelled.select("id", "parent_id", "name", "pre", *key).join(wanted, key, "left_semi")
+        .groupBy(*key).agg(F.min_by(F.struct("id", "parent_id", "name"), "pre").alias("hit"))
+    )
+    above = F.lag("hit.id").over(walk)
+    fits = (F.col("name") == F.col("hit.name")) & ((F.col("level") == 0) | (F.col("hit.parent_id") == above))
+    met = steps.join(first, key, "left").withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    miss = F.min(F.when(~F.col("_fits"), F.col("level"))).over(Window.partitionBy("path_no"))
+    reached = met.withColumn("_miss", miss).filter((F.col("level") == 0) | F.col("_miss").isNull() | (F.col("level") < F.col("_miss")))
+    return (
+        reached.groupBy("path_no").agg(F.max_by(F.struct("hit.id", "hit.name", "level"), "level").alias("hit"))
+        .select("path_no", F.coalesce("hit.id", F.lit(root["id"])).alias("id"), F.coalesce("hit.name", F.lit(root_name)).alias("name"), F.col("hit.level").alias("matched"))
+    )
 
 
 def enrich_nodes(nodes: DataFrame, pages: DataFrame, ranks: DataFrame) -> DataFrame:

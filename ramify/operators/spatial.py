@@ -7,11 +7,14 @@ touches at most four cells whatever its size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ramify.functions import geometry as G
 from ramify.operators.ranking import grouped_running, top_k
+from ramify.store import materialize, transient
 
 _MAX_ZOOM = 40
 
@@ -251,22 +254,34 @@ def label_candidates(
 def place_labels(candidates: DataFrame) -> DataFrame:
     """Labels kept when each, in turn, must not touch one kept before it.
 
-    One group is one viewport. Circles wide enough for a label cover its area a bounded
-    number of times, so that its candidates are bounded by its size in pixels.
+    Rounds over grid cells, for all viewports together: a label that is the first in turn
+    of all that are left in each of its cells is kept; what touches it goes. Kept labels
+    do not touch, so that only a bounded number of them meet in a cell, and a label meets
+    only kept ones. The cells are half as wide and high as the average label.
     """
     cols = ["id", "turn", "x1", "y1", "x2", "y2"]
-    # Goes over the candidates in turn with those kept so far.
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("turn", *[c for c in cols if c != "turn"]))),
-        F.array().cast(_kept_type(candidates)),
-        lambda kept, c: F.when(
-            F.exists(kept, lambda o: (c["x2"] >= o["x1"]) & (c["x1"] <= o["x2"]) & (c["y2"] >= o["y1"]) & (c["y1"] <= o["y2"])),
-            kept,
-        ).otherwise(F.array_append(kept, c)),
-    )
-    return candidates.groupBy("viewport_id").agg(kept.alias("_kept")).select("viewport_id", F.inline("_kept")).select("viewport_id", *cols)
-
-
-def _kept_type(candidates: DataFrame) -> str:
-    kinds = dict(candidates.dtypes)
-    return "array<struct<" + ",".join(f"{c}:{kinds[c]}" for c in ("turn", "id", "x1", "y1", "x2", "y2")) + ">>"
+    one = ["viewport_id", "turn"]
+    mean = candidates.agg(F.avg(F.col("x2") - F.col("x1")).alias("w"), F.avg(F.col("y2") - F.col("y1")).alias("h")).first()
+    if mean["w"] is None:
+        return candidates.select("viewport_id", *cols)
+
+    def steps(low: str, high: str, size: float) -> Column:
+        size = F.lit(max(size / 2, 1.0))
+        return F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))
+
+    cells = F.flatten(F.transform(steps("x1", "x2", mean["w"]), lambda i: F.transform(steps("y1", "y2", mean["h"]), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    touch = (F.col("x2") >= F.col("_x1")) & (F.col("x1") <= F.col("_x2")) & (F.col("y2") >= F.col("_y1")) & (F.col("y1") <= F.col("_y2"))
+    kept = []
+    with transient(candidates.sparkSession):
+        left = materialize(candidates.select("viewport_id", *cols), "labels-left")
+        count = True
+        while count:
+            spread_out = left.withColumn("_cell", F.explode(cells))
+            firsts = spread_out.groupBy("viewport_id", "_cell").agg(F.min("turn").alias("_first"))
+            waiting = spread_out.join(firsts, ["viewport_id", "_cell"]).filter("_first < turn").select(*one).distinct()
+            kept.append(materialize(left.join(waiting, one, "left_anti"), "labels-kept", keep=True))
+            here = kept[-1].select("viewport_id", F.explode(cells).alias("_cell"), *[F.col(c).alias(f"_{c}") for c in cols[2:]])
+            gone = spread_out.join(here, ["viewport_id", "_cell"]).filter(touch).select(*one).distinct()
+            left, seen = materialize(left.join(gone, one, "left_anti"), "labels-left", {"left": F.count(F.lit(1))})
+            count = seen["left"]
+    return reduce(DataFrame.unionByName, kept)

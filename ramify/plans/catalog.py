@@ -22,6 +22,7 @@ from ramify.operators import labels as L
 from ramify.operators import layout as Y
 from ramify.operators import search as S
 from ramify.operators import spatial as P
+from ramify.operators.ranking import sorted_slices
 from ramify.plans import bake as B
 from ramify.plans import oracles as O
 from ramify.plans.views import labelled, laid_out_line, table, view
@@ -199,7 +200,8 @@ def leaf_counts_preset(spark, sf):
     preset = F.when((F.col("level") == 3) & (F.col("id") % 4 == 0), 7).when(
         (F.col("level") == 2) & (F.col("id") % 9 == 0), 100
     ).otherwise(0)
-    return L.leaf_counts(labelled(spark, sf, "geo").withColumn("preset", preset), "preset").select("id", "leaves")
+    tree = L.label_hierarchy(view(spark, sf, "geo"), paths=False)
+    return L.leaf_counts(tree.withColumn("preset", preset), "preset").select("id", "leaves")
 
 
 @query(O.labelled_sql("geo", "SELECT name, subtree_size AS nodes FROM lab WHERE level <= 1"))
@@ -656,7 +658,8 @@ UNION ALL SELECT n_nationkey * 4 + 1, 100 + n_nationkey, n_name, 2 FROM nation
 UNION ALL SELECT n_nationkey * 4 + 2, 10 + n_regionkey, r_name, 1 FROM nation JOIN region ON r_regionkey = n_regionkey
 UNION ALL SELECT n_nationkey * 4 + 3, 1, 'Life', 0 FROM nation""")
 def resolve_path(spark, sf):
-    return S.resolve_paths(labelled(spark, sf, "geo"), _path_requests(spark, sf))
+    """On a table labelled without paths."""
+    return S.resolve_paths(L.label_hierarchy(view(spark, sf, "geo"), paths=False), _path_requests(spark, sf))
 
 
 # Same names under one parent: brands and part names, the first of equal names counts.
@@ -1328,6 +1331,47 @@ def flatten_tree_json(spark, sf):
     return flat.withColumn("path", F.array_join(F.col("path").cast("array<string>"), "/")).select("doc_id", "path", "level", "name", "child_count")
 
 
+def _large_documents(docs, key, first, between, last):
+    """One JSON document per slice of ``docs(key, json)``, a line for each row; the folder's path."""
+    spark = docs.sparkSession
+    slices = sorted_slices(docs, [key], "documents")
+    ends = slices.groupBy("_slice").agg(F.max("_pos").alias("_end"))
+    line = F.concat(F.when(F.col("_pos") == 0, first).otherwise(between), "json", F.when(F.col("_pos") == F.col("_end"), last).otherwise(""))
+    path = scratch_path(spark, "large-json")
+    slices.join(ends, "_slice").repartition("_slice").sortWithinPartitions("_slice", "_pos").select(line.alias("value")).write.text(path)
+    return path
+
+
+def _with_parent_names(nodes, *columns):
+    parents = nodes.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name"))
+    return nodes.join(parents, "parent_id", "left").select("name", "level", "parent_name", *columns)
+
+
+@query("""
+SELECT 'x' AS name, 1 AS level, 'Life' AS parent_name FROM orders
+UNION ALL SELECT 'Order#' || o_orderkey, 2, 'x' FROM orders
+UNION ALL SELECT o_orderstatus, 3, 'Order#' || o_orderkey FROM orders
+UNION ALL SELECT o_orderpriority, 3, 'Order#' || o_orderkey FROM orders
+UNION ALL SELECT 'deep', 4, o_orderpriority FROM orders""")
+def read_tree_json(spark, sf):
+    """All orders in a few documents, each of which several tasks read."""
+    nodes = N.read_tree_json(spark, _large_documents(_order_docs(spark, sf), "doc_id", "[", ",", "]"))
+    return _with_parent_names(nodes).filter("level > 0")
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS name, 1 AS level, CAST(NULL AS VARCHAR) AS parent_name, false AS is_leaf FROM part
+UNION ALL SELECT p_brand, 2, CAST(p_partkey AS VARCHAR), false FROM part
+UNION ALL SELECT p_type, 3, p_brand, false FROM part
+UNION ALL SELECT p_name, 4, p_type, p_size % 3 <> 2 FROM part
+UNION ALL SELECT 's' || p_size, 5, p_name, true FROM part WHERE p_size % 3 = 2""")
+def read_key_map(spark, sf):
+    """All parts in a few documents, keyed by part."""
+    part = F.concat(F.lit('"'), F.col("part_no").cast("string"), F.lit('":'), "json")
+    maps = _part_maps(spark, sf).select("part_no", part.alias("json"))
+    return _with_parent_names(N.read_key_map(spark, _large_documents(maps, "part_no", "{", ",", "}")), "is_leaf")
+
+
 def _part_maps(spark, sf):
     """{brand: {type: {name: ...}}} per part; the end is {}, a scalar or an object."""
     end = (
@@ -1392,6 +1436,26 @@ def event_rate(spark, sf):
     return rates.withColumn("window_us", (M.millis(rates, "window_start") * 1000).cast("bigint")).drop("window_start")
 
 
+# Pointers to the closing event, then a walk from the first event of every type.
+@query("""
+WITH RECURSIVE timed AS MATERIALIZED (
+  SELECT event_type, ts, epoch_us(ts) / 1000.0::DOUBLE AS ms, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+jumps AS MATERIALIZED (SELECT t.event_type, t.n, min(f.n) AS next FROM timed t JOIN timed f ON t.event_type = f.event_type AND f.ms >= t.ms + 600000 GROUP BY 1, 2),
+closes AS (
+  SELECT event_type, CAST(1 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS before FROM timed GROUP BY 1
+  UNION ALL SELECT j.event_type, j.next, j.n FROM closes c JOIN jumps j ON j.event_type = c.event_type AND j.n = c.n),
+windows AS (
+  SELECT c.event_type, c.n - c.before AS events, (b.ms - a.ms) / 1000 AS sec, epoch_us(a.ts) AS started_us, epoch_us(b.ts) AS closed_us FROM closes c
+  JOIN timed a ON a.event_type = c.event_type AND a.n = c.before JOIN timed b ON b.event_type = c.event_type AND b.n = c.n)
+SELECT event_type, started_us, closed_us, events, CAST(floor(events / sec + 0.5) AS BIGINT) AS rate,
+  CAST(CASE WHEN floor(events / sec + 0.5) > 0 THEN floor(1000 / floor(events / sec + 0.5) + 0.5) ELSE 0 END AS BIGINT) AS ms_per_event FROM windows""")
+def event_rate_closing(spark, sf):
+    """Rates per event type in windows of ten minutes or more, closed by events."""
+    rates = M.event_rate_closing(table(spark, sf, "events"), "event_type", "ts", "event_id", 600_000)
+    micros = [(M.millis(rates, c) * 1000).cast("bigint").alias(f"{c}_us") for c in ("started", "closed")]
+    return rates.select("event_type", *micros, "events", "rate", "ms_per_event")
+
+
 def _event_stream(spark, sf):
     """The events as files in time order, rows up to five minutes late; the last file is far ahead."""
     events = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))

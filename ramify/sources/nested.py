@@ -1,21 +1,30 @@
-"""Nested JSON to rows. A document is a VARIANT; one explode per level opens it.
+"""Nested JSON to rows.
 
-All documents advance together, so the number of rounds is the depth of the
-deepest one. A document itself is one value and has to fit in a row: a VARIANT
-holds at most 128 MiB, and a larger document fails in ``parse_json`` with an error
-that names the limit. Names are kept whole; cutting them is a step of its own.
+Documents in a column are VARIANTs, and one explode per level opens them. All advance
+together, so the number of rounds is the depth of the deepest one. Such a document is one
+value and has to fit in a row: a VARIANT holds at most 128 MiB, and a larger document
+fails in ``parse_json`` with an error that names the limit.
+
+Documents in files may be of any size, see ``read_json_values``: a file is read by many
+tasks, and no row holds more than the text between two braces. Names are kept whole;
+cutting them is a step of its own.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ramify.functions import text as T
-from ramify.operators.ranking import global_rank
-from ramify.store import materialize
+from ramify.operators.hierarchy import rooted_levels
+from ramify.operators.ranking import global_rank, grouped_running, slice_offsets, sorted_slices
+from ramify.store import materialize, transient
 
 
 def _members(v: Column) -> Column:
@@ -172,3 +181,159 @@ def merge_key_maps(parts: DataFrame) -> DataFrame:
         F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), F.lit(False).alias("is_leaf")
     ).distinct()
     return kept.join(parents, "path", "left").withColumn("is_leaf", F.coalesce("is_leaf", F.lit(True)))
+
+
+# --- documents larger than a row ------------------------------------------------------
+
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s"{}\[\]:,]+', re.S)
+_VALUES = "array<struct<rel: int, key: string, kind: string, text: string>>"
+
+
+def _piece_values(text: str, last: bool) -> tuple[int, list[dict]]:
+    """Values that begin in a piece of a document, and by how much it opens more than it closes.
+
+    A piece is what stands before an opening brace, which belongs to it unless it is the
+    ``last`` of its file. ``rel`` is the depth of a value against that of the piece's start.
+    """
+    depth, key, found = 0, None, []
+
+    def value(kind: str, text: str | None = None) -> None:
+        nonlocal key
+        found.append({"rel": depth, "key": key, "kind": kind, "text": text})
+        key = None
+
+    tokens = _TOKEN.findall(text)
+    for token, after in zip(tokens, [*tokens[1:], ""]):
+        if token == "[":
+            value("array")
+            depth += 1
+        elif token in ("]", "}"):
+            depth, key = depth - 1, None
+        elif token[0] == '"' and after == ":":
+            key = json.loads(token, strict=False)
+        elif token not in (",", ":"):
+            value("scalar" if token != "null" else "null", json.loads(token, strict=False) if token[0] == '"' else token if token != "null" else None)
+    if not last:
+        value("object")
+        depth += 1
+    return depth, found
+
+
+def read_json_values(spark: SparkSession, path: str) -> DataFrame:
+    """Every value of the JSON files under ``path``: (id, parent_id, depth, key, kind, text).
+
+    A file holds one document or several, one after another, each of any size. ``id``
+    numbers the values in the order of the text from 1, files in the order of their names;
+    ``key`` is null for a member of an array and a document itself, at depth 0. ``kind`` is
+    object, array, scalar or null; a scalar has its text. Raises when braces and brackets
+    are not balanced.
+
+    Files are read as text that ends at opening braces, so that Spark cuts them into
+    ranges of bytes. Whether a piece begins inside a string is the parity of the quotes
+    before it, and its depth is a sum over the pieces before it: running sums over slices,
+    whose carry is a row per slice.
+    """
+    with transient(spark):
+        pieces = spark.read.option("lineSep", "{").text(path).select(
+            "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")
+        )
+        bare = F.regexp_replace("value", r"(?s)\\.", "")
+        odd = ((F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))) % 2).cast("bigint")
+        slices = sorted_slices(pieces.withColumn("_odd", odd), ["_file", "_block", "_row"], "json-pieces")
+        before = Window.partitionBy("_slice").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+        upto = Window.partitionBy("_slice").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+        quotes = slice_offsets(slices, {"_quotes": F.sum("_odd")})
+        inside = (F.coalesce(F.sum("_odd").over(before), F.lit(0)) + F.col("_quotes")) % 2 == 1
+        states = slices.join(F.broadcast(quotes), "_slice").select("_file", "_slice", "_pos", "value", (~inside).cast("bigint").alias("_starts"))
+        states = materialize(states, "json-states")
+        numbers = slice_offsets(states, {"_number": F.sum("_starts")})
+        states = states.join(F.broadcast(numbers), "_slice").withColumn("_piece", F.col("_number") + F.sum("_starts").over(upto))
+        # A brace inside a string cut it: its parts are put together again.
+        in_turn = F.array_sort(F.collect_list(F.struct("_slice", "_pos", "value")))
+        rests = states.filter("_starts = 0").groupBy("_piece").agg(F.array_join(F.transform(in_turn, lambda x: x["value"]), "{").alias("_rest"))
+        lasts = states.groupBy("_file").agg(F.max("_piece").alias("_piece")).select("_piece", F.lit(True).alias("_last"))
+        whole = (
+            states.filter("_starts = 1").join(rests, "_piece", "left").join(lasts, "_piece", "left")
+            .select("_file", "_slice", "_piece", F.concat("value", F.coalesce(F.concat(F.lit("{"), "_rest"), F.lit(""))).alias("text"), F.coalesce("_last", F.lit(False)).alias("last"))
+        )
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kind = pa.list_(pa.struct([("rel", pa.int32()), ("key", pa.string()), ("kind", pa.string()), ("text", pa.string())]))
+            for batch in batches:
+                found = [_piece_values(t.as_py(), end.as_py()) for t, end in zip(batch.column(3), batch.column(4))]
+                columns = [*batch.columns[:3], pa.array([d for d, _ in found], pa.int64()), pa.array([v for _, v in found], kind)]
+                yield pa.RecordBatch.from_arrays(columns, names=["_file", "_slice", "_piece", "_opens", "_values"])
+
+        parsed = materialize(whole.mapInArrow(work, f"_file string, _slice int, _piece bigint, _opens bigint, _values {_VALUES}"), "json-parsed")
+        unbalanced = parsed.groupBy("_file").agg(F.sum("_opens").alias("n")).filter("n <> 0").first()
+        if unbalanced:
+            raise ValueError(f"braces or brackets are not balanced: {unbalanced['_file']}")
+        opens = slice_offsets(parsed, {"_open": F.sum("_opens")})
+        earlier = Window.partitionBy("_slice").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+        values = (
+            parsed.join(F.broadcast(opens), "_slice")
+            .withColumn("_depth", F.col("_open") + F.coalesce(F.sum("_opens").over(earlier), F.lit(0)))
+            .select("_piece", "_depth", F.posexplode("_values").alias("_nr", "_v"))
+            .select("_piece", "_nr", (F.col("_depth") + F.col("_v.rel")).cast("int").alias("depth"), "_v.key", "_v.kind", "_v.text")
+        )
+        values = materialize(global_rank(values, ["_piece", "_nr"], "id").drop("_piece", "_nr"), "json-values")
+        # A value lies in the last container of the depth above that begins before it.
+        holds = F.col("kind").isin("object", "array")
+        begins = values.filter(holds).select("id", F.col("depth").alias("_in"), F.lit(1).alias("_begins"))
+        asks = values.filter("depth > 0").select("id", (F.col("depth") - 1).alias("_in"), F.lit(0).alias("_begins"))
+        met = materialize(grouped_running(begins.unionByName(asks), ["_in"], ["id"], "_nr", {"_count": F.col("_begins")}), "json-parents")
+        parents = met.filter("_begins = 1").select("_in", "_count", F.col("id").alias("parent_id"))
+        found = met.filter("_begins = 0").join(parents, ["_in", "_count"]).select("id", "parent_id")
+        return materialize(values.join(found, "id", "left").select("id", "parent_id", "depth", "key", "kind", "text"), "json-tree", keep=True)
+
+
+def read_tree_json(spark: SparkSession, path: str) -> DataFrame:
+    """Node table (id, parent_id, name, level) of tree documents of any size, ids in preorder.
+
+    What is a node, and its name, is as in ``flatten_tree_json``.
+    """
+    values = read_json_values(spark, path)
+    above = values.select(F.col("id").alias("parent_id"), F.col("parent_id").alias("_up"), F.col("depth").alias("_depth"), F.col("key").alias("_key"), F.col("kind").alias("_kind"))
+    names = values.filter("key = 'name' and kind = 'scalar'").groupBy(F.col("parent_id").alias("id")).agg(F.min_by("text", "id").alias("name"))
+    listed = F.col("key").isNull() & (F.col("_kind") == "array")
+    parent = (
+        F.when(listed & (F.col("_depth") == 0), F.col("parent_id"))
+        .when(listed & (F.col("_key") == "children"), F.col("_up"))
+        .when((F.col("key") == "children") & (F.col("kind") == "object"), F.col("parent_id"))
+    )
+    nodes = (
+        values.filter(F.col("kind").isin("object", "array")).join(above, "parent_id", "left")
+        .select("id", "depth", parent.alias("parent_id"))
+        .filter("depth = 0 or parent_id is not null")
+    )
+    # Nodes of what is no node itself have a parent that is missing here, and drop out.
+    nodes = materialize(nodes.drop("depth"), "json-nodes")
+    if nodes.isEmpty():
+        return nodes.select("id", "parent_id", F.lit("").alias("name"), F.lit(0).alias("level"))
+    levels = rooted_levels(nodes, roots="many").select("id", "level")
+    named = nodes.join(levels, "id").join(names, "id", "left")
+    ranked = materialize(global_rank(named, ["id"], "nr"), "json-ranked")
+    parents = ranked.select(F.col("id").alias("parent_id"), F.col("nr").alias("up"))
+    name = F.when(F.col("level") == 0, F.lit("Life")).otherwise(F.col("name"))
+    return (
+        ranked.withColumn("name", name).join(parents, "parent_id", "left")
+        .select(F.col("nr").alias("id"), F.col("up").alias("parent_id"), T.unnamed("name").alias("name"), "level")
+    )
+
+
+def read_key_map(spark: SparkSession, path: str) -> DataFrame:
+    """Keys of map documents of any size: (id, parent_id, name, level, is_leaf), as in ``flatten_key_map``.
+
+    Members of an array are named by their position. Keys of level 1 have no parent.
+    """
+    values = read_json_values(spark, path)
+    members = grouped_running(values.filter("key is null and depth > 0"), ["parent_id"], ["id"], "_nr")
+    positions = members.select("id", (F.col("_nr") - 1).cast("string").alias("_position"))
+    holders = values.filter("parent_id is not null").select(F.col("parent_id").alias("id"), F.lit(False).alias("is_leaf")).distinct()
+    return (
+        values.filter("depth > 0").join(positions, "id", "left").join(holders, "id", "left")
+        .select(
+            "id", F.when(F.col("depth") > 1, F.col("parent_id")).alias("parent_id"), F.coalesce("key", "_position").alias("name"),
+            F.col("depth").alias("level"), F.coalesce("is_leaf", F.lit(True)).alias("is_leaf"),
+        )
+    )

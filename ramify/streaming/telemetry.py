@@ -153,6 +153,45 @@ def event_rate(events: DataFrame, key: str, ts: str, window_ms: int = 125) -> Da
     )
 
 
+def event_rate_closing(events: DataFrame, key: str, ts: str, tie: str, interval_ms: float = 125.0) -> DataFrame:
+    """Events per second in windows that an event closes: (key, started, closed, events, rate, ms_per_event).
+
+    The first event of a key starts the clock. A window closes at the first event at
+    least ``interval_ms`` after the last close, and counts the events after that close up
+    to its own; what follows the last close is no window. Rounding as in ``event_rate``.
+
+    Every event points at the event that would close a window begun there, found by a
+    count over events and ends in one order. The closes are the events that the pointers
+    reach from the first; each round doubles the length of the pointers, so the rounds are
+    log2 of the number of windows, whatever a key's share of the events.
+    """
+    times = grouped_running(events.select(key, ts, tie).withColumn("_ms", millis(events, ts)), [key], [F.col(ts), F.col(tie)], "_n")
+    times = materialize(times.select(key, F.col(ts).alias("_ts"), "_ms", "_n"), "rate-times")
+    ends = times.select(key, (F.col("_ms") + interval_ms).alias("_ms"), "_n", F.lit(0).alias("_event"))
+    both = ends.unionByName(times.select(key, "_ms", "_n", F.lit(1).alias("_event")))
+    passed = grouped_running(both, [key], ["_ms", "_event", "_n"], "_nr", {"_passed": F.col("_event")}).filter("_event = 0")
+    jump = passed.select(key, "_n", (F.col("_passed") + 1).alias("_to"))
+    some = times.select(key, F.col("_n").alias("_to"))
+    jump = materialize(jump.join(some, [key, "_to"], "left_semi").select(key, "_n", "_to"), "rate-jumps")
+    nearest = jump
+    closes = materialize(times.filter("_n = 1").select(key, "_n"), "rate-closes")
+    while not jump.isEmpty():
+        met = closes.join(jump, [key, "_n"]).select(key, F.col("_to").alias("_n"))
+        closes = materialize(closes.unionByName(met), "rate-closes")
+        further = jump.select(key, F.col("_n").alias("_to"), F.col("_to").alias("_further"))
+        jump = materialize(jump.join(further, [key, "_to"]).select(key, "_n", F.col("_further").alias("_to")), "rate-jumps")
+    begun = times.select(key, "_n", F.col("_ts").alias("started"), F.col("_ms").alias("_from"))
+    ended = times.select(key, F.col("_n").alias("_to"), F.col("_ts").alias("closed"), F.col("_ms").alias("_till"))
+    windows = closes.join(nearest, [key, "_n"]).join(begun, [key, "_n"]).join(ended, [key, "_to"])
+    count = F.col("_to") - F.col("_n")
+    return (
+        windows.withColumn("events", count)
+        .withColumn("rate", F.floor(F.col("events") / ((F.col("_till") - F.col("_from")) / 1000.0) + 0.5))
+        .withColumn("ms_per_event", F.when(F.col("rate") > 0, F.floor(1000 / F.col("rate") + 0.5)).otherwise(F.lit(0)))
+        .select(key, "started", "closed", "events", "rate", "ms_per_event")
+    )
+
+
 def ewma_lag_stream(
     events: DataFrame,
     key: str,
