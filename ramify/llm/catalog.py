@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ramify.llm import chat, collocations, decontaminate, licenses, line_dedup, ngram_join, orc_tokens, packing, quality, simhash, spelling, topk, toxicity
 from ramify.llm.labelled import remainder
+from ramify.llm.staging import staged
 from ramify.store import scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,8 +59,8 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 3) == 1
-    model = quality.train(docs.filter(~held), table(spark, sf_dir, "labels").filter(~held))
-    scored = quality.score(docs, model)
+    found = staged(quality.figures(docs), "figures")
+    scored = quality.scored(found, quality.learn(found, table(spark, sf_dir, "labels").filter(~held)))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -434,6 +434,49 @@ def test_quality_risk_without_negatives():
     assert (model.logits(good) >= 0).mean() > 0.95 and (model.logits(bad) < 0).mean() > 0.95
 
 
+def test_quality_from_positives_alone(spark):
+    """Without one labelled negative: the prior is estimated, and bad held-out documents are told."""
+    folder = "/root/testdata/sf0.01"
+    docs, marks = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    labels = {r.doc_id: r.quality for r in marks.collect()}
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = quality.train(docs, marks.filter((fold != 1) & (F.col("quality") == 1)))
+    known = [v for v in labels.values() if v is not None]
+    assert abs(model.prior - np.mean(known)) < 0.05
+    held = held_out(labels, 3, 1)
+    found = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert ranked_right(found, held) > 0.95
+    assert np.mean([(found[k] >= 0.5) == v for k, v in held.items() if k in found]) > 0.95
+    assert np.mean([found[k] < 0.5 for k, v in held.items() if k in found and v == 0]) > 0.8
+
+
+def test_quality_prior_and_sums(spark):
+    """The prior of two overlapping heaps, and sums in tasks against numpy."""
+    random_ = np.random.default_rng(3)
+    good, bad = random_.normal(2, 1, 30_000), random_.normal(-2, 1, 20_000)
+    steps, positives, both = np.linspace(-3, 4, 50), good[:5000], np.concatenate([good[5000:], bad])
+    above_u, above_p = ((x[:, None] >= steps).sum(axis=0) for x in (both, positives))
+    assert abs(quality.least_ratio(above_u, len(both), above_p, 5000) - 25 / 45) < 0.03
+    x = random_.normal(0, 1, (300, quality.FEATURES))
+    found = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "doc_id bigint, x array<double>").repartition(5)
+    assert np.allclose(quality._summed(found, quality.FEATURES, lambda m: m.sum(axis=0)), x.sum(axis=0))
+
+
+def test_least_risk_is_the_least():
+    """No nearby weights have a lower non-negative risk."""
+    random_ = np.random.default_rng(5)
+    p, u = (np.concatenate([np.ones((n, 1)), random_.normal(m, 1, (n, 6))], axis=1) for n, m in ((40, 0.7), (90, 0.2)))
+    sp, su = p.T @ p / len(p), u.T @ u / len(u)
+
+    def risk(w, prior):
+        negative = np.mean((1 + u @ w) ** 2) - prior * np.mean((1 + p @ w) ** 2)
+        return prior * np.mean((1 - p @ w) ** 2) + max(0, negative) + quality.RIDGE * (w[1:] @ w[1:])
+
+    for prior in (0.3, 0.6, 0.95):
+        best = quality.least_risk(sp, su, prior)
+        assert all(risk(best, prior) <= risk(best + random_.normal(0, s, 7), prior) + 1e-6 for s in (1e-3, 1e-2, 0.1, 1) for _ in range(50))
+
+
 def test_classifier_edges(spark, awkward, nothing):
     labels = spark.createDataFrame([(5, 1, 1), (4, 0, 0), (None, 1, 1), (6, None, None), (99, 1, 1)], "doc_id bigint, quality int, toxic int")
     machine = toxicity.train(awkward, labels)
