@@ -13,6 +13,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,12 @@ def word_ranges(text: str) -> dict[tuple[str, int], tuple[int, int]]:
     return found
 
 
+def _meeting(ranges: list[tuple], first: int, end: int) -> list[tuple]:
+    """Of sorted ranges that do not overlap, those that share words with the one from first to end."""
+    at = max(0, bisect_left(ranges, (first,)) - 1)
+    return ranges[at : bisect_left(ranges, (end,))]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], least: float):
         self.names = list(templates)
@@ -122,26 +129,41 @@ class Scanner:
             hit = np.zeros(len(pairs), bool)
             hit[hits] = True
             most = size * (2 - self.least) / self.least + 1e-9
-            for start in hits.tolist():
-                length = int(2 * most) + 2
-                while True:
-                    new = before[start : start + length] < start
-                    distinct = np.cumsum(new)
-                    if distinct[-1] > most or start + length >= len(pairs):
-                        break
-                    length *= 2
-                end = int(np.searchsorted(distinct, most, "right"))
-                shared = np.cumsum(new[:end] & hit[start : start + end])
-                if not end or shared[-1] < self.needed[i]:
-                    continue
-                dice = 2 * shared / (distinct[:end] + size)
+            reach, enough, late = 3 * int(most) + 2, int(most), []
+
+            def best_from(start: int, new: np.ndarray) -> None:
+                """``new``: where the distinct bigrams from ``start`` on stand first, of no more than fit."""
+                shared = np.cumsum(hit[new])
+                if not len(new) or shared[-1] < self.needed[i]:
+                    return
+                dice = 2 * shared / (np.arange(1, len(new) + 1) + size)
                 top = int(dice.argmax())
                 if dice[top] >= self.least:
-                    found.append((float(dice[top]), self.names[i], start, start + top + 2))
+                    found.append((float(dice[top]), self.names[i], start, int(new[top]) + 2))
+
+            for start in hits.tolist():
+                new = start + np.flatnonzero(before[start : start + reach] < start)
+                if len(new) <= enough and start + reach < len(pairs):
+                    late.append(start)
+                else:
+                    best_from(start, new[:enough])
+            if late:
+                # Words that repeat: from right to left, the bigrams by where they stand next.
+                wanted, following = set(late), {}
+                for at in range(len(pairs) - 1, late[0] - 1, -1):
+                    following.pop(pairs[at], None)
+                    following[pairs[at]] = at
+                    if at in wanted:
+                        best_from(at, np.fromiter(islice(reversed(following.values()), enough), np.int64))
         found.sort(key=lambda w: (-w[0], w[2] - w[3], w[2]))
         kept: list[tuple[float, str, int, int]] = []
+        firsts: list[int] = []  # of the kept windows, sorted, and the end of each: they do not overlap
+        ends: list[int] = []
         for w in found:
-            if all(w[3] <= x[2] or x[3] <= w[2] for x in kept):
+            at = bisect_left(firsts, w[2])
+            if (at == 0 or ends[at - 1] <= w[2]) and (at == len(firsts) or w[3] <= firsts[at]):
+                firsts.insert(at, w[2])
+                ends.insert(at, w[3])
                 kept.append(w)
         return kept
 
@@ -158,11 +180,13 @@ class Scanner:
             return []
         found = [(unit, number, *m) for unit, number, passage in passages(text) for m in self.best(passage)]
         ranges = word_ranges(text)
-        units = [(*ranges[unit, number], name, dice) for unit, number, name, dice in found]
+        # Lines do not overlap each other, nor do paragraphs, so few of a kind meet a window.
+        units = {kind: sorted((*ranges[unit, number], name, dice) for unit, number, name, dice in found if unit == kind) for kind in ("line", "paragraph", "document")}
         for dice, name, first, end in self.windows(words, possible):
             if not any(
                 2 * (min(end, b) - max(first, a)) >= end - first and 2 * (min(end, b) - max(first, a)) >= b - a and (name == other or dice <= theirs)
-                for a, b, other, theirs in units
+                for some in units.values()
+                for a, b, other, theirs in _meeting(some, first, end)
             ):
                 found.append(("window", first, name, dice))
         return found

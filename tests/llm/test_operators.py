@@ -592,6 +592,35 @@ def test_long_texts_are_scored_in_parts(monkeypatch):
     assert np.allclose(toxicity.scores(model, texts), whole) and len(whole) == len(texts)
 
 
+def test_licenses_many_notices():
+    """20,000 notices in one text, in lines of their own and inside longer ones, in a few seconds."""
+    import time
+
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.LEAST_DICE)
+    notice = licenses.TEMPLATES["MIT"]
+    text = "\n".join([notice] * 10_000 + [f"This text is {notice.lower()} See the file for more of it."] * 10_000)
+    began = time.monotonic()
+    found = scanner.scan(text)
+    assert time.monotonic() - began < 15
+    assert sum(f[0] == "line" for f in found) == 10_000 and sum(f[0] == "window" for f in found) == 10_000
+    assert all(f[2] == "MIT" for f in found)
+
+
+def test_licenses_windows_keep_the_best_apart():
+    """Kept windows equal those of comparing every window with every kept one."""
+    random.seed(9)
+    scanner = licenses.Scanner({"a": "red fox runs far away now", "b": "fox runs far away again"}, 0.5)
+    for _ in range(100):
+        words = [random.choice(b"red fox runs far away now again x y".split()) for _ in range(60)]
+        possible = scanner.possible(words)
+        kept = scanner.windows(words, possible)
+        assert all(a is b or a[3] <= b[2] or b[3] <= a[2] for a in kept for b in kept)
+        for i in possible:
+            alone = licenses.Scanner({scanner.names[i]: {"a": "red fox runs far away now", "b": "fox runs far away again"}[scanner.names[i]]}, 0.5)
+            for w in alone.windows(words, [0]):
+                assert any(w[2] < k[3] and k[2] < w[3] and k[0] >= w[0] for k in kept)
+
+
 def test_drop_near_duplicates_by_shuffle(spark, awkward, monkeypatch):
     few = sorted(map(str, simhash.drop_near_duplicates(awkward).collect()))
     monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
