@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ramify.functions.geometry import round_half_up
 from ramify.functions.packing import place, size_class, stack_classes
+from ramify.operators.enclosing import enclosing_circles
 from ramify.operators.hierarchy import build_hierarchy
 from ramify.operators.labels import node_value, order_siblings, rollup_value
 from ramify.operators.ranking import global_rank, grouped_running
@@ -76,6 +77,31 @@ def _pack_levels(tree: DataFrame, depth: int, pad: float) -> tuple[DataFrame, fl
     return materialize(offsets, "offsets"), radius
 
 
+def _pack_levels_tightly(tree: DataFrame, depth: int, pad: float) -> tuple[DataFrame, float]:
+    """As ``_pack_levels``; a parent is the smallest circle around its children, and they are moved to its centre."""
+    own = F.sqrt(F.col("value").cast("double"))
+    packed, above = [], None
+    for level in range(depth, -1, -1):
+        nodes = tree.filter(F.col("level") == level).select("id", "parent_id", "ord", own.alias("r"))
+        if above is not None:
+            whole = above.select(F.col("family").alias("id"), (F.col("radius") + pad).alias("_whole"))
+            nodes = nodes.join(whole, "id", "left").withColumn("r", F.coalesce("_whole", "r")).drop("_whole")
+        if not level:
+            break
+        circles = materialize(nodes.select(F.col("parent_id").alias("family"), "id", "ord", (F.col("r") + pad).alias("r")), f"sized-{level}")
+        placed = materialize(_place(circles, materialize(_families(circles), f"families-{level}")).select("family", "id", "dx", "dy", "r"), f"placed-{level}")
+        above = materialize(enclosing_circles(placed.select("family", F.col("dx").alias("x"), F.col("dy").alias("y"), "r")), f"around-{level}")
+        packed.append(
+            placed.join(above, "family").select(
+                "id", F.col("family").alias("parent_id"), (F.col("dx") - F.col("cx")).alias("dx"), (F.col("dy") - F.col("cy")).alias("dy"), (F.col("r") - pad).alias("r")
+            )
+        )
+    root = materialize(nodes, "sized-0")
+    radius = root.agg(F.max("r")).first()[0]
+    offsets = root.select("id", F.lit(None).cast("bigint").alias("parent_id"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), "r")
+    return materialize(reduce(DataFrame.unionByName, packed, offsets), "offsets"), radius
+
+
 def _sum_offsets(offsets: DataFrame) -> DataFrame:
     """Offsets summed from the root down: (id, x, y, r)."""
     open_rows = offsets.select("id", F.col("parent_id").alias("up"), "dx", "dy", "r")
@@ -110,13 +136,16 @@ def circle_layout(
     strategy: str | Sequence[Column] = "value_desc",
     size: float = 4000.0,
     padding: float = 0.0,
+    tight: bool = False,
 ) -> DataFrame:
     """Labelled rows plus ``value, ord, x, y, r``; the root is centred at (0, 0).
 
     Leaf radius is the root of the rolled-up value; siblings stand in rings
     by size and sibling order; a parent is the circle around its children; the whole is
     scaled to a root radius of size / 2. ``value`` is a preset or a Column,
-    ``strategy`` a preset or sort keys forming a total order.
+    ``strategy`` a preset or sort keys forming a total order. With ``tight`` a parent is
+    the smallest circle around its children instead of their outermost ring, for some
+    more jobs per level.
     """
     with transient(labelled.sparkSession):
         ready = {"leaf": "leaf_count", "node": "subtree_size"}.get(value) if isinstance(value, str) else None
@@ -136,9 +165,10 @@ def circle_layout(
             "ordered",
         )
         depth = tree.agg(F.max("level")).first()[0]
-        offsets, radius = _pack_levels(tree, depth, 0.0)
+        pack = _pack_levels_tightly if tight else _pack_levels
+        offsets, radius = pack(tree, depth, 0.0)
         if padding:
-            offsets, radius = _pack_levels(tree, depth, padding * radius / size)
+            offsets, radius = pack(tree, depth, padding * radius / size)
         scale = size / 2 / radius
         placed = _sum_offsets(offsets).select("id", *[(F.col(c) * scale).alias(c) for c in ("x", "y", "r")])
         places = placed.join(tree.select("id", "ord", "value"), "id")

@@ -7,10 +7,11 @@ invariants in the tests.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ramify.functions import geometry as G
@@ -993,6 +994,32 @@ def layout_invariants(spark, sf):
     )
 
 
+@query(O.labelled_sql("geo", """
+SELECT id, child_count, true AS around_all, true AS smallest FROM lab WHERE child_count > 0"""))
+def circle_layout_tight(spark, sf):
+    """Per family: its circle holds every child, and no smaller circle does.
+
+    A circle around others is the smallest if those that touch it from inside leave no
+    gap of more than half a turn.
+    """
+    laid = Y.circle_layout(labelled(spark, sf, "geo"), tight=True)
+    parent = laid.filter("child_count > 0").select("id", "child_count", *[F.col(c).alias(f"p{c}") for c in ("x", "y", "r")])
+    child = laid.filter("level > 0").select(F.col("parent_id").alias("id"), "x", "y", "r")
+    off_x, off_y = F.col("x") - F.col("px"), F.col("y") - F.col("py")
+    met = child.join(parent, "id").select(
+        "id", "child_count", "pr", (F.hypot(off_x, off_y) + F.col("r") - F.col("pr")).alias("out"),
+        F.hypot(off_x, off_y).alias("away"), F.atan2(off_y, off_x).alias("turn"),
+    )
+    touching = met.filter("abs(out) <= 1e-8 * pr")
+    turns = Window.partitionBy("id").orderBy("turn")
+    gaps = touching.withColumn("gap", F.col("turn") - F.lag("turn").over(turns)).groupBy("id").agg(
+        F.greatest(F.max("gap"), F.min("turn") - F.max("turn") + 2 * math.pi).alias("gap"), F.min(F.col("away") / F.col("pr")).alias("nearest")
+    )
+    held = met.groupBy("id", "child_count").agg((F.max(F.col("out") / F.col("pr")) <= 1e-8).alias("around_all"))
+    smallest = F.coalesce((F.col("gap") <= math.pi + 1e-4) | (F.col("nearest") <= 1e-8), F.lit(False))
+    return held.join(gaps, "id", "left").select("id", "child_count", "around_all", smallest.alias("smallest"))
+
+
 _TITLE_PLAIN = """array_to_string(list_transform(regexp_extract_all({0}, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'),
   lambda w: CASE WHEN regexp_matches(w, '^[a-z]') THEN upper(w[1:1]) || w[2:] ELSE w END), '')"""
 _TITLE = """array_to_string(list_transform(regexp_extract_all(lower({0}), '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ramify.operators import labels as L
 from ramify.operators import layout as Y
 from ramify.operators import spatial as P
+from ramify.operators.enclosing import enclosing_circles
 from test_hierarchy import random_tree
 
 NODE = "id bigint, parent_id bigint, name string"
@@ -69,6 +70,59 @@ def test_circle_layout(spark, options):
         assert max(areas.values()) / min(areas.values()) < 1 + 1e-9
 
 
+def brute_smallest(circles):
+    """Radius by ternary search over the centre: the largest reach is convex in it."""
+    def reach(x, y):
+        return max(math.hypot(u - x, v - y) + r for u, v, r in circles)
+
+    def best_y(x):
+        a, b = min(v - r for _, v, r in circles), max(v + r for _, v, r in circles)
+        for _ in range(90):
+            p, q = a + (b - a) / 3, b - (b - a) / 3
+            a, b = (a, q) if reach(x, p) < reach(x, q) else (p, b)
+        return reach(x, (a + b) / 2)
+
+    a, b = min(u - r for u, _, r in circles), max(u + r for u, _, r in circles)
+    for _ in range(90):
+        p, q = a + (b - a) / 3, b - (b - a) / 3
+        a, b = (a, q) if best_y(p) < best_y(q) else (p, b)
+    return best_y((a + b) / 2)
+
+
+def test_enclosing_circles(spark):
+    """Families of one, few, equal, nested and many circles, against a search of the centre."""
+    rng = random.Random(12)
+    families = {0: [(1.0, 2.0, 3.0)], 1: [(0.0, 0.0, 1.0)] * 5, 2: [(0.0, 0.0, 5.0), (1.0, 0.0, 1.0)], 3: [(0.0, 0.0, 0.0), (4.0, 0.0, 0.0)]}
+    for f in range(4, 16):
+        families[f] = [(rng.gauss(0, 5), rng.gauss(0, 5), rng.choice([0.0, 1.0, rng.random() * 4])) for _ in range(rng.randrange(2, 30))]
+    families[16] = [(float(x), 0.0, 1.0) for x in range(20)]
+    large = [(rng.gauss(0, 5), rng.gauss(0, 9), rng.random()) for _ in range(3000)]
+    rows = [(f, *c) for f, cs in (families | {17: large}).items() for c in cs] + [(None, 0.0, 0.0, 1.0), (3, None, 0.0, 1.0)]
+    found = {r["family"]: r for r in enclosing_circles(spark.createDataFrame(rows, "family int, x double, y double, r double")).collect()}
+    assert set(found) == set(families) | {17}
+    for f, circles in families.items():
+        assert found[f]["radius"] == pytest.approx(brute_smallest(circles), abs=1e-6)
+    c = found[17]
+    out = [math.hypot(x - c["cx"], y - c["cy"]) + r for x, y, r in large]
+    assert max(out) == pytest.approx(c["radius"], abs=1e-6)
+    near = [k for k, o in zip(large, out) if o > c["radius"] * 0.9]
+    assert c["radius"] == pytest.approx(brute_smallest(near), abs=1e-6)
+
+
+@pytest.mark.parametrize("padding", [0.0, 2.0])
+def test_tight_layout(spark, padding):
+    labelled = L.label_hierarchy(spark.createDataFrame(random_tree(60, 9), NODE))
+    loose = check_layout(Y.circle_layout(labelled, size=1000.0, padding=padding), 1000.0)
+    rows = check_layout(Y.circle_layout(labelled, size=1000.0, padding=padding, tight=True), 1000.0)
+    leaves = [sum(r["r"] ** 2 for r in x.values() if r["child_count"] == 0) for x in (loose, rows)]
+    assert leaves[1] >= leaves[0]
+    if not padding:
+        for i, parent in rows.items():
+            family = [(r["x"], r["y"], r["r"]) for r in rows.values() if r["parent_id"] == i and r["level"] > 0]
+            if family:
+                assert parent["r"] == pytest.approx(brute_smallest(family), rel=1e-6)
+
+
 def test_layout_of_one_node_and_flat_rows(spark):
     single = L.label_hierarchy(spark.createDataFrame([(5, None, "only")], NODE))
     assert Y.circle_layout(single).select("x", "y", "r").first() == (0.0, 0.0, 2000.0)
