@@ -49,6 +49,9 @@ MANIFEST = t.StructType(
 )
 
 
+FOLD_CHUNK = 256  # children of a family that one row folds
+
+
 # --- parts ----------------------------------------------------------------------
 
 
@@ -228,7 +231,7 @@ def shard_by_budget(labelled: DataFrame, max_bytes: int = 25_000_000, max_childr
     shallow = F.struct(F.col("name"), F.col("level"), F.col("leaf_count").alias("_leaves"))
     length = lambda c: F.length(T.json_node(c))
     nodes = labelled.select(
-        "id", "parent_id", "level", "path_ids", "pre", "child_count", key.alias("key"), length(shallow).cast("bigint").alias("own")
+        "id", "parent_id", "pre", "child_count", key.alias("key"), length(shallow).cast("bigint").alias("own")
     )
     # ',"_shard":"..."' and ',"children":[...]' around the children.
     ref = F.length("key") + F.lit(len(',"_shard":""'))
@@ -260,7 +263,7 @@ def shard_by_budget(labelled: DataFrame, max_bytes: int = 25_000_000, max_childr
     over = F.col("ord") > max_children
     sure_cut = over | (2 + least_before + F.col("tested") > max_bytes)
     sure_in = ~over & (2 + most_before + F.col("tested") <= max_bytes)
-    judged = known.withColumn(
+    judged = known.withColumn("_least", least_before).withColumn("_most", most_before).withColumn(
         "cut",
         F.when(F.col("child_count") == 0, F.lit(False)).when(sure_cut, F.lit(True)).when(sure_in, F.lit(False)),
     ).withColumn("_sure_over", 2 + least_before > max_bytes)
@@ -269,39 +272,15 @@ def shard_by_budget(labelled: DataFrame, max_bytes: int = 25_000_000, max_childr
     # Rows whose least prefix is already over the budget are decided, so a
     # family brings at most max_bytes of JSON into the fold.
     to_fold = judged.filter("not _sure_over").join(unsure, "parent_id", "left_semi")
-
-    def fold(pdf):
-        pdf = pdf.sort_values("ord")
-        so_far = int(pdf["_open"].iloc[0])
-        cuts = []
-        for ord_, children, tested, inlined, stub in zip(*(pdf[c].to_numpy() for c in ("ord", "child_count", "tested", "inlined", "stub"))):
-            cut = children > 0 and (2 + so_far + tested > max_bytes or ord_ > max_children)
-            cuts.append(bool(cut))
-            so_far += (stub if cut else inlined) + (1 if ord_ > 1 else 0)
-        return pdf.assign(folded=cuts)[["id", "folded"]]
-
-    folded = (
-        to_fold.select("id", "parent_id", "ord", "child_count", "tested", "inlined", "stub", "_open")
-        .groupBy("parent_id")
-        .applyInPandas(fold, "id bigint, folded boolean")
-    )
-    decided = judged.join(folded, "id", "left").select(
+    decided = judged.join(_folded_cuts(to_fold, max_bytes), "id", "left").select(
         "id", "parent_id", "ord", F.coalesce("cut", "folded").alias("cut")
     )
+    decided = materialize(decided, "shard-decided")
 
     # A node with children is a shard root when its parent's shard cut it, or
     # when its parent was inlined. So the state alternates below the last cut.
-    inner = forms.filter("child_count > 0").select("id", "level", "path_ids", "key")
-    cut_ids = decided.filter("cut").select(F.col("id").alias("_anc"))
-    last_cut = (
-        inner.select("id", F.posexplode("path_ids").alias("_pos", "_anc"))
-        .join(cut_ids, "_anc")
-        .groupBy("id")
-        .agg(F.max("_pos").alias("_last"))
-    )
-    rooted = inner.join(last_cut, "id", "left").withColumn(
-        "is_root", F.pmod(F.col("level") - F.coalesce("_last", F.lit(0)), F.lit(2)) == 0
-    )
+    inner = forms.filter("child_count > 0").select("id", "parent_id", "key")
+    rooted = inner.join(_steps_below_cut(inner, decided), "id").withColumn("is_root", F.col("steps") % 2 == 0)
     rooted = materialize(rooted.select("id", "key", "is_root"), "shard-roots")
     shard_roots = rooted.filter("is_root").select(F.col("id").alias("shard_id"), F.col("key").alias("shard_key"))
     child = decided.select("id", "parent_id", "ord", "cut").join(
@@ -319,6 +298,102 @@ def shard_by_budget(labelled: DataFrame, max_bytes: int = 25_000_000, max_childr
     return direct.unionByName(grand)
 
 
+def _folded_cuts(rows: DataFrame, max_bytes: int) -> DataFrame:
+    """(id, folded): whether the budget cuts each child, where sums alone do not tell.
+
+    A child is a step function of the bytes written before it: up to a limit it is
+    inlined and adds its larger form, above it is a stub. A family is dealt in chunks of
+    FOLD_CHUNK children. Each chunk composes its steps into one function over the bytes
+    that may stand before it, as ranges (first, last, shift): a child whose limit lies in
+    the image of a range cuts the range in two, neighbours with one shift are joined.
+    The functions of a family, one row per chunk, give the bytes before every chunk, and
+    the chunks are then decided on their own.
+    """
+    limit = F.when((F.col("child_count") == 0) | ~F.coalesce("cut", F.lit(True)), F.lit(1 << 62)).when(
+        F.col("cut"), F.lit(-1)
+    ).otherwise(max_bytes - 2 - F.col("tested"))
+    comma = F.when(F.col("ord") > 1, 1).otherwise(0)
+    step = F.struct(
+        "ord", "id", limit.cast("bigint").alias("limit"), (F.col("inlined") + comma).cast("bigint").alias("stay"), (F.col("stub") + comma).cast("bigint").alias("go")
+    )
+    chunk = F.floor((F.col("ord") - 1) / FOLD_CHUNK)
+    chunks = rows.groupBy("parent_id", chunk.alias("chunk")).agg(
+        F.array_sort(F.collect_list(step)).alias("steps"),
+        F.min(F.struct("ord", F.col("_least").cast("bigint").alias("least"), F.col("_most").cast("bigint").alias("most"))).alias("entry"),
+    )
+    chunks = materialize(chunks, "shard-chunks")
+
+    def piece(first: Column, last: Column, shift: Column) -> Column:
+        return F.struct(first.alias("first"), last.alias("last"), shift.alias("shift"))
+
+    def split(p: Column, x: Column) -> Column:
+        stay, go, edge = p["shift"] + x["stay"], p["shift"] + x["go"], x["limit"] - p["shift"]
+        return (
+            F.when(p["last"] <= edge, F.array(piece(p["first"], p["last"], stay)))
+            .when(p["first"] > edge, F.array(piece(p["first"], p["last"], go)))
+            .otherwise(F.array(piece(p["first"], edge, stay), piece(edge + 1, p["last"], go)))
+        )
+
+    def joined(done: Column, p: Column) -> Column:
+        before = F.element_at(done, -1)
+        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(piece(before["first"], p["last"], p["shift"])))
+        return F.when(F.try_element_at(done, F.lit(-1))["shift"] == p["shift"], grown).otherwise(F.concat(done, F.array(p)))
+
+    none = F.array().cast("array<struct<first:bigint,last:bigint,shift:bigint>>")
+    whole = F.array(piece(F.col("entry.least"), F.col("entry.most"), F.lit(0).cast("bigint")))
+    composed = F.aggregate(
+        "steps", whole, lambda pieces, x: F.aggregate(F.flatten(F.transform(pieces, lambda p: split(p, x))), none, joined)
+    )
+    wide = chunks.filter("chunk > 0").select("parent_id").distinct()
+    functions = chunks.join(wide, "parent_id", "left_semi").select("parent_id", "chunk", "entry", composed.alias("pieces"))
+
+    def shifted(so_far: Column, pieces: Column) -> Column:
+        return so_far + F.element_at(F.filter(pieces, lambda p: (p["first"] <= so_far) & (so_far <= p["last"])), 1)["shift"]
+
+    at = lambda so_far, seen: F.struct(so_far.alias("so_far"), seen.alias("seen"))
+    entered = lambda number, so_far: F.array(F.struct(number.alias("chunk"), so_far.alias("so_far")))
+    no_entry = F.array().cast("array<struct<chunk:bigint,so_far:bigint>>")
+    opening = F.element_at("parts", 1)["least"]  # nothing stands before the first chunk, so its bounds are one
+    walked = F.aggregate(
+        "parts",
+        at(opening, no_entry),
+        lambda s, c: at(shifted(s["so_far"], c["pieces"]), F.concat(s["seen"], entered(c["chunk"], s["so_far"]))),
+        lambda s: s["seen"],
+    )
+    entries = (
+        functions.groupBy("parent_id")
+        .agg(F.array_sort(F.collect_list(F.struct("chunk", F.col("entry.least").alias("least"), "pieces"))).alias("parts"))
+        .select("parent_id", F.inline(walked))
+    )
+    known = chunks.join(entries, ["parent_id", "chunk"], "left").withColumn("so_far", F.coalesce("so_far", "entry.least"))
+    decision = lambda x, cut: F.array(F.struct(x["id"].alias("id"), cut.alias("folded")))
+    no_cut = F.array().cast("array<struct<id:bigint,folded:boolean>>")
+
+    def decide(s: Column, x: Column) -> Column:
+        cut = s["so_far"] > x["limit"]
+        return at(s["so_far"] + F.when(cut, x["go"]).otherwise(x["stay"]), F.concat(s["seen"], decision(x, cut)))
+
+    return known.select(F.inline(F.aggregate("steps", at(F.col("so_far"), no_cut), decide, lambda s: s["seen"])))
+
+
+def _steps_below_cut(inner: DataFrame, decided: DataFrame) -> DataFrame:
+    """(id, steps): levels from each node with children up to the nearest cut one, or the root.
+
+    Pointers double, so a tree takes as many rounds as the logarithm of its longest
+    stretch without a cut, and a row holds two numbers.
+    """
+    cuts = decided.select("id", "cut")
+    up = F.when(~F.coalesce("cut", F.lit(True)), F.col("parent_id"))
+    is_open = {"open": F.count_if(F.col("up").isNotNull())}
+    start = inner.select("id", "parent_id").join(cuts, "id", "left").select("id", up.alias("up"), up.isNotNull().cast("bigint").alias("steps"))
+    rows, seen = materialize(start, "shard-steps", is_open)
+    while seen["open"]:
+        above = rows.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"))
+        longer = rows.join(above, "up", "left").select("id", F.col("_up").alias("up"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"))
+        rows, seen = materialize(longer, "shard-steps", is_open)
+    return rows.select("id", "steps")
+
+
 def write_shard_documents(labelled: DataFrame, path: str, max_bytes: int = 25_000_000, max_children: int = 1_000_000) -> DataFrame:
     """Write the shards of ``shard_by_budget`` under ``path/shard_id=<id>``; returns their manifest.
 

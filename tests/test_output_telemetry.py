@@ -68,6 +68,48 @@ def test_shards_match_a_walk(spark, max_bytes, max_children):
     assert sorted(r["child_id"] for r in got) == sorted(i for i, p, _ in rows if p)
 
 
+@pytest.mark.parametrize("chunk,max_bytes", [(1, 700), (3, 1500), (7, 3000)])
+def test_shards_match_a_walk_in_small_chunks(spark, monkeypatch, chunk, max_bytes):
+    monkeypatch.setattr(A, "FOLD_CHUNK", chunk)
+    rows = [(i, p, f"{n}-{i}") for i, p, n in random_tree(220, 13, 0.3)]
+    got = A.shard_by_budget(L.label_hierarchy(spark.createDataFrame(rows, NODE)), max_bytes).collect()
+    assert {(r["shard_id"], r["child_id"], r["is_stub"], r["shard_ref"]) for r in got} == shards(rows, max_bytes, 1_000_000)
+
+
+@pytest.mark.parametrize("max_bytes", [60_000, 150_000])
+def test_wide_family_is_folded_in_chunks(spark, monkeypatch, max_bytes):
+    monkeypatch.setattr(A, "FOLD_CHUNK", 64)
+    rng = random.Random(5)
+    rows = [(1, None, "root")] + [(i, 1, "n" * rng.randint(1, 40) + f"-{i}") for i in range(2, 1502)]
+    for i in range(2, 1502):
+        for _ in range(rng.choice([0, 0, 1, 2, 9])):
+            rows.append((len(rows) + 1, i, "c" * rng.randint(1, 90) + f"-{len(rows) + 1}"))
+    cut = A.shard_by_budget(L.label_hierarchy(spark.createDataFrame(rows, NODE)), max_bytes)
+    got = {(r["shard_id"], r["child_id"], r["is_stub"], r["shard_ref"]) for r in cut.collect()}
+    assert got == shards(rows, max_bytes, 1_000_000)
+    assert len({is_stub for shard, _, is_stub, ref in got if shard == 1 and ref}) == 1 and any(not r[2] for r in got if r[0] == 1)
+
+
+def test_step_functions_of_many_chunks_chain(spark):
+    """A family folded on its own: the bytes before each chunk follow from the chunks' functions."""
+    rng = random.Random(8)
+    budget, opening, rows, so_far, least, most, want = 40_000, 100, [], 100, 100, 100, {}
+    for n in range(1, 2001):
+        tested, stub, inlined, children = rng.randint(100, 9000), rng.randint(20, 60), rng.randint(20, 60), rng.randint(0, 1)
+        if not children:
+            stub = inlined
+        comma = int(n > 1)
+        rows.append((n, 7, n, children, None if children else False, tested, inlined, stub, least, most))
+        want[n] = bool(children) and 2 + so_far + tested > budget
+        so_far += (stub if want[n] else inlined) + comma
+        least += min(stub, inlined) + comma
+        most += max(stub, inlined) + comma
+    columns = "id long, parent_id long, ord long, child_count long, cut boolean, tested long, inlined long, stub long, _least long, _most long"
+    got = A._folded_cuts(spark.createDataFrame(rows, columns), budget)
+    assert {r["id"]: r["folded"] for r in got.collect()} == want
+    assert "Python" not in got._jdf.queryExecution().toString()
+
+
 def test_adjacency_chunks(spark):
     rows = random_tree(150, 12, 0.5)
     labelled = L.label_hierarchy(spark.createDataFrame(rows, NODE))
