@@ -198,20 +198,19 @@ def is_in_subtree(labelled: DataFrame, pairs: DataFrame) -> DataFrame:
 
     A pair without a current node is inside.
     """
+    # Pairs without a current node need no lookup, and would all meet under one key.
+    asked, free = pairs.filter("current_id is not null"), pairs.filter("current_id is null")
     node = labelled.select(F.col("id").alias("node_id"), F.col("pre").alias("_pre"))
     current = labelled.select(
         F.col("id").alias("current_id"), F.col("pre").alias("_lo"), F.col("pre_end").alias("_hi")
     )
-    return (
-        pairs.join(node, "node_id", "left")
+    looked_up = (
+        asked.join(node, "node_id", "left")
         .join(current, "current_id", "left")
-        .withColumn(
-            "inside",
-            F.coalesce(F.col("_pre").between(F.col("_lo"), F.col("_hi")), F.lit(False))
-            | F.col("current_id").isNull(),
-        )
+        .withColumn("inside", F.coalesce(F.col("_pre").between(F.col("_lo"), F.col("_hi")), F.lit(False)))
         .drop("_pre", "_lo", "_hi")
     )
+    return looked_up.unionByName(free.withColumn("inside", F.lit(True)))
 
 
 # --- aggregates ---------------------------------------------------------------

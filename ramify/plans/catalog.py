@@ -26,7 +26,7 @@ from ramify.operators import spatial as P
 from ramify.operators.ranking import sorted_slices
 from ramify.plans import bake as B
 from ramify.plans import oracles as O
-from ramify.plans.views import labelled, laid_out_line, table, view
+from ramify.plans.views import labelled, laid_out_line, stored, table, view
 from ramify.session import spread
 from ramify.sources import nested as N
 from ramify.sources import parts as A
@@ -264,6 +264,18 @@ def go_up(spark, sf):
     return L.go_up(geo, geo.filter("id > 100000000").select("id")).select("from_id", "id", "name")
 
 
+@query(ORACLES["go_up"])
+def go_up_stored(spark, sf):
+    geo = stored(spark, sf, "geo")
+    return L.go_up(geo, geo.filter("id > 100000000").select("id")).select("from_id", "id", "name")
+
+
+@query(ORACLES["focus"])
+def focus_stored(spark, sf):
+    geo = stored(spark, sf, "geo")
+    return L.focus(geo, geo.filter("level = 3").select("id"))
+
+
 def _pairs(spark, sf):
     """Every order against the nation with its key, modulo 26; 25 stands for none."""
     o = F.col("o_orderkey")
@@ -280,6 +292,11 @@ def is_in_subtree(spark, sf):
     return L.is_in_subtree(labelled(spark, sf, "geo"), _pairs(spark, sf)).select("node_id", "current_id", "inside")
 
 
+@query(ORACLES["is_in_subtree"])
+def is_in_subtree_stored(spark, sf):
+    return L.is_in_subtree(stored(spark, sf, "geo"), _pairs(spark, sf)).select("node_id", "current_id", "inside")
+
+
 @query(O.labelled_sql("geo", """, exploded AS (SELECT unnest(ids) AS a, level, child_count, leaf_count FROM lab)
 SELECT a AS id, CAST(sum(CASE WHEN child_count = 0 THEN 1 ELSE 0 END) AS BIGINT) AS leaf_value, count(*) AS node_value,
   CAST(sum(leaf_count) AS BIGINT) AS leaf_count_value,

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ramify.operators.labels import label_hierarchy, sibling_order
 from ramify.operators.ranking import grouped_running
-from ramify.store import materialize, on_release
+from ramify.sources.stored import store_for_lookup
+from ramify.store import materialize, on_release, scratch_path
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -96,6 +97,15 @@ def labelled(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _labelled[key]
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Labelled table of a view in buckets of its ids: written once per session, then reused."""
+    key = (spark.sparkContext.applicationId, sf_dir, f"{name}_stored")
+    if key not in _labelled:
+        path = scratch_path(spark, "stored")
+        _labelled[key] = store_for_lookup(labelled(spark, sf_dir, name), path.rsplit("/", 1)[1].replace("-", "_"), path)
+    return _labelled[key]
+
+
 def laid_out_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled geo with x, y, r: children side by side on the parent's diameter.
 
