@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -224,12 +226,13 @@ def ewma_lag_stream(
         waiting.sort()
         passed = state.getCurrentWatermarkMs()
         found = []
-        while waiting and waiting[0][0] < passed:
-            ms, event_id = waiting.pop(0)
+        ready = bisect_left(waiting, (passed,))
+        for ms, event_id in waiting[:ready]:
             if last is not None:
                 lag = max(0.0, alpha * (ms - last - interval_ms) + (1 - alpha) * lag)
             last = ms
             found.append((k[0], event_id, ms, lag, lag > alert_ms))
+        del waiting[:ready]
         if not waiting and last is not None and forget_ms is not None and last + forget_ms < passed:
             state.remove()
         else:
