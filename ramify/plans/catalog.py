@@ -1178,10 +1178,10 @@ def rejected_lines(spark, sf):
     node = F.to_json(F.struct("id", "parent_id", "name"))
     damaged = F.when(F.col("id") % 7 == 2, F.concat(F.lit("{"), node)).when(F.col("id") % 7 == 3, '{"name":"no id"}').otherwise(node)
     parts = A.read_layout_parts(spark, _text_file(geo, damaged, "damaged"), multi_line=False)[1]
-    line = F.when((F.col("id") % 5 == 1) & (F.col("id") > 1), "ott_id\tlost").otherwise(
+    line = F.when((F.col("id") % 5 == 1) & (F.col("id") > 1), "lost\tott_id").otherwise(
         _bar(F.col("id"), F.col("parent_id"), F.col("name"), F.lit("genus"))
     )
-    taxonomy = X.read_opentree_taxonomy(spark, _text_file(geo.coalesce(1).sortWithinPartitions("id"), line, "taxonomy"))[1]
+    taxonomy = X.read_opentree_taxonomy(spark, _text_file(geo, line, "taxonomy"))[1]
     name = F.when(F.col("id") % 4 == 3, F.concat(F.lit("x"), _bar(F.col("id"), F.col("name"), F.lit(""), F.lit("synonym")))).otherwise(
         _bar(F.col("id"), F.col("name"), F.lit(""), F.lit("synonym"))
     )
