@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ramify.functions import text as T
 from ramify.operators.hierarchy import rooted_levels
 from ramify.operators.ranking import global_rank, grouped_running, slice_offsets, sorted_slices
+from ramify.operators.shared_keys import join_shared
 from ramify.store import materialize, transient
 
 
@@ -302,7 +303,7 @@ def read_tree_json(spark: SparkSession, path: str) -> DataFrame:
         .when((F.col("key") == "children") & (F.col("kind") == "object"), F.col("parent_id"))
     )
     nodes = (
-        values.filter(F.col("kind").isin("object", "array")).join(above, "parent_id", "left")
+        join_shared(values.filter(F.col("kind").isin("object", "array")), above.filter(F.col("_kind").isin("object", "array")), "parent_id")
         .select("id", "depth", parent.alias("parent_id"))
         .filter("depth = 0 or parent_id is not null")
     )
@@ -316,7 +317,7 @@ def read_tree_json(spark: SparkSession, path: str) -> DataFrame:
     parents = ranked.select(F.col("id").alias("parent_id"), F.col("nr").alias("up"))
     name = F.when(F.col("level") == 0, F.lit("Life")).otherwise(F.col("name"))
     return (
-        ranked.withColumn("name", name).join(parents, "parent_id", "left")
+        join_shared(ranked.withColumn("name", name), parents, "parent_id")
         .select(F.col("nr").alias("id"), F.col("up").alias("parent_id"), T.unnamed("name").alias("name"), "level")
     )
 
