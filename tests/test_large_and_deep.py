@@ -3,6 +3,7 @@
 import json
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ramify.operators import labels as L
 from ramify.operators import search as S
 from ramify.operators import spatial as P
 from ramify.sources import nested as N
+from ramify.store import scratch_root
 from ramify.streaming import telemetry as M
 
 NODE = "id bigint, parent_id bigint, name string"
@@ -66,6 +68,45 @@ def test_one_large_document_is_read_by_many_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_values_of_documents_cut_anywhere(spark, tmp_path, small_splits, rows):
+    """Blocks that begin in strings, keys and deep containers, against a walk; names that come last."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    rng = random.Random(8)
+    long = "{" * 250 + '\\"}]' + "a{" * 60
+    chain = {"name": "end"}
+    for i in range(5):
+        chain = {"children": [{"name": long[i : i + 30]}, chain, [7]], 'key {"': [i, None], "name": f"late {i} {{"}
+    docs = [[random_tree(rng, 3) for _ in range(3)], chain, {"a" + long: long, "children": {"name": long, "children": [{"children": []}]}}, [], 5, long]
+    (tmp_path / "a.json").write_text("\n".join(json.dumps(d, ensure_ascii=False) for d in docs[:3]), encoding="utf-8")
+    (tmp_path / "b.json").write_text(" ".join(json.dumps(d) for d in docs[3:]))
+    want = []
+
+    def walk(value, key, depth, parent):
+        kind = "object" if isinstance(value, dict) else "array" if isinstance(value, list) else "null" if value is None else "scalar"
+        want.append((len(want) + 1, parent, depth, key, kind, (value if isinstance(value, str) else json.dumps(value)) if kind == "scalar" else None))
+        me = len(want)
+        for k, v in value.items() if kind == "object" else [(None, v) for v in value] if kind == "array" else []:
+            walk(v, k, depth + 1, me)
+
+    for doc in docs:
+        walk(doc, None, 0, None)
+    assert rows(N.read_json_values(spark, str(tmp_path)), "id", "parent_id", "depth", "key", "kind", "text") == sorted(want, key=repr)
+    table = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs[:4])], "doc_id int, json string")
+    nodes = N.number_nodes(N.flatten_tree_json(table)).select("id", "parent_id", "name", "level")
+    assert rows(N.read_tree_json(spark, str(tmp_path)), "id", "parent_id", "name", "level") == rows(nodes)
+
+
+def test_reading_a_tree_writes_little(spark, tmp_path, monkeypatch):
+    """All tables written on the way are together not much larger than the text."""
+    kid = '{"name":"kid %d","children":[{"name":"%s"},{"name":"5-LOW","children":{"name":"deep"}}]}'
+    (tmp_path / "one.json").write_text("[" + ",".join(kid % (i, "FOP"[i % 3]) for i in range(150_000)) + "]")
+    monkeypatch.setattr("ramify.store.drop_path", lambda spark, path: None)
+    before = set(Path(scratch_root(spark)).rglob("*.parquet"))
+    assert N.read_tree_json(spark, str(tmp_path)).count() == 600_001
+    written = sum(f.stat().st_size for f in set(Path(scratch_root(spark)).rglob("*.parquet")) - before if f.is_file())
+    assert written < 2.5 * (tmp_path / "one.json").stat().st_size
+
+
 def test_read_key_map_equals_flatten(spark, tmp_path, small_splits):
     rng = random.Random(3)
 
